@@ -35,6 +35,8 @@ SIZE, PERCENT = 4, 85
 WIDESPREAD, ORDER_LIMIT = 64, 1 << 18
 #: Sets, and shingles, that one task compares at once.
 CHUNK_SETS, CHUNK_TOKENS = 1024, 2_000_000
+#: Rows of ids (up to 40 bytes) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def _prefix(n: np.ndarray | int, percent: int):
@@ -168,6 +170,11 @@ def _compare(rows: DataFrame, percent: int, report: bool) -> DataFrame:
     return rows.repartition("leader", "part").sortWithinPartitions("leader", "part").mapInArrow(run, "a long, b long, leader long, id long, dist double")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if its rows are few enough by count."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n, s1, s2) of each document, links between class representatives, and the representatives.
 
@@ -176,42 +183,47 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     """
     spark = docs.sparkSession
     batched(spark)
-    first = stash(_sets(docs, size, percent), "prefixes")
-    found = first.select("doc_id", "n", "s1", "s2")
-    classes = stash(found.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n", "s1", "s2"), "classes")
-
-    def posted(prefixes: DataFrame) -> DataFrame:
-        chosen = prefixes.join(classes, ["doc_id", "n", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "tokens")
-        return chosen.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
-
-    spread = posted(first).groupBy("token").count().where(F.col("count") > WIDESPREAD).orderBy(F.desc("count"), "token").limit(ORDER_LIMIT).toPandas()
-    prefixes = first
-    if len(spread):
-        known = spread["token"].to_numpy().view(np.uint64)
-        sort = np.argsort(known)
-        order = spark.sparkContext.broadcast((known[sort], spread["count"].to_numpy()[sort]))
-        prefixes = stash(_sets(docs, size, percent, order), "prefixes")
+    found = stash(_sets(docs, size, percent).select("doc_id", "n", "s1", "s2"), "signatures")
+    classes = found.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
+    classes = stash(classes.select("doc_id", "n", "s1", "s2"), "classes")
+    copies = stash(found.join(classes, ["doc_id", "n", "s1", "s2"], "left_anti").where("doc_id is not null").select("doc_id").distinct(), "copies")
+    single = docs.select("doc_id", "text").where("doc_id is not null").join(_small(copies), "doc_id", "left_anti")
+
+    spread = _sets(docs, size, percent).select(F.explode("tokens").alias("token")).groupBy("token").count()
+    spread = spread.where(F.col("count") > WIDESPREAD).orderBy(F.desc("count"), "token").limit(ORDER_LIMIT).toPandas()
+    known = spread["token"].to_numpy().view(np.uint64)
+    sort = np.argsort(known)
+    order = spark.sparkContext.broadcast((known[sort], spread["count"].to_numpy()[sort]))
+    prefixes = stash(_sets(single, size, percent, order).select("doc_id", "n", "tokens"), "prefixes")
 
     # Of a linked pair one side has the token within 2t/(1+t): lists without such an early posting are skipped.
     early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2.0 * percent / (100 + percent)) - 1e-6)
-    postings = posted(prefixes)
-    lists = postings.groupBy("token").agg(F.count("*").alias("width"), F.max(early).alias("early")).where("width > 1 and early").select("token", "width")
-    shared = stash(postings.select("token", "id", "n").join(lists, "token"), "postings")
+    postings = prefixes.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).select("token", F.struct(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), early.alias("early")).alias("at"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("width"), F.max("at.early").alias("early")).where("width > 1 and early").select("token", "width")
+    shared = stash(postings.join(lists, "token").select("token", "width", "at.*"), "postings")
     central = shared.groupBy("id").agg(F.avg("width").alias("central"))
-    leaders = shared.join(central, "id").groupBy("token").agg(F.max(F.struct("central", "id"))["id"].alias("leader"))
-    members = shared.select("token", "id", "n").join(leaders, "token").where("id != leader").select("leader", "id", "n").distinct()
+    # Lists by size: sets that link are in the same band of sizes or in neighbouring ones.
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9)
+    banded = shared.join(central, "id").select("token", "id", "n", "early", "central", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x")).select("token", "id", "n", "early", "central", "x.*")
+    banded = stash(banded, "banded")
+    leaders = banded.groupBy("token", "band").agg(F.count("*").alias("width"), F.max("own").alias("own"), F.max("early").alias("early"), F.max(F.struct("central", "id"))["id"].alias("leader"))
+    leaders = leaders.where("width > 1 and own and early").select("token", "band", "leader")
+    members = banded.select("token", "band", "id", "n").join(leaders, ["token", "band"]).where("id != leader").select("leader", "id", "n").distinct()
+    members = stash(members, "members")
     families = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("parts"))
     families = stash(families, "families")
     cut = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
-    members = stash(members.join(families, "leader").select("leader", "id", "parts", cut.alias("part")), "members")
     heads = families.select("leader", F.col("leader").alias("id"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    wanted = stash(members.select("id").union(families.select("leader")).distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    whole = _sets(texts, size, percent, whole=True).join(classes, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    whole = stash(whole.select(F.col("doc_id").alias("id"), "tokens"), "sets")
-    fresh = members.unionByName(heads).withColumns({"dist": F.lit(0.0), "linked": F.lit(False)})
-    compared = stash(_compare(fresh.join(whole, "id"), percent, report=True), "compared")
+    members = stash(members.join(families, "leader").select("leader", "id", "parts", cut.alias("part")).unionByName(heads), "members")
+    wanted = stash(members.select("id").distinct(), "wanted")
+    texts = single.join(_small(wanted), F.col("doc_id") == F.col("id"), "left_semi")
+    whole = _sets(texts, size, percent, whole=True)
+    whole = whole.select(F.col("doc_id").alias("id"), "tokens")
+    fresh = members.withColumns({"dist": F.lit(0.0), "linked": F.lit(False)})
+    compared = stash(_compare(whole.join(_small(fresh), "id"), percent, report=True), "compared")
     edges = compared.where("a is not null").select("a", "b")
+    if not families.where("parts > 1").limit(1).count():
+        return found, edges, classes
 
     # Families of several parts: sets not linked with the leader meet each other and the linked ones across parts.
     limit = 1 - percent / 100 + 1e-12
@@ -225,7 +237,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     with_close = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda j: F.col("nl") * F.col("nl") + F.col("slot") * F.col("nc") + j)
     from_close = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda i: F.col("nl") * F.col("nl") + i * F.col("nc") + F.col("slot"))
     far = far.select("leader", "id", "dist", "linked", F.lit(1).alias("parts"), F.explode(F.when(F.col("linked"), from_close).otherwise(F.concat(loose_pairs, with_close))).alias("part"))
-    crossed = _compare(far.join(whole, "id"), percent, report=False)
+    crossed = _compare(whole.join(far, "id"), percent, report=False)
     edges = edges.unionByName(crossed.where("a is not null").select("a", "b"))
     return found, edges, classes
 
