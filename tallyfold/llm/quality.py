@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import stash, words_of
 
-_SPACES = " \t\n\x0b\x0c\r"
 #: Common words by language; another language has none, and only its characters are compared.
 COMMON = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "with", "as", "on", "by", "this", "be", "are"),
@@ -28,11 +27,6 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 GUARD_WORDS, MOST_CHARS, MOST_WORDS = 50, 0.30, 0.45
 
 
-def _words(text: Column) -> Column:
-    bare = F.btrim(text, F.lit(_SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
-
-
 #: Character classes, taken out of a text one after the other; what is left is the last class.
 CLASSES = (r"[a-z]+", r"[\x20\x09-\x0D]+", r"[^\x00-\x7F]+", r"[A-Z]+", r"[.,;:?'\x22()-]+", r"[#*$%&|<>!]+", r"[0-9]+")
 
@@ -69,7 +63,7 @@ def _word_counts(words: Column, lang: Column) -> Column:
 def histograms(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_text`` (null: empty), ``_words``, ``_chars`` and ``_common``."""
     held = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    held = held.withColumn("_words", _words(F.col("_text")))
+    held = held.withColumn("_words", words_of(F.col("_text")))
     return held.withColumns({"_chars": _char_counts(F.col("_text")), "_common": _word_counts(F.col("_words"), F.col("lang"))})
 
 

@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of a text: a run without blanks or \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_BLANKS = " \t\n\x0b\x0c\r"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text that is not null, as an array."""
+    bare = F.btrim(text, F.lit(_BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
