@@ -117,6 +117,83 @@ def _links_of_group(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, pivot:
     return edges, dist, linked
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (leader, part), which stand together."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lead, part = batch.column("leader").to_numpy(), batch.column("part").to_numpy()
+        cuts = np.flatnonzero((lead[1:] != lead[:-1]) | (part[1:] != part[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            now = (lead[a], part[a])
+            if held and now != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists of a column, and their items one after the other."""
+    lengths = [np.diff(c.offsets.to_numpy()) for c in column.chunks]
+    return np.concatenate(lengths).astype(np.int64), np.concatenate([c.flatten().to_numpy() for c in column.chunks])
+
+
+def _screen(rows: DataFrame, percent: int, order) -> DataFrame:
+    """(leader, id) of the sets that may link with another of their (leader, part) group, by what the prefixes show.
+
+    Up to the end of the shorter reach of two prefixes all tokens of both sets are
+    known; the common ones there and all that may follow bound the overlap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = order.value
+        leads, kept = [], []
+        for group in _groups(batches):
+            ids, n = group["id"].to_numpy(), group["n"].to_numpy().astype(np.int64)
+            sizes, flat = _lists(group["tokens"])
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            tokens, codes = np.unique(flat.view(np.uint64), return_inverse=True)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                place = np.empty(len(tokens), np.int64)
+                place[np.argsort(np.where(known[at] == tokens, rank[at], 0), kind="stable")] = np.arange(len(tokens))
+                codes = place[codes]
+            last = codes[ends - 1]
+            mark = np.zeros(len(tokens), np.int32)
+            alive = np.zeros(len(ids), bool)
+            need = percent / (100 + percent)
+            for k in range(len(ids) - 1):
+                own = codes[starts[k] : ends[k]]
+                mark[own] = 1
+                common = np.add.reduceat(mark[codes], starts)
+                mark[own] = 0
+                seen_k = np.minimum(np.searchsorted(own, last, "right"), sizes[k])
+                seen = np.add.reduceat((codes <= last[k]).astype(np.int32), starts)
+                may = common + np.minimum(n[k] - seen_k, n - seen) >= need * (n[k] + n) - 1e-6
+                may &= (common > 0) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+                may[: k + 1] = False
+                if may.any():
+                    alive |= may
+                    alive[k] = True
+            if alive.any():
+                kept.append(ids[alive])
+                leads.append(np.full(int(alive.sum()), group["leader"][0].as_py(), np.int64))
+            if len(kept) > 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leads)), pa.array(np.concatenate(kept))], ["leader", "id"])
+                leads, kept = [], []
+        none = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *leads])), pa.array(np.concatenate([none, *kept]))], ["leader", "id"])
+
+    rows = rows.select("leader", "part", "id", "n", "tokens")
+    return rows.repartition("leader", "part").sortWithinPartitions("leader", "part").mapInArrow(run, "leader long, id long")
+
+
 def _compare(rows: DataFrame, percent: int, report: bool) -> DataFrame:
     """Compares the sets of each (leader, part) group; the rows of a group come together, in order.
 
@@ -126,44 +203,23 @@ def _compare(rows: DataFrame, percent: int, report: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
-        def done(group: list[pa.RecordBatch]):
-            rows = pa.Table.from_batches(group).combine_chunks()
-            ids, tokens = rows["id"].to_numpy(), rows["tokens"].combine_chunks()
-            tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
-            sizes = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-            flat = tokens.flatten().to_numpy()
-            lead = int(rows["leader"][0].as_py())
-            at = np.flatnonzero(ids == lead)
-            known = rows["dist"].to_numpy(zero_copy_only=False).astype(float)
-            pivot = int(at[0]) if report and len(at) else None
-            edges, dist, linked = _links_of_group(ids, sizes, flat, pivot, rows["linked"].to_numpy(zero_copy_only=False).astype(bool), known, percent)
-            out.extend((a, b, None, None, None) for a, b in edges)
-            if report and rows["parts"][0].as_py() > 1:
-                out.extend((None, None, lead, int(i), float(d)) for i, d in zip(ids, dist))
-
         def flush():
             a, b, lead, i, d = zip(*out) if out else ([], [], [], [], [])
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lead, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["a", "b", "leader", "id", "dist"])
 
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lead, part = batch.column("leader").to_numpy(), batch.column("part").to_numpy()
-            cuts = np.flatnonzero((lead[1:] != lead[:-1]) | (part[1:] != part[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                now = (lead[a], part[a])
-                if held and now != key:
-                    done(held)
-                    held = []
-                key = now
-                held.append(batch.slice(a, b - a))
+        for group in _groups(batches):
+            ids = group["id"].to_numpy()
+            sizes, flat = _lists(group["tokens"])
+            lead = int(group["leader"][0].as_py())
+            at = np.flatnonzero(ids == lead)
+            pivot = int(at[0]) if report and len(at) else None
+            edges, dist, _ = _links_of_group(ids, sizes, flat, pivot, group["linked"].to_numpy().astype(bool), group["dist"].to_numpy().astype(float), percent)
+            out.extend((a, b, None, None, None) for a, b in edges)
+            if report and group["parts"][0].as_py() > 1:
+                out.extend((None, None, lead, int(i), float(d)) for i, d in zip(ids, dist))
             if len(out) > 50_000:
                 yield flush()
-        if held:
-            done(held)
         yield flush()
 
     rows = rows.select("leader", "part", "parts", "id", "dist", "linked", "tokens")
@@ -215,6 +271,10 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     cut = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
     heads = families.select("leader", F.col("leader").alias("id"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     members = stash(members.join(families, "leader").select("leader", "id", "parts", cut.alias("part")).unionByName(heads), "members")
+    # What the prefixes alone rule out is not read again. Parts of one family are not screened against each other, so such families stay whole.
+    shown = prefixes.select(F.col("doc_id").alias("id"), "n", "tokens").join(members.where("parts = 1"), "id")
+    alive = stash(_screen(shown, percent, order).distinct(), "alive")
+    members = stash(members.where("parts > 1").unionByName(members.where("parts = 1").join(alive, ["leader", "id"], "left_semi")), "members")
     wanted = stash(members.select("id").distinct(), "wanted")
     texts = single.join(_small(wanted), F.col("doc_id") == F.col("id"), "left_semi")
     whole = _sets(texts, size, percent, whole=True)
