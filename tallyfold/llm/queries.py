@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, quality, reply_trees
+from . import exact_topk, html_text, mixing, ngram_join, packing, quality, reply_trees, toxicity
 from .shared import table
 
 
@@ -18,10 +18,19 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -30,14 +39,22 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.digests(reply_trees.conversations_with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mix": op3_source_mix,
+    "op5_exact_topk": op5_exact_topk,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_topk": exact_topk.ORACLE,
     "op9_chat_formatting": reply_trees.ORACLE,
 }
