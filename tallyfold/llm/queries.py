@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, html_text, mixing, ngram_join, packing, quality, reply_trees, toxicity
+from . import exact_topk, html_text, language, licenses, mixing, ngram_join, packing, quality, reply_trees, toxicity
 from .shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classify(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_products(table(spark, sf_dir, "embeddings"))
 
@@ -44,8 +52,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mix": op3_source_mix,
+    "op4_license_scan": op4_license_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
@@ -55,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_scan": licenses.oracle(),
     "op5_exact_topk": exact_topk.ORACLE,
     "op9_chat_formatting": reply_trees.ORACLE,
 }
