@@ -49,13 +49,15 @@ def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     parents = reach.select("tree", F.col("up").alias("node")).where("node is not null").distinct()
     jumps: list[DataFrame] = []
     total = nodes.count()
-    while reach.where("up is not null").limit(1).count() and 2 ** len(jumps) <= 2 * total:
-        jumps.append(reach.select("tree", "node", "up").where("up is not null"))
+    while 2 ** len(jumps) <= 2 * total:
+        # Only what has not reached its root goes on; the rest stands still.
+        moving = reach.where("up is not null")
+        if not moving.limit(1).count():
+            break
+        jumps.append(moving.select("tree", "node", "up"))
         above = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"), F.col("length").alias("steps"))
-        reach = stash(
-            reach.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length")),
-            "reach",
-        )
+        moved = moving.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("steps")).alias("length"))
+        reach = reach.where("up is null").unionByName(stash(moved, "reach"))
     leaves = reach.where("up is null").join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), "node"))
     paths = leaves.withColumn("rank", rank).where(F.col("rank") <= keep).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
