@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batched, stash
+from .shared import batched, only, stash
 from .textkit import LOWER, pieces, utf8
 
 #: Records that the text model may be fitted on, hash buckets of 4-grams, most languages, least sample records of one.
@@ -225,4 +225,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = learn(records)
     seen = stash(evidence(records.select("text", *_CLUES), model, _CLUES), "evidence")
     found = fuse(evidence(records, model, [*docs.columns, *_CLUES]), aggregates(seen, len(model.languages)), model.languages)
-    return found.where("kept").select(*[F.col("language").alias("lang") if c == "lang" else c for c in docs.columns])
+    return only(found, "kept").select(*[F.col("language").alias("lang") if c == "lang" else c for c in docs.columns])

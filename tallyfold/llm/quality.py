@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash, words_of
+from .shared import only, stash, words_of
 
 #: Common words by language; another language has none, and only its characters are compared.
 COMMON = {
@@ -137,4 +137,4 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judged(docs).where("kept").select(*docs.columns)
+    return only(judged(docs), "kept").select(*docs.columns)

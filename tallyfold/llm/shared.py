@@ -49,6 +49,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(df: DataFrame, verdict: str) -> DataFrame:
+    """The rows whose column ``verdict`` is true, decided after it is computed.
+
+    A plain filter would be pushed down with all that the verdict is made of, and
+    then work out arrays again for each of their elements.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).where(F.col(verdict) & (F.col("_at") >= 0)).drop("_at")
+
+
 def batched(spark: SparkSession) -> None:
     """Keeps the Arrow batches that go to Python small, also for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
