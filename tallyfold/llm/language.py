@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import batched, only, stash
 from .textkit import LOWER, pieces, utf8
@@ -99,8 +100,8 @@ def evidence(records: DataFrame, model: TextModel, keep: list[str]) -> DataFrame
                 rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(ll.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), rows], [*keep, "_ll"])
 
-    kinds = dict(records.dtypes)
-    return records.select(columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _ll array<double>")
+    schema = T.StructType([*(records.schema[c] for c in keep), T.StructField("_ll", T.ArrayType(T.DoubleType()))])
+    return records.select(columns).mapInArrow(run, schema)
 
 
 def _softmax(x: Column) -> Column:
@@ -221,8 +222,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     Texts pass twice, once for the aggregates and once for the decision, so that no text is shuffled.
     """
-    records = documents_as_records(docs)
+    records = documents_as_records(docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source"))
     model = learn(records)
     seen = stash(evidence(records.select("text", *_CLUES), model, _CLUES), "evidence")
-    found = fuse(evidence(records, model, [*docs.columns, *_CLUES]), aggregates(seen, len(model.languages)), model.languages)
-    return only(found, "kept").select(*[F.col("language").alias("lang") if c == "lang" else c for c in docs.columns])
+    found = fuse(evidence(records, model, ["_row", *_CLUES]), aggregates(seen, len(model.languages)), model.languages)
+    row = F.col("_row").withField("lang", F.col("language")) if "lang" in docs.columns else F.col("_row")
+    return only(found.withColumn("_row", row), "kept").select("_row.*")

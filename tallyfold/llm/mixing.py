@@ -186,10 +186,13 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A last draw of part of a document has its first words, one blank apart.
     """
-    rows = mixed(docs).select(*docs.columns, "size", F.explode("draws").alias("_draw"))
-    cut = F.when(F.col("_draw.words") < F.col("size"), F.array_join(F.slice(words_of(F.coalesce("text", F.lit(""))), F.lit(1), F.col("_draw.words").cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cut)
+    rows = mixed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source"))
+    rows = rows.select("_row", "doc_id", "text", "size", F.explode("draws").alias("_draw"))
+    partial = F.col("_draw.words") < F.col("size")
+    first = F.array_join(F.slice(words_of(F.coalesce("text", F.lit(""))), F.lit(1), F.col("_draw.words").cast("int")), " ")
+    row = F.col("_row").withField("text", F.when(partial, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_draw.words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        row = row.withField("n_chars", F.when(partial, F.length(first).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")))
+    rows = rows.withColumn("_row", row)
     rows = rows.repartition("_draw.shard", F.pmod(F.xxhash64("doc_id", "_draw.pass"), F.lit(4))).sortWithinPartitions("_draw.shard", F.xxhash64(F.lit(SEED + 2), "doc_id", "_draw.pass"))
-    return rows.select(*docs.columns)
+    return rows.select("_row.*")

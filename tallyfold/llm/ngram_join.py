@@ -325,9 +325,11 @@ def classify(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
 def deduplicate(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id, once.
 
-    Documents without words or id are in no class and stay.
+    Documents without words are in no class and stay, as do rows without doc_id.
     """
-    classes = classify(docs.select("doc_id", "text"), size, percent)
+    classes = stash(classify(docs.select("doc_id", "text"), size, percent), "classes")
     surplus = stash(classes.where("component_id != doc_id").select("doc_id").distinct(), "surplus")
-    kept = docs.join(surplus, "doc_id", "left_anti")
+    kept = docs.join(_small(surplus), "doc_id", "left_anti").select(*docs.columns)
+    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept

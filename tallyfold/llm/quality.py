@@ -136,5 +136,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return only(judged(docs), "kept").select(*docs.columns)
+    """The documents that pass, with the columns they came with, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
+    return only(judged(rows), "kept").select("_row.*")
