@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batched, only, stash
+from .shared import batched, only, restored, set_aside, stash
 from .textkit import LOWER, pieces, utf8
 
 #: Records that the text model may be fitted on, hash buckets of 4-grams, most languages, least sample records of one.
@@ -222,9 +222,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     Texts pass twice, once for the aggregates and once for the decision, so that no text is shuffled.
     """
-    records = documents_as_records(docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source"))
+    records = documents_as_records(set_aside(docs, "text", "lang", "source"))
     model = learn(records)
     seen = stash(evidence(records.select("text", *_CLUES), model, _CLUES), "evidence")
-    found = fuse(evidence(records, model, ["_row", *_CLUES]), aggregates(seen, len(model.languages)), model.languages)
-    row = F.col("_row").withField("lang", F.col("language")) if "lang" in docs.columns else F.col("_row")
-    return only(found.withColumn("_row", row), "kept").select("_row.*")
+    aside = [c for c in records.columns if c.startswith("_in_")]
+    found = fuse(evidence(records, model, [*aside, *_CLUES]), aggregates(seen, len(model.languages)), model.languages)
+    return restored(only(found, "kept"), docs, lang=F.col("language"))

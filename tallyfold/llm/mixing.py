@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stash, words_of
+from .shared import restored, set_aside, stash, words_of
 
 #: Weights of the sources in order, repeating; times a document may be taken.
 WEIGHTS, MOST_PASSES = (1, 2, 3), 3
@@ -186,13 +186,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A last draw of part of a document has its first words, one blank apart.
     """
-    rows = mixed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source"))
-    rows = rows.select("_row", "doc_id", "text", "size", F.explode("draws").alias("_draw"))
+    rows = mixed(set_aside(docs, "doc_id", "text", "source")).withColumn("_draw", F.explode("draws"))
     partial = F.col("_draw.words") < F.col("size")
     first = F.array_join(F.slice(words_of(F.coalesce("text", F.lit(""))), F.lit(1), F.col("_draw.words").cast("int")), " ")
-    row = F.col("_row").withField("text", F.when(partial, first).otherwise(F.col("text")))
+    changed = {"text": F.when(partial, first).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(partial, F.length(first).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")))
-    rows = rows.withColumn("_row", row)
+        changed["n_chars"] = F.when(partial, F.length(first)).otherwise(F.col("_in_n_chars"))
     rows = rows.repartition("_draw.shard", F.pmod(F.xxhash64("doc_id", "_draw.pass"), F.lit(4))).sortWithinPartitions("_draw.shard", F.xxhash64(F.lit(SEED + 2), "doc_id", "_draw.pass"))
-    return rows.select("_row.*")
+    return restored(rows, docs, **changed)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, stash, words_of
+from .shared import only, restored, set_aside, stash, words_of
 
 #: Common words by language; another language has none, and only its characters are compared.
 COMMON = {
@@ -137,5 +137,4 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with, whatever their names."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
-    return only(judged(rows), "kept").select("_row.*")
+    return restored(only(judged(set_aside(docs, "text", "lang")), "kept"), docs)

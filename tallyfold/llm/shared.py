@@ -49,6 +49,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns under names of their own, and those that the work needs once more, so that no name clashes with a computed one."""
+    return docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], *needed)
+
+
+def restored(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` as they were set aside, but for those that are changed."""
+    return rows.select(*[changed.get(c, F.col(f"_in_{c}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 def only(df: DataFrame, verdict: str) -> DataFrame:
     """The rows whose column ``verdict`` is true, decided after it is computed.
 
