@@ -22,6 +22,8 @@ from .textkit import LOWER, pieces, utf8, words
 
 #: Labelled rows that the fit may read, hash buckets of terms, terms with weights of their own, factors of a term.
 SAMPLE, BUCKETS, TERMS, FACTORS = 20_000, 1 << 22, 4096, 6
+#: Most frequent terms that have weights in any case.
+FREQUENT = 128
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.3
 #: Rows whose crc32 of the id has this remainder by 4 are held out from the fit.
@@ -86,8 +88,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 150, rate: float = 0.
     expected = seen * share
     tells = (hits - expected) ** 2 / (expected * (1 - share) * (1 - seen / (n + 1)) + 1.0)
     tells[seen < 3] = 0
-    chosen = np.sort(np.argsort(-tells, kind="stable")[:TERMS])
-    chosen = chosen[tells[chosen] > 6.0]
+    chosen = np.argsort(-tells, kind="stable")[:TERMS]
+    # Frequent words too: one that tells nothing alone may tell with another.
+    chosen = np.union1d(chosen[tells[chosen] > 6.0], np.argsort(-seen, kind="stable")[:FREQUENT])
     if not len(chosen):
         return none
     place = np.full(len(names), -1)
@@ -104,8 +107,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 150, rate: float = 0.
         squares = np.stack([np.bincount(owner, v[column, f] ** 2, n) for f in range(FACTORS)], axis=1)
         margin = b + np.bincount(owner, w[column], n) + 0.5 * (sums**2 - squares).sum(axis=1)
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic) / n
-        gw = np.bincount(column, error[owner], m) + decay / n * w * 10
-        gv = np.stack([np.bincount(column, error[owner] * (sums[owner, f] - v[column, f]), m) for f in range(FACTORS)], axis=1) + decay / n * v * 100
+        gw = np.bincount(column, error[owner], m) + decay / n * w * 100
+        gv = np.stack([np.bincount(column, error[owner] * (sums[owner, f] - v[column, f]), m) for f in range(FACTORS)], axis=1) + decay / n * v * 2000
         gb = float(error.sum())
         for k, g in ((0, gw), (2, gv)):
             flat[k] = 0.9 * flat[k] + 0.1 * g
