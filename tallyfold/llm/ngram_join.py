@@ -333,3 +333,21 @@ def deduplicate(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
     if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept
+
+
+#: The same classes in SQL, by counting the shingles that each pair of documents shares. For small tables: its pairs grow with the square of a shingle's documents.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS shared FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * shared >= 85 * (nx + ny - shared)),
+r(x, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.y, r.c FROM r JOIN l USING (x))
+SELECT s.doc_id, CAST(len(s.s) AS bigint) AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON s.doc_id = m.x
+"""

@@ -138,3 +138,51 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with, whatever their names."""
     return restored(only(judged(set_aside(docs, "text", "lang")), "kept"), docs)
+
+
+def oracle() -> str:
+    """The same counts and verdicts in SQL."""
+    classes, steps = [], []
+    for k, pattern in enumerate(CLASSES):
+        quoted = pattern.replace("'", "''").replace(r"\x22", '"')
+        steps.append(f"c{k} AS (SELECT *, regexp_replace(r{k}, '{quoted}', '', 'g') AS r{k + 1} FROM {'w' if k == 0 else f'c{k - 1}'})")
+        classes.append(f"length(r{k}) - length(r{k + 1})")
+    last = len(CLASSES)
+    chars = ", ".join([*classes, f"length(r{last})"])
+    lists = " ".join(f"WHEN '{lang}' THEN {list(words)}" for lang, words in COMMON.items())
+    return rf"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS r0, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         CASE lang {lists} ELSE [] END AS listed
+  FROM documents),
+{", ".join(steps)},
+h AS (
+  SELECT doc_id, lang, r0, w, [{chars}] AS ch,
+         list_transform(listed, lambda v: len(list_filter(w, lambda x: lower(x) = v))) AS hits
+  FROM c{last - 1}),
+k AS (SELECT *, list_append(hits, len(w) - coalesce(list_sum(hits), 0)) AS cw FROM h),
+m AS (SELECT doc_id, lang, unnest(ch) AS ch, generate_subscripts(ch, 1) AS i FROM k),
+n AS (SELECT doc_id, lang, unnest(cw) AS cw, generate_subscripts(cw, 1) AS i FROM k),
+rm AS (SELECT lang, i, sum(ch) AS q FROM m GROUP BY ALL),
+rn AS (SELECT lang, i, sum(cw) AS q FROM n GROUP BY ALL),
+pm AS (SELECT doc_id, CAST(ch AS double) / nullif(sum(ch) OVER (PARTITION BY doc_id), 0) AS p, CAST(q AS double) / nullif(sum(q) OVER (PARTITION BY doc_id), 0) AS q FROM m JOIN rm ON m.i = rm.i AND m.lang IS NOT DISTINCT FROM rm.lang),
+pn AS (SELECT doc_id, CAST(cw AS double) / nullif(sum(cw) OVER (PARTITION BY doc_id), 0) AS p, CAST(q AS double) / nullif(sum(q) OVER (PARTITION BY doc_id), 0) AS q FROM n JOIN rn ON n.i = rn.i AND n.lang IS NOT DISTINCT FROM rn.lang),
+d AS (
+  SELECT doc_id, max(CASE WHEN side = 'c' THEN js END) AS dc, max(CASE WHEN side = 'w' THEN js END) AS dw FROM (
+    SELECT side, doc_id, sqrt(greatest(coalesce(sum(0.5 * CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + 0.5 * CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) FILTER (p IS NOT NULL AND q IS NOT NULL), 0), 0)) AS js
+    FROM (SELECT 'c' AS side, * FROM pm UNION ALL SELECT 'w', * FROM pn) GROUP BY ALL) GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM k WHERE len(w) >= 3),
+t2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM t),
+t3 AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM t2 WHERE c > 1) GROUP BY doc_id),
+o AS (
+  SELECT k.doc_id, CAST(len(w) AS bigint) AS n_words, CAST(length(array_to_string(w, '')) AS bigint) AS word_chars,
+         CAST(length(r0) - length(regexp_replace(r0, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+         CAST(len(list_filter(string_split(r0, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(r0, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS bigint) AS n_dup_lines,
+         CAST(coalesce(t3.n, 0) AS bigint) AS n_repeat_words, coalesce(dc, 0) AS dc, coalesce(dw, 0) AS dw
+  FROM k LEFT JOIN t3 USING (doc_id) LEFT JOIN d USING (doc_id)),
+v AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= {GUARD_WORDS} AND (dc > {MOST_CHARS} OR dw > {MOST_WORDS})) AS kept,
+       round(dc, 6) AS char_distance, round(dw, 6) AS word_distance
+FROM v
+"""

@@ -65,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": ngram_join.ORACLE,
     "op4_license_scan": licenses.oracle(),
     "op5_exact_topk": exact_topk.ORACLE,
+    "op8_quality_rules": quality.oracle(),
     "op9_chat_formatting": reply_trees.ORACLE,
 }
