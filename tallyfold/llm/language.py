@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import batched, only, restored, set_aside, stash
-from .textkit import LOWER, pieces, utf8
+from .textkit import LOWER, SEPARATOR, pieces, utf8
 
 #: Records that the text model may be fitted on, hash buckets of 4-grams, most languages, least sample records of one.
 SAMPLE, BUCKETS, LANGUAGES, LEAST = 4000, 1 << 16, 64, 3
@@ -34,16 +34,27 @@ UNKNOWN, CONFIDENT = "und", 0.5
 UNIT = 1_000_000
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each run of four bytes, and where each text's runs begin and end."""
+#: Bytes as 4-grams see them: A-Z in lower case, white space as a blank; and whether a 4-gram may hold them: letters and blanks.
+_SEEN = LOWER.copy()
+_SEEN[SEPARATOR] = 32
+_PLAIN = SEPARATOR.copy()
+_PLAIN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each run of four bytes, whether it counts, and where each text's runs begin and end.
+
+    Runs with digits or marks say nothing of a language, as in numbers, addresses and keys, and don't count.
+    """
     data, starts = utf8(texts)
     if len(data) < 4:
-        return np.zeros(0, np.int64), np.zeros(len(starts) - 1, np.int64), np.zeros(len(starts) - 1, np.int64)
-    low = LOWER[data].astype(np.uint32)
+        none = np.zeros(len(starts) - 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool), none, none
+    low, plain = _SEEN[data].astype(np.uint32), _PLAIN[data]
     word = low[:-3] | low[1:-2] << np.uint32(8) | low[2:-1] << np.uint32(16) | low[3:] << np.uint32(24)
     buckets = (word * np.uint32(2654435761)) >> np.uint32(16)
     begin = np.minimum(starts[:-1], len(buckets))
-    return buckets.astype(np.int64), begin, np.maximum(begin, np.minimum(starts[1:] - 3, len(buckets)))
+    return buckets.astype(np.int64), plain[:-3] & plain[1:-2] & plain[2:-1] & plain[3:], begin, np.maximum(begin, np.minimum(starts[1:] - 3, len(buckets)))
 
 
 @dataclass
@@ -54,12 +65,13 @@ class TextModel:
     table: np.ndarray
 
     def likelihoods(self, texts: pa.Array) -> np.ndarray:
-        buckets, begin, end = _grams(texts)
-        n = np.maximum(end - begin, 1)
+        buckets, counted, begin, end = _grams(texts)
+        many = np.concatenate([[0], np.cumsum(counted)])
+        n = np.maximum(many[end] - many[begin], 1)
         scale = np.minimum(n, FULL) / (4.0 * n)
         out = np.zeros((len(begin), len(self.languages)))
         for k, row in enumerate(self.table):
-            total = np.concatenate([[0.0], np.cumsum(row[buckets], dtype=np.float64)])
+            total = np.concatenate([[0.0], np.cumsum(row[buckets] * counted, dtype=np.float64)])
             out[:, k] = (total[end] - total[begin]) * scale
         return out
 
@@ -76,26 +88,24 @@ def learn(records: DataFrame, sample: int = SAMPLE) -> TextModel:
         texts = some["text"][some["declared"] == name].tolist()
         seen = np.zeros(BUCKETS)
         for i in range(0, len(texts), 200):
-            buckets, begin, end = _grams(pa.array(texts[i : i + 200], pa.string()))
+            buckets, counted, begin, end = _grams(pa.array(texts[i : i + 200], pa.string()))
             inside = np.zeros(len(buckets) + 1, np.int64)
             np.add.at(inside, begin, 1)
             np.add.at(inside, end, -1)
-            seen += np.bincount(buckets[np.cumsum(inside[:-1]) > 0], minlength=BUCKETS)
+            seen += np.bincount(buckets[(np.cumsum(inside[:-1]) > 0) & counted], minlength=BUCKETS)
         table[k] = np.log((seen + 0.05) / (seen.sum() + 0.05 * BUCKETS))
     return TextModel([*languages, UNKNOWN], table)
 
 
 def evidence(records: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``records`` and ``_ll``, the text's log likelihood under each language."""
-    spark = records.sparkSession
-    batched(spark)
-    shared = spark.sparkContext.broadcast(model)
+    batched(records.sparkSession)
     columns = [c for c in records.columns if c in keep or c == "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                ll = shared.value.likelihoods(part.column("text"))
+                ll = model.likelihoods(part.column("text"))
                 ends = np.arange(0, ll.size + 1, ll.shape[1], dtype=np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(ll.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), rows], [*keep, "_ll"])

@@ -9,7 +9,6 @@ sum of squared fills, so the search ends, and bins that empty are dropped.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -28,9 +27,8 @@ TRIED = 400
 SPECIAL = "<|endoftext|>"
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(vocabulary: str, ranks: str):
-    """Ids of a text. The ranks file has the same vocabulary in the form of the faster library."""
+    """A function from a text to its ids, made once per task. The ranks file has the same vocabulary in the form of the faster library."""
     import base64
 
     import public_tokenizers

@@ -138,14 +138,12 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     A null or empty text gets the score of a text without known terms.  Repeated
     rows are each scored; a null doc_id is not held out.
     """
-    spark = docs.sparkSession
-    batched(spark)
-    shared = spark.sparkContext.broadcast(machine)
+    batched(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(part.column("text")), pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(machine.scores(part.column("text")), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
