@@ -92,7 +92,8 @@ def split_quotas(root: DataFrame, levels: int) -> DataFrame:
 
         tree = tree.withColumn("left", F.aggregate("quotas", start, give)["left"])
         right = F.zip_with("quotas", "left", lambda q, t: q - t)
-        tree = tree.select(F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quotas")))).alias("x")).select("x.*")
+        # Each level is written: its expressions are long, and all levels in one plan would weigh on the driver.
+        tree = stash(tree.select(F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quotas")))).alias("x")).select("x.*"), "tree")
     return tree
 
 
