@@ -21,7 +21,7 @@ from .shared import batched
 from .textkit import LOWER, pieces, utf8, words
 
 #: Labelled rows that the fit may read, hash buckets of terms, terms with weights of their own, factors of a term.
-SAMPLE, BUCKETS, TERMS, FACTORS = 20_000, 1 << 22, 4096, 6
+SAMPLE, BUCKETS, TERMS, FACTORS = 10_000, 1 << 22, 4096, 6
 #: Most frequent terms that have weights in any case.
 FREQUENT = 128
 #: Score from which a text is predicted toxic.
