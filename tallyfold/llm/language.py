@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 from .shared import batched, only, restored, set_aside, stash
 from .textkit import LOWER, SEPARATOR, pieces, utf8
 
-#: Records that the text model may be fitted on, hash buckets of 4-grams, most languages, least sample records of one.
-SAMPLE, BUCKETS, LANGUAGES, LEAST = 4000, 1 << 16, 64, 3
+#: Texts that the text model is fitted on, dealt evenly among the languages, and the least bound for one language; hash buckets of 4-grams.
+SAMPLE, EACH, BUCKETS = 4000, 200, 1 << 16
+#: A declared name is a language if so many records declare it, and so many millionths of all that declare one: below that it is noise.
+LEAST, MILLIONTHS = 3, 1
 #: 4-grams of a text count in full up to this number, and four overlapping ones as one.
 FULL = 400
 #: Records that a parent's share stands for in the smoothing, of hosts and of the two likelihoods.
@@ -77,12 +79,21 @@ class TextModel:
 
 
 def learn(records: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Fits on about ``sample`` records (text, declared), chosen by a hash of the text; languages are what they declare."""
-    known = records.where(F.col("declared").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, sample / max(1, known.count()))
-    some = known.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("declared", "text").dropDuplicates().limit(2 * sample).toPandas()
-    counts = some["declared"].value_counts()
-    languages = sorted(counts[counts >= LEAST].sort_index().sort_values(ascending=False, kind="stable").index[:LANGUAGES])
+    """Fits on the texts of each language with the least hashes; languages are what all ``records`` (text, declared) declare.
+
+    A language takes ``sample`` divided by the number of languages, but ``EACH`` at least, or all its texts if they are fewer.
+    """
+    known = records.where(F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN) & F.col("text").isNotNull()).select("declared", "text")
+    known = known.withColumn("hash", F.xxhash64(F.lit(3), "text"))
+    labels = stash(known.groupBy("declared").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("hash").alias("texts")), "labels")
+    least = max(LEAST, (labels.agg(F.sum("n")).first()[0] or 0) * MILLIONTHS // 1_000_000)
+    languages = sorted(r[0] for r in labels.where(F.col("n") >= least).select("declared").collect())
+    each = max(EACH, sample // max(1, len(languages)))
+    # The least hashes of a language lie below a bound that its number of texts gives; a quarter more, as that number is estimated.
+    bounds = labels.where(F.col("n") >= least).select("declared", F.when(F.col("texts") > each, 1.25 * each / F.col("texts")).otherwise(1.0).alias("share"))
+    low = known.join(F.broadcast(bounds), "declared").where(F.pmod("hash", F.lit(1 << 40)) <= F.col("share") * float(1 << 40))
+    some = low.dropDuplicates(["declared", "hash"]).toPandas()
+    some = some.assign(at=some["hash"] % (1 << 40)).sort_values(["declared", "at", "hash"]).groupby("declared").head(each)
     table = np.full((len(languages) + 1, BUCKETS), -np.log(BUCKETS))
     for k, name in enumerate(languages):
         texts = some["text"][some["declared"] == name].tolist()

@@ -45,6 +45,18 @@ def test_languages(spark):
     assert language.identify_corpus(docs.limit(0), pages.limit(0)).collect() == []
 
 
+def test_rare_and_many_languages_have_models(spark):
+    """Languages come from all records: one with few among many texts, and more than 64 of them."""
+    rows = [(f"the house number of tree {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "en") for i in range(6000)]
+    rows += [(f"ett hus med grannar och skogar {c}", "sv") for c in "abcde"] + [("the house of trees", "und")] * 9
+    frame = spark.createDataFrame(rows, "text string, declared string")
+    model = language.learn(frame, 40)
+    assert model.languages == ["en", "sv", language.UNKNOWN]
+    assert np.argmax(model.likelihoods(pa.array(["ett hus och skogar", "the number of trees"])), axis=1).tolist() == [1, 0]
+    many = [(f"word{chr(97 + k // 10)}{chr(97 + k % 10)} text {c}", f"l{k:02d}") for k in range(70) for c in "abc"]
+    assert len(language.learn(spark.createDataFrame(many, frame.schema)).languages) == 71
+
+
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"]
     british = "Copyright (c) 2019 Someone\n\n" + mit.upper().replace(",", " ,").replace("\n\n", "\n")
