@@ -102,9 +102,9 @@ def _top(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.top_features(_rounded(rows, importance=4), 3, list(columns))
 
 
-#: Features that the registered learners read: a few of each block, so that a run takes seconds.
-LEARNED = ["recency_days", "tenure_days", "n_active_days_total", "recency_purchase_days", "n_purchase_days", "total_purchase_gmv", "mean_purchase_gap", "gmv_sum_30d", "gmv_sum_90d", "gmv_sum_365d", "to_ord_sum_365d", "searches_sum_365d", "btyd_p_alive", "btyd_exp_orders_30d", "btyd_exp_gmv_30d", "ema_gmv_90d", "avg_order_value_365d", "log1p_gmv_sum_365d", "log1p_btyd_exp_gmv_30d"]
-TREES = learn.Trees(rounds=8, depth=3)
+#: Features that the registered learners read, and how many of the most important ones the factorization machines do; trials of the search.
+LEARNED, MOST_IMPORTANT, TRIALS = list(S.FEATURES), 100, 40
+TREES = learn.Trees()
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,22 +113,35 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _gbt(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
-    return learn.out_of_fold(vectors, learn.fit_folds(vectors, TREES, last=2), "gbt")
+    return learn.out_of_fold(vectors, learn.fit_folds(vectors, TREES), "gbt")
 
 
 def _forest(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
-    return learn.out_of_fold(vectors, learn.fit_folds(vectors, TREES, "forest", "leave_one_out", last=2), "forest")
+    return learn.out_of_fold(vectors, learn.fit_folds(vectors, TREES, "forest", "leave_one_out"), "forest")
 
 
-def _importance(spark: SparkSession, sf: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf: str, k: int) -> DataFrame:
     vectors = _vectors(spark, sf)
-    return evaluate.top_features(evaluate.mean_importance(learn.importances(learn.fit_folds(vectors, TREES, last=1), LEARNED, spark)), 30)
+    return evaluate.top_features(evaluate.mean_importance(learn.importances(learn.fit_folds(vectors, TREES), LEARNED, spark)), k)
+
+
+def _importance(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(spark, sf, 30)
+
+
+def _factors(spark: SparkSession, sf: str) -> DataFrame:
+    best = [r["feature"] for r in _ranked(spark, sf, MOST_IMPORTANT).collect()]
+    return evaluate.seed_average(learn.factor_seeds(_with_target(spark, sf, tuple(best)), best, ORDERS.kept_folds - 1))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
-    return evaluate.submission(evaluate.fold_average(learn.predict(vectors, learn.fit_folds(vectors, TREES, last=2), "gbt")))
+    return evaluate.submission(evaluate.fold_average(learn.predict(vectors, learn.fit_folds(vectors, TREES), "gbt")))
+
+
+def _search(spark: SparkSession, sf: str) -> DataFrame:
+    return learn.search(_vectors(spark, sf), learn.candidates(TRIALS), last=2)
 
 
 def _loglik(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,10 +213,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "blend": lambda s, d: _rounded(evaluate.blend(_predictions(s, d).where("fold = 'test'").withColumnRenamed("pred", "predict").drop("target"), {"last30": 0.50, "btyd": 0.35, "last90": 0.15}), predict=4),
     "gbt_walk_forward": _gbt,
     "rf_leave_one_out": _forest,
-    "fm_seeds": lambda s, d: evaluate.seed_average(learn.factor_seeds(_with_target(s, d, tuple(LEARNED)), LEARNED, ORDERS.kept_folds - 1, rounds=5)),
+    "fm_seeds": _factors,
     "feature_importance": _importance,
     "gbt_test_scores": _scored,
-    "random_search": lambda s, d: learn.search(_vectors(s, d), [learn.quick(t, 4) for t in learn.candidates(2)], last=1),
+    "random_search": _search,
     "bgnbd_fit": lambda s, d: btyd.fit_bgnbd(_summaries(s, d), rounds=6),
     "gamma_gamma_fit": lambda s, d: btyd.fit_gamma_gamma(_summaries(s, d), rounds=6),
     "sample_per_fold": lambda s, d: features.sample_rows(features.sample_fraction(folds.universe(_orders(s, d), _folds(s)), 0.3), 100),

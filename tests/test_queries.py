@@ -19,6 +19,34 @@ def test_query_equals_sql(spark, duck, name):
     same(QUERIES[name](spark, DATA), duck, ORACLES[name])
 
 
+def test_registered_learners_run_the_whole_job(spark, monkeypatch):
+    """All features, all folds and the default trees; the search has its trials' own depths; machines read the 100 most important."""
+    from tallyfold import schema as S
+    from tallyfold.operators import evaluate, learn
+    from tallyfold.plans import queries
+
+    read, fits, machines, searches = [], [], [], []
+    ranks = spark.createDataFrame([(0, c, float(k)) for k, c in enumerate(S.FEATURES)], "fold_model int, feature string, importance double")
+    monkeypatch.setattr(queries, "_with_target", lambda s, d, columns=S.FEATURES: columns)
+    monkeypatch.setattr(learn, "assembled", lambda table, columns: read.append(list(columns)))
+    monkeypatch.setattr(learn, "fit_folds", lambda vectors, settings, kind="gbt", scheme="walk_forward", last=None: fits.append((settings, last)))
+    monkeypatch.setattr(learn, "importances", lambda *a: ranks)
+    monkeypatch.setattr(learn, "search", lambda vectors, trials, last=2: searches.append((trials, last)))
+    monkeypatch.setattr(learn, "factor_seeds", lambda table, columns, valid, **more: machines.append((list(table), list(columns), more)))
+    for name in ("out_of_fold", "predict"):
+        monkeypatch.setattr(learn, name, lambda *a: None)
+    for name in ("seed_average", "fold_average", "submission"):
+        monkeypatch.setattr(evaluate, name, lambda *a: None)
+    names = ["gbt_walk_forward", "rf_leave_one_out", "feature_importance", "gbt_test_scores", "fm_seeds", "random_search"]
+    found = {n: QUERIES[n](spark, DATA) for n in names}
+    assert read == [list(S.FEATURES)] * 6 and fits == [(learn.Trees(), None)] * 5
+    assert found["feature_importance"].count() == 30
+    best = list(S.FEATURES)[::-1][:100]
+    assert machines == [(best, best, {})]
+    (trials, last) = searches[0]
+    assert len(trials) == 40 and last == 2 and {t.depth for t in trials} == {4, 5, 6, 7}
+
+
 def test_entry_and_registration(spark):
     import __spark_entry__ as entry
 
