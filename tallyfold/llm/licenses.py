@@ -3,7 +3,7 @@
 A text is brought to one canonical form: lower case, copyright lines left out,
 punctuation and blanks as single blanks, equivalent spellings as one.  Digests
 of the whole canonical text and of each of its lines are hash-joined with those
-of known licenses and license notices, a fixed table of a few rows.
+of known licenses and license notices: a table (name, text), by default a fixed one.
 DataFrame operations only.
 """
 
@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One spelling for each group of equivalent words.
@@ -64,6 +65,17 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+#: Whole licenses in ``license_texts`` with the number of lines of their title, and titles that are put before the texts without one.
+WHOLE = {"Apache-2.0": 3, "BSD-2-Clause": 0, "BSD-3-Clause": 0, "CC0-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-2.0": 2}
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License"),
+}
+#: What may stand between a short license's title and its text, once the holder's line is left out; where a long license's terms end and its advice on use begins.
+RESERVED, TERMS_END = "All rights reserved.", "END OF TERMS AND CONDITIONS"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -85,7 +97,7 @@ def canonical(text: str) -> str:
 
 
 def known() -> list[tuple[str, str]]:
-    """(digest, license) of all known texts, one row for each digest."""
+    """(digest, license) of the notices and texts above, for the SQL, one row for each digest."""
     found: dict[str, str] = {}
     for name, texts in [*NOTICES.items(), *((n, (t,)) for n, t in TEXTS.items())]:
         for text in texts:
@@ -93,21 +105,52 @@ def known() -> list[tuple[str, str]]:
     return sorted(found.items())
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, scope, line, license): what of each document is a known license.
+def shipped() -> list[tuple[str, str]]:
+    """(name, text) of all known notices and whole licenses: each of these with and without title, advice on use and numbers of its conditions."""
+    folder = Path(__file__).parent / "license_texts"
+    rows = [(name, text) for name, texts in NOTICES.items() for text in texts]
+    whole = {name: (text, 0) for name, text in TEXTS.items()} | {name: ((folder / f"{name}.txt").read_text(encoding="utf-8"), n) for name, n in WHOLE.items()}
+    for name, (text, heading) in whole.items():
+        lines = text.strip("\n").split("\n")
+        bodies = ["\n".join(lines), "\n".join(lines[heading:])]
+        bodies += [b[: b.index(TERMS_END) + len(TERMS_END)] for b in bodies if TERMS_END in b]
+        bodies += [re.sub(r"(?m)^\d\. ", "", b) for b in bodies if name.startswith("BSD")]
+        starts = ("", *(f"{t}\n\n" for t in TITLES.get(name, ())))
+        between = ("", f"{RESERVED}\n\n") if name in TITLES else ("",)
+        rows += [(name, start + middle + body) for body in dict.fromkeys(bodies) for start in starts for middle in between]
+    return rows
+
+
+def _whole(form: Column) -> Column:
+    return F.btrim(F.regexp_replace(form, r"[ \n]+", " "))
+
+
+def _digest(form: Column) -> Column:
+    return F.md5(form.cast("binary"))
+
+
+def digests_of(known: DataFrame) -> DataFrame:
+    """(digest, license) of known texts (name, text), by the same expressions as those of documents; the first name where several have one form."""
+    form = known.select("name", _whole(canonical_lines(F.col("text"))).alias("whole")).where("whole != ''")
+    return form.groupBy(_digest(F.col("whole")).alias("digest")).agg(F.min("name").alias("license"))
+
+
+def known_texts(spark: SparkSession) -> DataFrame:
+    """The shipped licenses as a table (name, text)."""
+    return spark.createDataFrame(shipped(), "name string, text string")
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, scope, line, license): what of each document is a known license, of ``known`` (name, text) or else of those shipped.
 
     ``scope`` is 'text' where the whole document is one (line 0), and 'line' for
     each line that is, counted from 1 among the lines of the canonical form.  A
     null, empty or blank text has none.  Repeated rows and lines each give rows.
     """
-    spark = docs.sparkSession
-    table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(n).alias("license")) for d, n in known()])).alias("k")).select("k.*")
+    table = digests_of(known_texts(docs.sparkSession) if known is None else known)
     lines = docs.select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("form"))
-    lines = lines.select("doc_id", F.split("form", "\n").alias("lines"), F.btrim(F.regexp_replace("form", r"[ \n]+", " ")).alias("whole"))
-    digests = lines.select(
-        "doc_id",
-        F.posexplode(F.concat(F.array(F.md5(F.col("whole").cast("binary"))), F.transform("lines", lambda x: F.md5(F.btrim(x).cast("binary"))))).alias("line", "digest"),
-    )
+    lines = lines.select("doc_id", F.split("form", "\n").alias("lines"), _whole(F.col("form")).alias("whole"))
+    digests = lines.select("doc_id", F.posexplode(F.concat(F.array(_digest(F.col("whole"))), F.transform("lines", lambda x: _digest(F.btrim(x))))).alias("line", "digest"))
     return digests.join(F.broadcast(table), "digest").select("doc_id", F.when(F.col("line") == 0, "text").otherwise("line").alias("scope"), "line", "license")
 
 

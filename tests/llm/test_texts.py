@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,22 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_whole_licenses(spark):
+    """Whole licenses with a holder's line, with or without their title; other known texts as a table."""
+    folder = Path(licenses.__file__).parent / "license_texts"
+    named = {n: (folder / f"{n}.txt").read_text() for n in licenses.WHOLE}
+    rows = list(named.items())
+    rows += [("MIT", f"MIT License\n\nCopyright (c) 2020 A B\n\n{licenses.TEXTS['MIT']}\n"), ("ISC", f"ISC License\n\nCopyright 2020, A B\n\n{licenses.TEXTS['ISC']}")]
+    rows += [("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2023, X\nAll rights reserved.\n\n{named['BSD-3-Clause']}"), ("BSD-2-Clause", named["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* "))]
+    rows += [("Apache-2.0", named["Apache-2.0"].split("APPENDIX")[0]), ("GPL-3.0", "\n".join(named["GPL-3.0"].split("\n")[2:]))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.license for r in licenses.scan(docs).where("scope = 'text'").collect()}
+    assert found == {i: n for i, (n, _) in enumerate(rows)}
+    own = spark.createDataFrame([("own", "Do what\nyou like, whilst here."), ("blank", " \n")], "name string, text string")
+    mine = spark.createDataFrame([(1, "DO what you like -- while here"), (2, rows[0][1]), (3, "")], "doc_id long, text string")
+    assert [(r.doc_id, r.scope, r.license) for r in licenses.scan(mine, own).orderBy("scope").collect()] == [(1, "line", "own"), (1, "text", "own")]
+
+
 def quality_of(text):
     text = text or ""
     words = WORD.findall(text)
