@@ -4,7 +4,8 @@ The standard library's parser turns a page into lines, one per block, each with
 its text and the tags met since the last one.  The text-to-tag ratio of the
 lines, smoothed by a Gaussian, is split into two clusters by a threshold; lines
 of the high cluster are content.  What the markup itself names as navigation,
-form, notice, advert or comments is no line at all. Where a page marks its
+form, notice, advert or comments is no line at all, unless a form or a part set aside
+by its class holds most of the page's text. Where a page marks its
 article and the high cluster meets it, the article is the region, with its
 short lines; else the region runs from the first to the last content line.
 """
@@ -12,7 +13,7 @@ short lines; else the region runs from the first to the last content line.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,72 +23,100 @@ from pyspark.sql import DataFrame
 from .shared import batched
 
 #: Elements without text for readers; elements that begin and end a line; elements without an end tag.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas select option button textarea nav aside footer form menu dialog".split())
+SILENT = frozenset("script style noscript template head title svg math iframe object canvas select option button textarea nav aside footer menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class or id that name a part beside the article.
 BESIDE = re.compile(r"(?:^|[^a-z])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?\w*|consent|notice\w*|gdpr|popup|modal|newsletter|subscribe|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|comments?\w*|disqus|replies|respond|related|recommend\w*|share|social|toolbar|widget\w*|pagination|login|signup|copyright|legal|skip\w*)(?:$|[^a-z])")
-#: Elements that close an open paragraph, and which open elements an item of a list or table closes.
+#: Parts of hyphenated names that say nothing inside an article.
+PLAIN_PART = re.compile(r"(?<=[-_])(?:header|widgets?)(?![^\s_-])|(?<!\S)(?:header|widgets?)(?=[-_])")
+#: Elements that close an open paragraph; which open elements an item of a list or table closes, and what encloses them; what a head may hold.
 CLOSES_P = BLOCKS - {"body", "html", "br"}
+ENDS = {t: (frozenset(closed.split()), frozenset(walls.split())) for tags, closed, walls in (("li", "li", "ul ol menu"), ("td th", "td th", "tr table"), ("tr", "tr td th", "table thead tbody tfoot"), ("thead tbody tfoot", "thead tbody tfoot tr td th", "table"), ("dt dd", "dt dd", "dl"), ("option", "option", "select optgroup datalist"), ("optgroup", "optgroup option", "select")) for t in tags.split()}
+IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
+#: A part set aside by its name or as a form is judged like other text if it has more than this share of the page's text.
+MOST = 0.5
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, in article) for each block."""
+    """Collects (texts with the named parts around them, tags, in article) for each block; and the length of text in each named part."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []
-        self.parts: list[str] = []
+        self.found: list[tuple[list[tuple[tuple[int, ...], str]], int, bool]] = []
+        self.open: list[tuple[str, bool, bool, bool]] = []
+        self.parts: list[tuple[tuple[int, ...], str]] = []
         self.tags = 0
         self.hidden = 0
         self.article = 0
+        self.named: tuple[int, ...] = ()
+        self.held: list[int] = []
+        self.total = 0
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts = []
-        if text:
-            self.lines.append((text, self.tags, self.article > 0))
-            self.tags = 0
+        if self.parts:
+            self.found.append((self.parts, self.tags, self.article > 0))
+            self.parts, self.tags = [], 0
+
+    def lines(self) -> list[tuple[str, int, bool]]:
+        """(text, tags, in article) of the lines with text outside named parts, but for those parts that hold most of the page."""
+        shown = {k for k, n in enumerate(self.held) if n > MOST * self.total}
+        out, before = [], 0
+        for parts, tags, article in self.found:
+            before += tags
+            if text := " ".join("".join(x for named, x in parts if shown.issuperset(named)).split()):
+                out.append((text, before, article))
+                before = 0
+        return out
 
     def pop(self) -> None:
-        _, hidden, article = self.open.pop()
+        _, hidden, article, named = self.open.pop()
         self.hidden -= hidden
         self.article -= article
+        if named:
+            self.named = self.named[:-1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
+        if tag == "body" or (self.open and self.open[-1][0] == "head" and tag not in IN_HEAD):
+            self.close_to(("head",), frozenset())
         if tag in VOID:
             return
         if tag in CLOSES_P:
-            self.close_to("p", CLOSES_P - {"p"})
-        if tag == "li":
-            self.close_to("li", frozenset(("ul", "ol", "menu")))
-        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower()
+            self.close_to(("p",), CLOSES_P - {"p"})
+        if tag in ENDS:
+            self.close_to(*ENDS[tag])
+        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower()
         shut = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
-        article = tag in ("article", "main") and not self.hidden and not (tag == "article" and BESIDE.search(named))
-        beside = tag in SILENT or shut or (tag == "header" and not self.article) or (tag not in ("html", "body", "main") and bool(BESIDE.search(named)))
-        self.open.append((tag, beside, article))
-        self.hidden += beside
+        beside = bool(BESIDE.search(PLAIN_PART.sub("x", names) if self.article else names))
+        article = tag in ("article", "main") and not self.hidden and not (tag == "article" and beside)
+        hidden = tag in SILENT or shut or (tag == "header" and not self.article)
+        named = not hidden and not self.hidden and (tag == "form" or (tag not in ("html", "body", "main") and beside))
+        self.open.append((tag, hidden, article, named))
+        self.hidden += hidden
         self.article += article
+        if named:
+            self.named += (len(self.held),)
+            self.held.append(0)
 
-    def close_to(self, tag: str, walls: frozenset[str]) -> None:
-        """Closes the innermost open ``tag`` that no wall encloses."""
+    def close_to(self, tags: Collection[str], walls: frozenset[str]) -> None:
+        """Closes the outermost open one of ``tags`` that no wall encloses."""
+        least = len(self.open)
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self.pop()
-                return
-            if self.open[k][0] in walls:
-                return
+            if self.open[k][0] in tags:
+                least = k
+            elif self.open[k][0] in walls:
+                break
+        while len(self.open) > least:
+            self.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        if any(t == tag for t, _, _ in self.open):
+        if any(t[0] == tag for t in self.open):
             while self.open and self.open[-1][0] != tag:
                 self.pop()
             self.pop()
@@ -98,8 +127,14 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.pop()
         if not self.hidden:
-            self.parts.append(data)
+            self.parts.append((self.named, data))
+            n = len(data.strip())
+            self.total += n
+            for k in self.named:
+                self.held[k] += n
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -131,7 +166,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = parser.lines()
     if not lines:
         return ""
     at = np.flatnonzero(content(np.array([len(text) / max(tags, 1) for text, tags, _ in lines])))

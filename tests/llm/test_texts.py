@@ -171,6 +171,20 @@ def test_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_main_text_is_not_hidden():
+    """Optional end tags, hyphenated names inside an article, and forms and named parts around the whole page hide no text."""
+    text = "A sentence of the article, long enough to be text. " * 4
+    said = text.strip()
+    assert html_text.main_text(f"<html><head><title>t</title><body><p>{text}</p>") == said
+    assert html_text.main_text(f"<head><title>t</title><p>{text}</p>") == said
+    assert html_text.main_text(f"<body><form action=x><nav>menu</nav><div class=sidebar>side</div><p>{text}</p></form>") == said
+    assert html_text.main_text(f"<div class='elementor-widget-container'><p>{text}</p></div><form><p>mail</p></form>") == said
+    inside = f"<article><div class='entry-header'><h1>Title</h1></div><div class='elementor-widget-container'><p>{text}</p></div><div class='share-widget'>share</div></article>"
+    assert html_text.main_text(inside) == f"Title\n{said}"
+    for row in (f"<table><tr><td hidden>no<td>{text}</table>", f"<table><tr hidden><td>no<tr><td>{text}</table>", f"<table><tbody hidden><tr><td>no<tbody><tr><td>{text}</table>", f"<dl><dt hidden>no<dd>{text}</dl>"):
+        assert html_text.main_text(row) == said
+
+
 def test_toxicity_learns_pairs(spark):
     """Neither word tells alone; both together do, which no sum of weights can say."""
     rng = random.Random(8)
