@@ -1,8 +1,8 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser turns a page into lines, one per block, each with
-its text and the tags met since the last one.  The text-to-tag ratio of the
-lines, smoothed by a Gaussian, is split into two clusters by a threshold; lines
+its text and the tags met since the last one.  The logarithm of the text-to-tag ratio
+of the lines, smoothed by a Gaussian, is split into two clusters by a threshold; lines
 of the high cluster are content.  What the markup itself names as navigation,
 form, notice, advert or comments is no line at all, unless a form or a part set aside
 by its class holds most of the page's text. Where a page marks its
@@ -169,7 +169,7 @@ def main_text(html: str | None) -> str:
     lines = parser.lines()
     if not lines:
         return ""
-    at = np.flatnonzero(content(np.array([len(text) / max(tags, 1) for text, tags, _ in lines])))
+    at = np.flatnonzero(content(np.log1p([len(text) / max(tags, 1) for text, tags, _ in lines])))
     if any(lines[k][2] for k in at):
         return "\n".join(text for text, _, inside in lines if inside)
     return "\n".join(text for text, _, _ in lines[at[0] : at[-1] + 1])

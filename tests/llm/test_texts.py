@@ -185,6 +185,14 @@ def test_main_text_is_not_hidden():
         assert html_text.main_text(row) == said
 
 
+def test_one_long_paragraph_cuts_no_others():
+    """A page without article tags: paragraphs far from a very long one stay, menus go."""
+    menu = "".join(f"<div><a href=x{k}><b>m{k}</b></a></div>" for k in range(8))
+    texts = [f"{k} " + "ordinary words of an article " * 7 for k in range(20)]
+    texts[10] = "very long paragraph " * 500
+    assert html_text.main_text(menu + "".join(f"<p>{t}</p>" for t in texts) + menu).split("\n") == [t.strip() for t in texts]
+
+
 def test_toxicity_learns_pairs(spark):
     """Neither word tells alone; both together do, which no sum of weights can say."""
     rng = random.Random(8)
