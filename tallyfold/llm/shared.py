@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 #: A word of a text: a run without blanks or \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-_BLANKS = " \t\n\x0b\x0c\r"
+#: What stands between words.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text that is not null, as an array."""
-    bare = F.btrim(text, F.lit(_BLANKS))
+    bare = F.btrim(text, F.lit(BLANKS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
