@@ -4,7 +4,8 @@ Tasks tokenise whole texts and pass on only the lengths and checksums of the
 pieces.  Pieces are dealt by hash into groups of bounded size; in each group a
 best-fit start is followed by a local search that moves documents, or exchanges
 one for one and two for one, between underfull bins.  Every step increases the
-sum of squared fills, so the search ends, and bins that empty are dropped.
+sum of squared fills, so the search ends, and bins that empty are dropped.  A
+partner is looked up among all underfull bins of the group by piece size and room.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .shared import batched, stash
 
 #: Tokens to a sequence, the id that ends a document, and pieces to a packing group.
 LENGTH, END, GROUP = 1024, 2, 20_000
-#: Underfull bins that one bin is tried against before the search goes on.
-TRIED = 400
+#: White space in one run from which the fast library's pattern may exhaust its stack: such texts go through the tokenizer file.
+LONG_BLANKS = 10_000
 #: Text that the vocabulary holds as a special token: such texts go through the tokenizer's own handling of it.
 SPECIAL = "<|endoftext|>"
 
@@ -30,6 +31,8 @@ SPECIAL = "<|endoftext|>"
 def _encoder(vocabulary: str, ranks: str):
     """A function from a text to its ids, made once per task. The ranks file has the same vocabulary in the form of the faster library."""
     import base64
+    import re
+    from functools import cache
 
     import public_tokenizers
     import tiktoken
@@ -37,12 +40,18 @@ def _encoder(vocabulary: str, ranks: str):
     with open(public_tokenizers.path(ranks), "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    # Possessive, so that a shorter run is left after one look at it.
+    blanks = re.compile(rf"\s{{{LONG_BLANKS},}}+")
 
-    def encode(text: str) -> list[int]:
-        if SPECIAL in text:
-            from tokenizers import Tokenizer
+    @cache
+    def whole():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
-            return Tokenizer.from_file(public_tokenizers.path(vocabulary)).encode(text, add_special_tokens=False).ids
+    def encode(text: str) -> list[int]:
+        if SPECIAL in text or (len(text) >= LONG_BLANKS and blanks.search(text)):
+            return whole().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -91,53 +100,85 @@ def _best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search over underfull bins, the least full first; each change makes a fuller bin fuller."""
+    """Local search over underfull bins, the least full first, until no change applies or no fewer bins can do.
+
+    A change takes a piece, or two, out of a bin and gives it one piece of another
+    bin back, or none, and makes that bin fuller than the first one was: so the sum of squares rises.
+    """
+    least = max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    pending = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=fill.__getitem__)
-    active = set(pending)
-
-    def change(a: int, b: int, out: list[int], back: list[int]) -> None:
-        for i in out:
-            bins[a].remove(i)
-        for i in back:
-            bins[b].remove(i)
-        bins[a] += back
-        bins[b] += out
-        moved = sum(size[i] for i in out) - sum(size[i] for i in back)
-        fill[a] -= moved
-        fill[b] += moved
-        if fill[b] == capacity:
-            active.discard(b)
-
-    def try_bins(a: int) -> bool:
-        for b in sorted(active, key=lambda x: -fill[x])[:TRIED]:
-            if b == a or fill[b] < fill[a]:
-                continue
-            room = capacity - fill[b]
-            own = sorted(bins[a], key=lambda i: -size[i])
-            for i in own:  # move
-                if size[i] <= room:
-                    change(a, b, [i], [])
-                    return True
-            for i in own:  # one for one
-                fits = [j for j in bins[b] if 0 < size[i] - size[j] <= room]
-                if fits:
-                    change(a, b, [i], [min(fits, key=size.__getitem__)])
-                    return True
-            for x, i in enumerate(own[:12]):  # two for one
-                for k in own[x + 1 : 12]:
-                    fits = [j for j in bins[b] if 0 < size[i] + size[k] - size[j] <= room]
-                    if fits:
-                        change(a, b, [i, k], [min(fits, key=size.__getitem__)])
-                        return True
+    home = {i: b for b, held in enumerate(bins) for i in held}
+    # Of underfull bins: their pieces by size and the bin's room, each size's rooms as bits, its greatest room; size 0 stands for the bin itself.
+    at: dict[tuple[int, int], set[int]] = {}
+    rooms = [0] * (capacity + 1)
+    most = np.full(capacity + 1, -1)
+
+    def index(b: int, add: bool) -> None:
+        room = capacity - fill[b]
+        for s, item in [(0, b), *((size[i], i) for i in bins[b])]:
+            items = at.setdefault((s, room), set())
+            items.add(item) if add else items.discard(item)
+            if bool(items) != bool(rooms[s] >> room & 1):
+                rooms[s] ^= 1 << room
+                most[s] = rooms[s].bit_length() - 1
+
+    def partner(given: int, back: range) -> tuple[int, int, int] | None:
+        """(room left, size taken back, room) of the closest fit for pieces of ``given`` tokens."""
+        best = None
+        sizes = np.arange(back.start, min(back.stop, given))
+        for s in sizes[most[sizes] >= given - sizes].tolist():
+            above = rooms[s] >> (given - s)
+            left = (above & -above).bit_length() - 1
+            if best is None or left < best[0]:
+                best = (left, s, given - s + left)
+        return best
+
+    def change(a: int) -> bool:
+        """The first kind of change that applies to a bin, which is not in the index."""
+        single = {size[i]: [i] for i in bins[a]}
+        double = {size[i] + size[k]: [i, k] for x, i in enumerate(bins[a]) for k in bins[a][x + 1 :]} if len(bins[a]) > 1 else {}
+        for given, back in ((single, range(0, 1)), (single, range(1, capacity)), (double, range(1, capacity))):
+            found = min(((*p, g) for g in given if (p := partner(g, back))), default=None)
+            if found and capacity - found[0] > fill[a]:
+                left, s, room, g = found
+                item = min(at[s, room])
+                b = item if s == 0 else home[item]
+                index(b, False)
+                for i in given[g]:
+                    bins[a].remove(i)
+                    bins[b].append(i)
+                    home[i] = b
+                if s:
+                    bins[b].remove(item)
+                    bins[a].append(item)
+                    home[item] = a
+                fill[a], fill[b] = fill[a] - g + s, capacity - left
+                if left:
+                    index(b, True)
+                return True
         return False
 
-    for a in pending:
-        while a in active and bins[a] and try_bins(a):
-            pass
-        if not bins[a]:
-            active.discard(a)
+    used = len(bins)
+    if used > least:
+        for b in range(len(bins)):
+            if fill[b] < capacity:
+                index(b, True)
+    changed = True
+    while changed and used > least:
+        changed = False
+        for a in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=fill.__getitem__):
+            if not 0 < fill[a] < capacity:
+                continue
+            index(a, False)
+            while bins[a] and change(a):
+                changed = True
+            if bins[a]:
+                index(a, True)
+            else:
+                used -= 1
+                if used <= least:
+                    break
     return [b for b in bins if b]
 
 
@@ -170,7 +211,8 @@ def pack(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """All pieces of ``docs`` (doc_id, text; other columns are ignored) in sequences.
 
-    A null or empty text is one token, the end of a document.  Repeated rows are
+    A null or empty text is one token, the end of a document.  Very long texts, of
+    one word or of blanks alone too, are tokenised whole.  Repeated rows are
     packed each; a null doc_id stays null; no rows give no rows.
     """
     batched(docs.sparkSession)

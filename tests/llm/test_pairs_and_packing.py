@@ -120,6 +120,40 @@ def test_packing_round_trip(spark):
     assert len(sequences) <= -(-sum(r.length for r in found) // 1024) + 1
 
 
+def test_packing_long_runs_and_special_strings():
+    """Texts that are one run of white space, and many with the special token's string, have the tokenizer's own ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = packing._encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a \t" + " " * 400_000 + "b", "word\u3000" * 20_000, "x" * 100_000):
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    special = tokenizer.encode("line <|endoftext|>", add_special_tokens=False).ids
+    assert all(encode("line <|endoftext|>") == special for _ in range(10_000))
+
+
+def test_packing_search_saves_sequences():
+    """Triplets that fill a sequence each: best fit leaves bins, which the search empties."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    lengths = []
+    for _ in range(200):
+        a = int(rng.integers(390, 510))
+        b = int(rng.integers((1024 - a) // 2 - 60, (1024 - a) // 2 + 60))
+        lengths += [a, b, 1024 - a - b]
+    lengths = rng.permutation(lengths)
+    start = packing._best_fit(lengths, 1024)
+    before = len(start)
+    after = packing._improve(start, lengths, 1024)
+    assert sorted(i for b in after for i in b) == list(range(600)) and all(lengths[b].sum() <= 1024 for b in after)
+    assert before >= 214 and len(after) <= 207
+    # 1,200 bins with room: more than a search over the nearest few could see.
+    halves = rng.integers(342, 513, 2400)
+    assert len(packing._improve(packing._best_fit(halves, 1024), halves, 1024)) <= 1200
+
+
 def test_packing_improves_and_empty(spark):
     import numpy as np
 
