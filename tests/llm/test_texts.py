@@ -185,6 +185,53 @@ def test_main_text_is_not_hidden():
         assert html_text.main_text(row) == said
 
 
+def test_main_text_is_found_by_its_lines():
+    """Articles keep their text and headline whatever marks them: other tags, unlucky names, a form around the page, an unclosed menu."""
+    paragraphs = [f"Paragraph {k}, " + "with the ordinary words of an article, " * (1 + k % 3) + "to the end." for k in range(12)]
+    menu = "<ul>" + "".join(f"<li><a href=x{k}>item {k}</a></li>" for k in range(9)) + "</ul>"
+    article = "<h1>Headline of the day</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    said = "\n".join(["Headline of the day", *paragraphs])
+
+    def page(body, nav="</nav>"):
+        return f"<html><head><title>t</title></head><body><nav>{menu}{nav}<div class='ad'>Buy things.</div>{body}<footer>About us</footer></body></html>"
+
+    bodies = [f"<article>{article}</article>", f"<div>{article}</div>", article, f"<form>{article}</form>"]
+    bodies += [f"<div id='{name}'>{article}</div>" for name in ("legal", "related-work", "social-history", "widget", "notice-board", "side", "share-prices", "promotion", "comments-section")]
+    bodies.append(f"<div><div><h1>Headline of the day</h1></div><div class='text'>{article.split('</h1>')[1]}</div></div><div class='comment-list'><p>{paragraphs[0]}</p></div>")
+    for body in bodies:
+        assert html_text.main_text(page(body)) == said, body[:60]
+    assert said in html_text.main_text(page(f"<article>{article}</article>", nav=""))
+    assert html_text.main_text(page(article).replace("<body>", "<body><form>").replace("</body>", "</form></body>")) == said
+
+
+def test_content_lines_by_brute_force():
+    """Smoothing and threshold against sums written out."""
+    rng = random.Random(3)
+    for n in (1, 2, 5, 40):
+        ratios = np.array([rng.random() * rng.choice([1, 8]) for _ in range(n)])
+        kernel = {d: np.exp(-(d**2) / 2) for d in range(-3, 4)}
+        level = [sum(kernel[j - k] * ratios[j] for j in range(n) if abs(j - k) <= 3) / sum(kernel[j - k] for j in range(n) if abs(j - k) <= 3) for k in range(n)]
+        assert html_text.smoothed(ratios) == pytest.approx(level)
+        cut = sum(level) / n
+        for _ in range(100):
+            high, low = [x for x in level if x >= cut], [x for x in level if x < cut]
+            if not high or not low:
+                break
+            cut = (sum(high) / len(high) + sum(low) / len(low)) / 2
+        assert html_text.content(ratios).tolist() == [x >= cut for x in level]
+
+
+def test_hostile_page_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        html_text.main_text("<div>" * n + "<i>" * n + "text" + "</b></u><p>x" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_one_long_paragraph_cuts_no_others():
     """A page without article tags: paragraphs far from a very long one stay, menus go."""
     menu = "".join(f"<div><a href=x{k}><b>m{k}</b></a></div>" for k in range(8))
