@@ -1,11 +1,15 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Vectors become whole numbers.  Candidates stand in blocks of consecutive ids;
-a block keeps its vectors (its forward index) and each component's greatest and
-least value.  Queries are packed into chunks, blocks into groups, and every
-chunk meets every group once, in a task of bounded size.  There a query visits
-the group's blocks in order of their bounds, the sum of what each component can
-give at most, and stops when the next bound is below its k-th score.
+Vectors become whole numbers.  Candidates are renumbered so that like ones stand
+together (by the nearest of a few sampled pivots, then by id), and ranges of that
+order are blocks of 64; a block keeps its vectors (its forward index) and each
+component's greatest and least value, groups of blocks and regions of groups keep
+the same.  A query's bound on a range is the sum of what each component can give at most.
+
+Every query first visits the region with its highest bound, which gives it a k-th
+score; after that only those pairs of a query and a region whose bound reaches
+that score meet.  Inside a group a query visits the blocks in order of their bounds
+and stops when the next is below its k-th score.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from .shared import batched, stash
 SCALE, TOP, EVERY = 256, 5, 50
 #: Vectors to a block, to a candidate group, and queries to a chunk.
 BLOCK, GROUP, CHUNK = 64, 4096, 2048
-
-_PACKED = "size int, width int, ids binary, data binary"
+#: Vectors sampled as pivots, and regions of candidate groups at most: their bounds (16 bytes a component) go to every task that asks.
+PIVOTS, REGIONS = 256, 4096
 
 
 def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -34,61 +38,90 @@ def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def _pack(rows: DataFrame, size: int) -> DataFrame:
-    """Runs of up to ``size`` vectors of a partition, each as one row of bytes; shorter vectors are padded with 0."""
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of numbers as rows, padded with 0."""
+    lengths = column.value_lengths().fill_null(0).to_numpy()
+    out = np.zeros((len(column), width), np.int64)
+    out[np.arange(width)[None, :] < lengths[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def _exact(*parts: np.ndarray) -> type:
+    """A kind of number in which inner products of these rows are exact: floating point below 2**53, else whole numbers."""
+    most = parts[0].shape[1] * float(np.abs(parts[0]).max(initial=0)) * max(float(np.abs(p).max(initial=0)) for p in parts[1:])
+    return np.float64 if most < 2**53 else np.int64
+
+
+def _near(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
+    """``rows`` (vec_id, v) with the number of the nearest pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vectors: list[np.ndarray] = []
+        p = pivots.astype(float)
+        for batch in batches:
+            v = _matrix(batch.column(1), width).astype(float)
+            near = np.argmax(v @ p.T - 0.5 * (p * p).sum(axis=1), axis=1) if len(v) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32())], ["vec_id", "v", "near"])
+
+    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<bigint>, near int")
+
+
+def _pack(rows: DataFrame, key: str, size: int, width: int) -> DataFrame:
+    """Runs of up to ``size`` vectors of a partition with one key, each as one row of bytes, with each component's greatest and least value."""
+    more = "least" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at, many = None, 0
 
         def flush() -> pa.RecordBatch:
-            width = max(map(len, vectors))
-            data = np.zeros((len(vectors), width), np.int64)
-            for row, v in zip(data, vectors):
-                row[: len(v)] = v
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([width], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["size", "width", "ids", "data"])
+            ids, data, least = (np.concatenate(x) for x in zip(*held))
+            columns = [[at], [len(ids)], [ids.tobytes()], [data.tobytes()], [least.tobytes()], [data.max(axis=0).tolist()], [data.min(axis=0).tolist()]]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "size", "ids", "data", "least", "high", "low"])
 
         for batch in batches:
-            flat, ends = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
-            ends = ends - (ends[0] if len(ends) else 0)
-            for k, i in enumerate(batch.column(0).to_pylist()):
-                ids.append(i)
-                vectors.append(flat[ends[k] : ends[k + 1]])
-                if len(ids) == size:
-                    yield flush()
-                    ids, vectors = [], []
-        if ids:
+            keys, ids, data = batch.column("key").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), width)
+            least = batch.column("least").to_numpy() if more else np.zeros(len(ids), np.int64)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                while a < b:
+                    if many and (keys[a] != at or many == size):
+                        yield flush()
+                        held, many = [], 0
+                    at, end = int(keys[a]), min(b, a + size - many)
+                    held.append((ids[a:end], data[a:end], least[a:end]))
+                    many, a = many + end - a, end
+        if many:
             yield flush()
 
-    return rows.mapInArrow(run, _PACKED)
+    rows = rows.withColumn("key", F.col(key).cast("long")).select("key", "vec_id", "v", *(["least"] if more else []))
+    return rows.mapInArrow(run, "key long, size int, ids binary, data binary, least binary, high array<bigint>, low array<bigint>")
 
 
-def _unpack(size: int, width: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(size, width)
+def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
 
 
-def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, top: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The ``top`` best (ids, scores) of each query among the candidates, a mask of those there are, and how many blocks were scored."""
-    width = max(q.shape[1], c.shape[1])
-    q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
-    # Products in floating point are exact below 2**53; else in whole numbers.
-    most = width * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
-    kind = np.float64 if most < 2**53 else np.int64
+def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, top: int, block: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The ``top`` best (ids, scores) of each query among the candidates, a mask of those there are, and how many blocks were scored.
+
+    What is below a query's ``least`` may be left out.
+    """
+    kind = _exact(q, c)
     q, c = q.astype(kind), c.astype(kind)
     cuts = list(range(0, len(c), block))
-    high = np.array([c[i : i + block].max(axis=0, initial=None) for i in cuts])
-    low = np.array([c[i : i + block].min(axis=0, initial=None) for i in cuts])
-    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    bounds = _bounds(q, np.array([c[i : i + block].max(axis=0) for i in cuts]), np.array([c[i : i + block].min(axis=0) for i in cuts]))
     order = np.argsort(-bounds, axis=1, kind="stable")
     floor = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
     best = np.full((len(q), top), floor, dtype=kind)
     best_ids = np.full((len(q), top), np.iinfo(np.int64).max, dtype=np.int64)
+    least = np.full(len(q), floor, dtype=kind) if least is None else least
     scored = 0
     active = np.arange(len(q))
     for turn in range(len(cuts)):
         at = order[active, turn]
         # Equal scores go to smaller ids, so a block whose bound equals the k-th score still counts.
-        go = bounds[active, at] >= best[active, top - 1]
+        go = bounds[active, at] >= np.maximum(best[active, top - 1], least[active])
         active, at = active[go], at[go]
         if not len(active):
             break
@@ -108,47 +141,90 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return best_ids, best, best_ids != np.iinfo(np.int64).max, scored
 
 
-def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the ``top`` other rows with the greatest inner products.
+def _meet(asked: DataFrame, groups: DataFrame, top: int, width: int, scored=None) -> DataFrame:
+    """(query_id, vec_id, score) of queries (vec_id, v, region, least) in the groups of their regions.
 
-    Ties go to the smaller vec_id.  Vectors that are null or hold null, NaN or
-    infinite components take no part, nor do rows without id; a shorter vector
-    counts as padded with zeros.  Rows that repeat a query's id are its own and
-    no candidates for it; repeated candidate rows are each returned.
+    Queries of a region are packed in chunks by hash; each chunk and each group of the region meet in one row.
     """
-    spark = vectors.sparkSession
-    batched(spark)
-    numbers = stash(whole_numbers(vectors), "vectors")
-    # Ranges of ids, so that blocks hold neighbours; the number of ranges follows the number of rows.
-    count = numbers.count()
-    ranged = numbers.repartitionByRange(max(1, -(-count // (4 * GROUP))), "vec_id").sortWithinPartitions("vec_id")
-    groups = stash(_pack(ranged, GROUP).withColumn("g", F.monotonically_increasing_id()), "groups")
-    asked = numbers.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    number = asked.count()
-    chunks = stash(_pack(asked.repartition(max(1, -(-number // CHUNK)), F.xxhash64("vec_id")), CHUNK).withColumn("q", F.monotonically_increasing_id()), "chunks")
+    many = asked.groupBy("region").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = asked.join(F.broadcast(many), "region").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")))
+    dealt = dealt.repartition("region", "chunk").sortWithinPartitions("region", "chunk", "vec_id")
+    chunks = stash(_pack(dealt, "region", CHUNK, width).drop("high", "low").withColumn("c", F.monotonically_increasing_id()), "chunks")
+    pairs = chunks.select("c", F.col("key").alias("region")).join(groups.select("g", "region"), "region").select("c", "g")
+    met = pairs.join(groups.select("g", *[F.col(x).alias(f"c_{x}") for x in ("size", "ids", "data")]), "g").join(chunks.select("c", "size", "ids", "data", "least"), "c")
 
-    return _meet(groups, chunks, top)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(data: bytes, size: int) -> np.ndarray:
+            return np.frombuffer(data, np.int64).reshape(size, width)
 
+        for batch in batches:
+            for row in batch.to_pylist():
+                q_ids, c_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
+                ids, scores, there, blocks = _search(q_ids, matrix(row["data"], row["size"]), c_ids, matrix(row["c_data"], row["c_size"]), top, BLOCK, np.frombuffer(row["least"], np.int64))
+                if scored is not None:
+                    scored.add(blocks)
+                queries = np.broadcast_to(q_ids[:, None], ids.shape)[there]
+                yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(ids[there]), pa.array(scores[there].astype(np.int64))], ["query_id", "vec_id", "score"])
+
+    return met.select("size", "ids", "data", "least", "c_size", "c_ids", "c_data").mapInArrow(run, "query_id long, vec_id long, score long")
 
-def _meet(groups: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
-    """Every chunk with every group: a row per meeting, joined on both keys; the key lists hold one number per 4096 vectors or 2048 queries."""
-    chunk_keys = chunks.agg(F.sort_array(F.collect_list("q")).alias("qs"))
-    group_keys = groups.agg(F.sort_array(F.collect_list("g")).alias("gs"))
-    left = groups.join(F.broadcast(chunk_keys)).select("g", F.explode("qs").alias("q"), *[F.col(x).alias(f"c_{x}") for x in ("size", "width", "ids", "data")])
-    right = chunks.join(F.broadcast(group_keys)).select("q", F.explode("gs").alias("g"), "size", "width", "ids", "data")
+
+def _regions(asked: DataFrame, names: np.ndarray, high: np.ndarray, low: np.ndarray, width: int, first: bool) -> DataFrame:
+    """Queries (vec_id, v, least) with each region they are to visit: the ``first`` has the highest bound, the others are those whose bound reaches ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q = _unpack(row["size"], row["width"], row["ids"], row["data"])
-                c_ids, c = _unpack(row["c_size"], row["c_width"], row["c_ids"], row["c_data"])
-                ids, scores, there, _ = _search(q_ids, q, c_ids, c, top, BLOCK)
-                asked = np.broadcast_to(q_ids[:, None], ids.shape)[there]
-                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids[there]), pa.array(scores[there].astype(np.int64))], ["query_id", "vec_id", "score"])
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                q, least = _matrix(part.column("v"), width), part.column("least").to_numpy()
+                kind = _exact(q, high, low)
+                bounds = _bounds(q.astype(kind), high.astype(kind), low.astype(kind))
+                best = np.argmax(bounds, axis=1)
+                if first:
+                    row, at = np.arange(len(q)), best
+                else:
+                    reach = bounds >= least[:, None]
+                    reach[np.arange(len(q)), best] = False
+                    row, at = np.nonzero(reach)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("vec_id", "v", "least")), pa.array(names[at], pa.int64())], ["vec_id", "v", "least", "region"])
+
+    return asked.select("vec_id", "v", "least").mapInArrow(run, "vec_id long, v array<bigint>, least long, region long")
+
+
+def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, scored=None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the ``top`` other rows with the greatest inner products.
 
-    found = right.join(left, ["q", "g"]).mapInArrow(run, "query_id long, vec_id long, score long")
+    Ties go to the smaller vec_id.  Vectors that are null or hold null, NaN or
+    infinite components take no part, nor do rows without id; a shorter vector
+    counts as padded with zeros.  Rows that repeat a query's id are its own and
+    no candidates for it; repeated candidate rows are each returned.  ``scored``,
+    an accumulator, counts the pairs of a query and a block that were scored.
+    """
+    spark = vectors.sparkSession
+    batched(spark)
+    numbers = stash(whole_numbers(vectors), "vectors")
+    count, width = numbers.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = max(1, width or 1)
+    pivots = _matrix(pa.array([r["v"] for r in numbers.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").limit(PIVOTS).collect()] or [[0]], pa.list_(pa.int64())), width)
+    # Ranges of the new order; their number follows the number of rows, so a hot pivot is split by id.
+    ranges = max(1, -(-count // (4 * GROUP)))
+    ranged = _near(numbers, pivots, width).repartitionByRange(ranges, "near", "vec_id").sortWithinPartitions("near", "vec_id").withColumn("region", F.floor(F.spark_partition_id() / -(-ranges // REGIONS)))
+    groups = stash(_pack(ranged, "region", GROUP, width).drop("least").withColumnRenamed("key", "region").withColumn("g", F.monotonically_increasing_id()), "groups")
+    sides = groups.select("region", F.posexplode(F.arrays_zip("high", "low")).alias("at", "x")).groupBy("region", "at").agg(F.max("x.high").alias("high"), F.min("x.low").alias("low"))
+    found = sides.orderBy("region", "at").toPandas()
+    names = found["region"].to_numpy(np.int64)[::width]
+    high, low = (found[c].to_numpy(np.int64).reshape(len(names), width) for c in ("high", "low"))
+
+    lowest = -(2**63)
+    asked = stash(numbers.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("least", F.lit(lowest).cast("long")), "asked")
+    if not len(names):
+        names, high, low = np.zeros(1, np.int64), np.zeros((1, width), np.int64), np.zeros((1, width), np.int64)
+    start = stash(_meet(_regions(asked, names, high, low, width, True), groups, top, width, scored), "start")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    kth = start.withColumn("rank", rank).where(F.col("rank") == top).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    asked = asked.join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("kth", "least").alias("least"))
+    rest = _meet(stash(_regions(asked, names, high, low, width, False), "pairs"), groups, top, width, scored)
+    return start.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

@@ -280,6 +280,28 @@ def test_exact_topk(spark, monkeypatch):
     assert exact_topk.top_products(frame.limit(0)).collect() == []
 
 
+def test_topk_prunes_across_groups(spark, monkeypatch):
+    """Clustered vectors whose ids are mixed: exact results from a small share of the blocks."""
+    monkeypatch.setattr(exact_topk, "GROUP", 128)
+    monkeypatch.setattr(exact_topk, "CHUNK", 16)
+    monkeypatch.setattr(exact_topk, "BLOCK", 16)
+    monkeypatch.setattr(exact_topk, "PIVOTS", 64)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(0, 1, (24, 16))
+    vectors = (centers[rng.integers(0, 24, 6000)] + rng.normal(0, 0.03, (6000, 16))).round(3)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    scored = spark.sparkContext.accumulator(0)
+    found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_topk.top_products(frame, scored=scored).collect())
+    whole = np.floor(256 * vectors).astype(np.int64)
+    expected = []
+    for q in range(0, 6000, 50):
+        score = whole @ whole[q]
+        first = [i for i in np.lexsort((np.arange(6000), -score)).tolist() if i != q][:5]
+        expected += [(q, k + 1, i, int(score[i])) for k, i in enumerate(first)]
+    assert found == sorted(expected)
+    assert scored.value < 0.2 * 120 * 6000 / 16
+
+
 def test_block_bounds_prune():
     """With queries near one block, most blocks are never scored."""
     rng = np.random.default_rng(2)
