@@ -64,7 +64,13 @@ def test_licenses(spark):
     rows = [(1, british), (2, "text\n  released under the MIT Licence!\nmore"), (3, None), (4, ""), (5, "All rights reserved"), (5, "All rights reserved"), (6, mit + " and more")]
     found = sorted((r.doc_id, r.scope, r.line, r.license) for r in licenses.scan(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, license string")).collect())
     both = [(5, "line", 1, "all-rights-reserved"), (5, "text", 0, "all-rights-reserved")]
+    # A run of paragraphs that is a license is found in a longer text; the last one of text 6 is longer than the license's.
     assert found == sorted([(1, "text", 0, "MIT"), (2, "line", 2, "MIT"), *both, *both])
+    rows = [(1, f"About this program.\n\n{mit}\n\nThe end."), (2, 'Licensed under the Apache License, Version 2.0 (the "License");'), (3, "/* SPDX-License-Identifier: MIT */"), (4, "Copyright 2020 Foo. All rights reserved."), (5, "a\n(c) third item\nb"), (6, "x " * 400_000 + f"\n\n{mit}"), (7, mit.split("\n\n")[1])]
+    found = {(r.doc_id, r.scope, r.line, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, "span", 2, "MIT"), (2, "line", 1, "Apache-2.0"), (2, "text", 0, "Apache-2.0"), (3, "line", 1, "MIT"), (3, "text", 0, "MIT"), (4, "line", 1, "all-rights-reserved"), (4, "text", 0, "all-rights-reserved"), (6, "span", 2, "MIT")}
+    third = spark.createDataFrame([("x", "b\n(c) third item")], "name string, text string")
+    assert [r.scope for r in licenses.scan(spark.createDataFrame([(1, "B\n(C) third item!")], "doc_id long, text string"), third).collect()] == ["text"]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
