@@ -11,7 +11,9 @@ How the skipping maps to Spark jobs:
   set.  The leader's overlaps with all sets of its lists are computed first.
   What they imply is not computed again: sets linked with the leader are in
   one class, and by the triangle inequality sets whose distances from it
-  differ by more than the threshold cannot link.  Only the rest is compared.
+  differ by more than the threshold cannot link.  The overlaps of a set that is
+  left are derived from those of the most similar set computed before, through
+  the lists of the tokens in which the two differ.
 
 A class of equal sets is represented once.  Large families of a leader are cut
 into chunks, each with a copy of the leader, so no task gets a whole family.
@@ -34,7 +36,9 @@ SIZE, PERCENT = 4, 85
 #: Sets that have a token before it counts as widespread, and how many such tokens the order may know (16 bytes each).
 WIDESPREAD, ORDER_LIMIT = 64, 1 << 18
 #: Sets, and shingles, that one task compares at once.
-CHUNK_SETS, CHUNK_TOKENS = 1024, 2_000_000
+CHUNK_SETS, CHUNK_TOKENS = 256, 2_000_000
+#: Sets to a block of those that their family's leader leaves open; sets whose computed overlaps are held to derive others.
+LOOSE_SETS, BASES = 1024, 4
 #: Rows of ids (up to 40 bytes) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -85,15 +89,39 @@ def _links_of_group(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, pivot:
     ends = np.cumsum(sizes)
     starts = ends - sizes
     codes = np.unique(flat, return_inverse=True)[1]
-    mark = np.zeros(int(codes.max()) + 1, np.int32)
+    # The index of the group: the sets that hold each token.
+    holder = np.repeat(np.arange(m), sizes)[np.argsort(codes, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    mark = np.zeros(len(first) - 1, bool)
     group = np.where(linked, 0, np.arange(1, m + 1))
     edges: list[tuple[int, int]] = []
+    bases: list[tuple[int, np.ndarray]] = []
+
+    def own(k: int) -> np.ndarray:
+        return codes[starts[k] : ends[k]]
+
+    def listed(tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each set holds."""
+        long = first[tokens + 1] - first[tokens]
+        at = np.arange(long.sum()) + np.repeat(first[tokens] - (np.cumsum(long) - long), long)
+        return np.bincount(holder[at], minlength=m)
+
+    def without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        mark[b] = True
+        rest = a[~mark[a]]
+        mark[b] = False
+        return rest
 
     def overlap(k: int) -> np.ndarray:
-        own = codes[starts[k] : ends[k]]
-        mark[own] = 1
-        shared = np.add.reduceat(mark[codes], starts)
-        mark[own] = 0
+        """Tokens that each set shares with set k: its own lists, or the answers of a similar set and the lists of what the two differ in."""
+        near = min(bases, key=lambda b: sizes[b[0]] - 2 * b[1][k], default=None)
+        if near is not None and sizes[near[0]] + sizes[k] - 2 * near[1][k] < sizes[k]:
+            shared = near[1] + listed(without(own(k), own(near[0]))) - listed(without(own(near[0]), own(k)))
+        else:
+            shared = listed(own(k))
+        # The leader's answers stay, of the others the last ones.
+        del bases[1 : max(1, len(bases) - BASES + 2)]
+        bases.append((k, shared))
         return shared
 
     def join(k: int, others: np.ndarray) -> None:
@@ -290,7 +318,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     far = compared.where("id is not null and id != leader").select("leader", "id", "dist").distinct().withColumn("linked", F.col("dist") <= limit)
     far = far.where((F.col("dist") < 1) | ~F.col("linked"))
     blocks = far.groupBy("leader").agg(F.sum((~F.col("linked")).cast("int")).alias("loose"), F.sum(F.col("linked").cast("int")).alias("close")).where("loose > 0")
-    blocks = blocks.select("leader", F.ceil(F.col("loose") / CHUNK_SETS).cast("int").alias("nl"), F.greatest(F.lit(1), F.ceil(F.col("close") / CHUNK_SETS)).cast("int").alias("nc"))
+    blocks = blocks.select("leader", F.ceil(F.col("loose") / LOOSE_SETS).cast("int").alias("nl"), F.greatest(F.lit(1), F.ceil(F.col("close") / LOOSE_SETS)).cast("int").alias("nc"))
     far = far.join(blocks, "leader").withColumn("slot", F.when(F.col("linked"), F.pmod(F.xxhash64("id"), F.col("nc").cast("long"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nl").cast("long"))).cast("int"))
     # Part (i, j): loose block i with loose block j >= i, or with linked block j (numbered after all loose pairs).
     loose_pairs = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda j: F.least(j, F.col("slot")) * F.col("nl") + F.greatest(j, F.col("slot")))
@@ -308,7 +336,7 @@ def classify(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     Two documents link when the Jaccard similarity of their distinct word
     shingles is at least ``percent`` hundredths.  A null, empty or blank text has
     an empty set, links with nothing and forms its own class.  A text with fewer
-    words than ``size`` is one shingle.  Equal texts have equal sets and link.  A
+    words than ``size`` is one shingle.  Very long texts are read whole.  Equal texts have equal sets and link.  A
     null doc_id takes no part: its component is null.  Repeated rows are each
     returned; rows with one doc_id count as one document.
     """

@@ -67,12 +67,53 @@ def test_ngram_join_matches_brute_force(spark):
 
 def test_ngram_join_large_family_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "LOOSE_SETS", 8)
     monkeypatch.setattr(ngram_join, "WIDESPREAD", 4)
     rows = corpus(seed=5, families=2, copies=50, length=40)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classify(frame(spark, rows)).collect()}
     assert found == brute(rows)
 
 
+def test_overlaps_are_derived_from_similar_sets():
+    """Links of a group equal those of all pairs, with and without a leader, and most overlaps come from a similar set's."""
+    import numpy as np
+
+    rng = random.Random(6)
+    for leader in (None, 0):
+        base = rng.sample(range(10**6), 80)
+        sets = []
+        for k in range(60):
+            own = list(base if k % 3 else rng.sample(range(10**6), 80))
+            for _ in range(k % 16):
+                own[rng.randrange(80)] = rng.randrange(10**6)
+            sets.append(sorted(set(own)))
+        sizes = np.array([len(x) for x in sets])
+        edges, dist, linked = ngram_join._links_of_group(np.arange(60), sizes, np.concatenate(sets), leader, np.zeros(60, bool), np.zeros(60), 85)
+        root = list(range(60))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        def classes(pairs):
+            root[:] = range(60)
+            for a, b in pairs:
+                root[find(a)] = find(b)
+            return {frozenset(j for j in range(60) if find(j) == find(i)) for i in range(60)}
+
+        pairs = [(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))]
+        assert classes(edges) == classes(pairs) and len(classes(pairs)) > 2
+        if leader is not None:
+            assert dist == pytest.approx([1 - len(set(sets[0]) & set(x)) / len(set(sets[0]) | set(x)) for x in sets])
+
+
+def test_ngram_join_long_text(spark):
+    text = " ".join(f"w{k}" for k in range(60_000))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classify(frame(spark, [(5, text), (3, text + " end"), (4, "x " * 100_000)])).collect()}
+    assert found == {5: (59_997, 3), 3: (59_998, 3), 4: (1, 4)}
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(1, "One two THREE four five"), (2, "one two three four  five"), (3, None), (4, ""), (5, " \n"), (6, "short one"), (7, "Short ONE"), (8, "É a b c"), (9, "é a b c"), (None, "one two three four five"), (1, "One two THREE four five")]
     docs = frame(spark, [(a, b, 1.0, "z") for a, b in rows], "doc_id long, text string, n double, token string")
