@@ -7,7 +7,8 @@ quotas of blocks per source; a binary tree splits them among the output shards,
 each split a multivariate hypergeometric draw, so every shard is a random sample
 of the whole mix without replacement.  A shard takes its own stretch of each
 source's permuted blocks and is shuffled locally.  DataFrame operations only;
-windows run over one block's documents or one source's blocks.
+windows run over one block's documents, a part of a source's blocks, or the parts of
+a source.  One row holds the quotas of all sources, some tens of bytes each.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .shared import restored, set_aside, stash, words_of
 WEIGHTS, MOST_PASSES = (1, 2, 3), 3
 #: Documents to a block, words to an output shard, and the seed of all permutations.
 BLOCK_DOCS, SHARD_WORDS, SEED = 1000, 4_000_000, 17
+#: Bits of a block's place in the permutation that name the part of its source in which it is ranked: 256 parts.
+PART_BITS = 8
 
 
 def _uniform(*parts: Column) -> Column:
@@ -74,13 +77,13 @@ def hypergeometric(u: Column, population: Column, good: Column, draws: Column) -
 
 
 def split_quotas(root: DataFrame, levels: int) -> DataFrame:
-    """(shard, quotas): the blocks of each source that each of 2**levels shards gets.
+    """(shard, quotas, starts): the blocks of each source that each of 2**levels shards gets, and how many the shards before it get.
 
     ``root`` has one row with ``quotas``, the blocks of each source in order.
     Half of a node's blocks go left: source after source, a hypergeometric draw
     from what is left of the node and of the left half.
     """
-    tree = root.select(F.lit(0).cast("long").alias("shard"), "quotas")
+    tree = root.select(F.lit(0).cast("long").alias("shard"), "quotas", F.transform("quotas", lambda q: F.lit(0).cast("long")).alias("starts"))
     for level in range(levels):
         total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q)
         start = F.struct(total.alias("population"), F.floor((total + F.pmod(F.col("shard"), F.lit(2))) / 2).alias("room"), F.array().cast("array<bigint>").alias("left"))
@@ -93,7 +96,9 @@ def split_quotas(root: DataFrame, levels: int) -> DataFrame:
         tree = tree.withColumn("left", F.aggregate("quotas", start, give)["left"])
         right = F.zip_with("quotas", "left", lambda q, t: q - t)
         # Each level is written: its expressions are long, and all levels in one plan would weigh on the driver.
-        tree = stash(tree.select(F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quotas")))).alias("x")).select("x.*"), "tree")
+        after = F.zip_with("starts", "left", lambda a, t: a + t)
+        halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas"), "starts"), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quotas"), after.alias("starts")))
+        tree = stash(tree.select(F.inline(halves)), "tree")
     return tree
 
 
@@ -125,48 +130,55 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken, in whole but for at most one document per source, whose last draw is
     its first words only.  A null text has size 0; null sources form one
     source, last in order.  Repeated rows count and are drawn as rows of their
-    own.  A source without words has target 0.
+    own.  A source without words has target 0.  Very long texts are counted whole;
+    no rows give no rows.
     """
     plain = docs.withColumn("size", F.size(words_of(F.coalesce("text", F.lit("")))).cast("long"))
+    # Rows are dealt by id and text, so that rows without id spread too.
+    plain = plain.withColumn("_pick", F.xxhash64(F.lit(SEED), "doc_id", "text"))
     plain = plain.withColumn("_key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")))
     return _drawn(plain)
 
 
 def _drawn(plain: DataFrame) -> DataFrame:
-    light = stash(plain.select("doc_id", "source", "_key", "size"), "sizes")
+    light = stash(plain.select("source", "_key", "size", "_pick"), "sizes")
     sizes = light.groupBy("_key", "source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("docs"))
     sources = targets(sizes).withColumns({"want": F.floor(F.col("target") + 0.5), "blocks": F.ceil(F.col("docs") / BLOCK_DOCS)})
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("want") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)))
     sources = stash(sources.withColumn("rest", F.col("want") - F.col("whole") * F.col("source_size")), "sources")
     per_source = sources.select("_key", "source_size", "target", "blocks", "whole", "rest", "place")
 
-    block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.col("blocks"))
+    block = F.pmod("_pick", F.col("blocks"))
     heap = light.join(per_source, "_key").groupBy("_key", "place", "rest", "whole", block.alias("block")).agg(F.sum("size").cast("long").alias("words"))
-    permuted = Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(SEED), "_key", "block"), "block")
-    heap = heap.withColumns({"rank": F.row_number().over(permuted) - 1, "before": F.sum("words").over(permuted) - F.col("words")})
-    heap = heap.withColumns({"held": F.count("*").over(Window.partitionBy("_key")), "part": F.when(F.col("before") < F.col("rest"), 1).otherwise(0)})
-    heap = stash(heap.withColumn("drawn", F.sum("part").over(Window.partitionBy("_key")) + F.col("whole") * F.col("held")), "blocks")
+    at = F.xxhash64(F.lit(SEED), "_key", "block")
+    heap = stash(heap.withColumns({"order": at, "part": F.shiftrightunsigned(at, 64 - PART_BITS)}), "heap")
+    parts = heap.groupBy("_key", "part").agg(F.sum("words").alias("part_words"), F.count("*").alias("part_blocks"))
+    earlier, source = Window.partitionBy("_key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_key")
+    parts = parts.withColumns({"held": F.sum("part_blocks").over(source), "words_ahead": F.sum("part_words").over(earlier) - F.col("part_words"), "blocks_ahead": F.sum("part_blocks").over(earlier) - F.col("part_blocks")}).drop("part_words", "part_blocks")
+    permuted = Window.partitionBy("_key", "part").orderBy("order", "block")
+    heap = heap.join(parts, ["_key", "part"]).withColumns({"rank": F.col("blocks_ahead") + F.row_number().over(permuted) - 1, "before": F.col("words_ahead") + F.sum("words").over(permuted) - F.col("words")})
+    heap = stash(heap.withColumn("partial", (F.col("before") < F.col("rest")).cast("int")).drop("words_ahead", "blocks_ahead", "order", "part"), "blocks")
 
     total = sources.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
     levels = max(0, -(-int(total) // SHARD_WORDS) - 1).bit_length()
-    quotas = heap.groupBy("_key", "place").agg(F.max("drawn").alias("quota"))
-    root = quotas.agg(F.sort_array(F.collect_list(F.struct("place", "_key", "quota"))).alias("s")).select("s", F.transform("s", lambda x: x["quota"].cast("long")).alias("quotas"))
-    shards = split_quotas(root.select("quotas"), levels)
-    keys = root.select(F.posexplode("s").alias("i", "x")).select("i", F.col("x._key").alias("_key"))
-    given = shards.select("shard", F.posexplode("quotas").alias("i", "quota")).where("quota > 0")
-    stretch = given.withColumn("to", F.sum("quota").over(Window.partitionBy("i").orderBy("shard")))
-    stretches = stretch.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("to", "shard"))).alias("stretches")).join(keys, "i").select("_key", "stretches")
+    quotas = heap.groupBy("_key", "place").agg((F.sum("partial") + F.max(F.col("whole") * F.col("held"))).alias("quota"))
+    # Draws of a source are looked up by stretches of about the length that a shard takes of it.
+    quotas = stash(quotas.withColumn("wide", F.greatest(F.floor(F.col("quota") / 2**levels), F.lit(1))), "quotas")
+    root = quotas.agg(F.sort_array(F.collect_list(F.struct("place", "_key", "quota", "wide"))).alias("s")).select("s", F.transform("s", lambda x: x["quota"].cast("long")).alias("quotas"))
+    keys = root.select(F.posexplode("s").alias("i", "x")).select("i", F.col("x._key").alias("_key"), F.col("x.wide").alias("wide"))
+    given = split_quotas(root.select("quotas"), levels).select("shard", F.posexplode(F.arrays_zip("quotas", "starts")).alias("i", "x")).where("x.quotas > 0")
+    given = given.join(F.broadcast(keys), "i").select("_key", "wide", "shard", F.col("x.starts").alias("from"), (F.col("x.starts") + F.col("x.quotas")).alias("to"))
+    given = given.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("from") / F.col("wide")), F.floor((F.col("to") - 1) / F.col("wide"))))).drop("wide")
 
     # Draws of a block: each whole pass, then the partial one, by its place in the source's sequence of draws.
-    at = F.col("held") * F.col("pass") + F.col("rank")
-    passes = heap.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole")))).where("pass < whole or part = 1")
-    passes = passes.withColumn("at", at).join(stretches, "_key")
-    shard = F.filter("stretches", lambda x: x["to"] > F.col("at"))[0]["shard"]
-    drawn = stash(passes.groupBy("_key", "block", "before").agg(F.sort_array(F.collect_list(F.struct("pass", shard.alias("shard")))).alias("passes")), "draws")
+    passes = heap.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole")))).where("pass < whole or partial = 1")
+    passes = passes.join(quotas.select("_key", "wide"), "_key").withColumn("at", F.col("held") * F.col("pass") + F.col("rank")).withColumn("stretch", F.floor(F.col("at") / F.col("wide")))
+    passes = passes.join(given, ["_key", "stretch"]).where((F.col("at") >= F.col("from")) & (F.col("at") < F.col("to")))
+    drawn = stash(passes.groupBy("_key", "block", "before").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("passes")), "draws")
 
     rows = plain.join(per_source.drop("place"), "_key").withColumn("_block", block)
-    inside = Window.partitionBy("_key", "_block").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size")
-    # Rows with one id and size stand apart by their number.
+    inside = Window.partitionBy("_key", "_block").orderBy(F.xxhash64(F.lit(SEED + 1), "_pick"), "doc_id", "size")
+    # Rows with one id and text stand apart by their number.
     rows = rows.withColumn("_ahead", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.join(drawn.withColumnRenamed("block", "_block"), ["_key", "_block"], "left")
     start = F.coalesce("before", F.lit(0)) + F.col("_ahead")
@@ -174,7 +186,7 @@ def _drawn(plain: DataFrame) -> DataFrame:
     draws = F.transform(F.coalesce("passes", F.array().cast("array<struct<pass:bigint,shard:bigint>>")), lambda p: F.struct(p["pass"].alias("pass"), p["shard"].alias("shard"), F.when(p["pass"] < F.col("whole"), F.col("size")).otherwise(words).alias("words")))
     draws = F.filter(draws, lambda x: x["words"] > 0)
     rows = rows.withColumn("draws", draws)
-    return rows.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])).drop("_key", "_block", "_ahead", "blocks", "whole", "rest", "before", "passes")
+    return rows.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])).drop("_key", "_pick", "_block", "_ahead", "blocks", "whole", "rest", "before", "passes")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -185,7 +197,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: a row for each time a document is taken, by shard, shuffled inside each shard.
 
-    A last draw of part of a document has its first words, one blank apart.
+    A last draw of part of a document has its first words, one blank apart.  Nulls,
+    repeats and ties as in :func:`mixed`; columns may have any names.
     """
     rows = mixed(set_aside(docs, "doc_id", "text", "source")).withColumn("_draw", F.explode("draws"))
     partial = F.col("_draw.words") < F.col("size")
