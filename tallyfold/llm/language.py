@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 from .shared import batched, only, restored, set_aside, stash
 from .textkit import LOWER, SEPARATOR, pieces, utf8
 
-#: Texts that the text model is fitted on, dealt evenly among the languages, and the least bound for one language; hash buckets of 4-grams.
+#: Texts that the text model is fitted on, about, dealt evenly among the languages, and the least bound for one language; hash buckets of 4-grams.
 SAMPLE, EACH, BUCKETS = 4000, 200, 1 << 16
-#: A declared name is a language if so many records declare it, and so many millionths of all that declare one: below that it is noise.
-LEAST, MILLIONTHS = 3, 1
+#: A declared name that is one of a language: two or three letters, whatever follows a hyphen.
+NAME = r"^([a-z]{2,3})(?:[-_].*)?$"
 #: 4-grams of a text count in full up to this number, and four overlapping ones as one.
 FULL = 400
 #: Records that a parent's share stands for in the smoothing, of hosts and of the two likelihoods.
@@ -78,33 +78,46 @@ class TextModel:
         return out
 
 
+def language_name(declared: Column) -> Column:
+    """The language that a declared name says, in lower case; null if it says none."""
+    name = F.regexp_extract(F.lower(F.trim(declared)), NAME, 1)
+    return F.when((name != "") & (name != UNKNOWN), name)
+
+
 def learn(records: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Fits on the texts of each language with the least hashes; languages are what all ``records`` (text, declared) declare.
+    """Fits on the texts of each language with the least hashes; languages are all that ``records`` (text, declared) declare.
 
-    A language takes ``sample`` divided by the number of languages, but ``EACH`` at least, or all its texts if they are fewer.
+    A language takes about ``sample`` divided by the number of languages, but ``EACH`` at least, or all
+    its texts if they are fewer.  Tasks count the 4-grams; the sums, of bounded size for each language, come to the driver.
     """
+    batched(records.sparkSession)
     known = records.where(F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN) & F.col("text").isNotNull()).select("declared", "text")
     known = known.withColumn("hash", F.xxhash64(F.lit(3), "text"))
-    labels = stash(known.groupBy("declared").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("hash").alias("texts")), "labels")
-    least = max(LEAST, (labels.agg(F.sum("n")).first()[0] or 0) * MILLIONTHS // 1_000_000)
-    languages = sorted(r[0] for r in labels.where(F.col("n") >= least).select("declared").collect())
+    labels = stash(known.groupBy("declared").agg(F.approx_count_distinct("hash").alias("texts")), "labels")
+    languages = sorted(r[0] for r in labels.select("declared").collect())
     each = max(EACH, sample // max(1, len(languages)))
-    # The least hashes of a language lie below a bound that its number of texts gives; a quarter more, as that number is estimated.
-    bounds = labels.where(F.col("n") >= least).select("declared", F.when(F.col("texts") > each, 1.25 * each / F.col("texts")).otherwise(1.0).alias("share"))
+    # The least hashes of a language lie below a bound that its number of texts gives.
+    bounds = labels.select("declared", F.when(F.col("texts") > each, each / F.col("texts")).otherwise(1.0).alias("share"))
     low = known.join(F.broadcast(bounds), "declared").where(F.pmod("hash", F.lit(1 << 40)) <= F.col("share") * float(1 << 40))
-    some = low.dropDuplicates(["declared", "hash"]).toPandas()
-    some = some.assign(at=some["hash"] % (1 << 40)).sort_values(["declared", "at", "hash"]).groupby("declared").head(each)
-    table = np.full((len(languages) + 1, BUCKETS), -np.log(BUCKETS))
-    for k, name in enumerate(languages):
-        texts = some["text"][some["declared"] == name].tolist()
-        seen = np.zeros(BUCKETS)
-        for i in range(0, len(texts), 200):
-            buckets, counted, begin, end = _grams(pa.array(texts[i : i + 200], pa.string()))
-            inside = np.zeros(len(buckets) + 1, np.int64)
-            np.add.at(inside, begin, 1)
-            np.add.at(inside, end, -1)
-            seen += np.bincount(buckets[(np.cumsum(inside[:-1]) > 0) & counted], minlength=BUCKETS)
-        table[k] = np.log((seen + 0.05) / (seen.sum() + 0.05 * BUCKETS))
+    place = {name: k for k, name in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                buckets, counted, begin, end = _grams(part.column("text"))
+                for k, a, b in zip((place[x] for x in part.column("declared").to_pylist()), begin.tolist(), end.tolist()):
+                    own = seen.setdefault(k, np.zeros(BUCKETS, np.int64))
+                    own += np.bincount(buckets[a:b][counted[a:b]], minlength=BUCKETS)
+        for k, own in seen.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(own[at])], ["k", "bucket", "n"])
+
+    counts = low.dropDuplicates(["declared", "hash"]).select("declared", "text").mapInArrow(run, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = np.full((len(languages) + 1, BUCKETS), -np.log(BUCKETS), np.float32)
+    seen = np.zeros((len(languages), BUCKETS), np.float32)
+    seen[counts["k"].to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"].to_numpy(float)
+    table[:-1] = np.log((seen + 0.05) / (seen.sum(axis=1, keepdims=True, dtype=np.float64) + 0.05 * BUCKETS))
     return TextModel([*languages, UNKNOWN], table)
 
 
@@ -202,17 +215,20 @@ _DECLARED, _MARKUP = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", r"(?i
 
 def documents_as_records(docs: DataFrame) -> DataFrame:
     """Documents: the column lang is what they declare, their source is the host; they have no address."""
-    return docs.withColumns({"declared": F.lower("lang"), "host": F.col("source"), "domain": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string")})
+    return docs.withColumns({"declared": language_name(F.col("lang")), "host": F.col("source"), "domain": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string")})
 
 
 def pages_as_records(pages: DataFrame) -> DataFrame:
-    """Pages: text without markup, the language their markup declares, host, domain (its last two parts) and suffix (the last)."""
+    """Pages: text without markup, the language their markup declares, host, domain (its last two parts, three below a country's shared ones) and suffix (the last)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1))
-    rows = pages.withColumns({"text": F.regexp_replace("html", _MARKUP, " "), "declared": F.nullif(declared, F.lit("")), "host": F.nullif(host, F.lit(""))})
-    return rows.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    rows = pages.withColumns({"text": F.regexp_replace("html", _MARKUP, " "), "declared": language_name(declared), "host": F.nullif(host, F.lit(""))})
+    domain = F.when(F.rlike("host", F.lit(SHARED)), F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2))
+    return rows.withColumns({"domain": domain, "suffix": F.substring_index("host", ".", -1)})
 
 
+#: Second parts that a country's domains share.
+SHARED = r"\.(?:ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org)\.[a-z]{2}$"
 _CLUES = ["declared", "suffix", "host", "domain"]
 
 
@@ -222,7 +238,7 @@ def identify(records: DataFrame, keep: list[str]) -> DataFrame:
     ``records`` has text, declared, suffix, host and domain; a null clue, or a
     null or empty text, says nothing.  Ties go to the first language by name.
     A corpus that declares no language has only the unknown one, and nothing is
-    kept.  Repeated rows are each returned.
+    kept.  Very long texts are read whole.  Repeated rows are each returned.
     """
     model = learn(records)
     seen = stash(evidence(records, model, [*keep, *_CLUES]), "evidence")
@@ -241,11 +257,13 @@ def identify_corpus(docs: DataFrame, pages: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents with an accepted language, with their columns; lang becomes the language found.
 
-    Texts pass twice, once for the aggregates and once for the decision, so that no text is shuffled.
+    Nulls, empty texts, ties and repeats as in :func:`identify`; columns may have any names.  The
+    evidence is written with the documents, so texts are read once.  Priors of hosts
+    are broadcast while they are small; a join of more of them splits hot hosts where the session's adaptive joins do.
     """
     records = documents_as_records(set_aside(docs, "text", "lang", "source"))
     model = learn(records)
-    seen = stash(evidence(records.select("text", *_CLUES), model, _CLUES), "evidence")
     aside = [c for c in records.columns if c.startswith("_in_")]
-    found = fuse(evidence(records, model, [*aside, *_CLUES]), aggregates(seen, len(model.languages)), model.languages)
+    seen = stash(evidence(records, model, [*aside, *_CLUES]), "evidence")
+    found = fuse(seen, aggregates(seen, len(model.languages)), model.languages)
     return restored(only(found, "kept"), docs, lang=F.col("language"))
