@@ -1,10 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its words, hashed; a word counts as itself and, where
-marks surround its letters, in its bare form too.  The machine adds a weight
-per term and, through short factor vectors, a weight for each pair of terms, so
-two words that are harmless alone can tell together.  It is fitted on a bounded
-sample of the labelled rows; scoring reads every whole text in batches.
+A text is the set of its words, hashed, without the marks around them.  The
+machine adds a weight per term and, through short factor vectors, a weight for each
+pair of terms, so two words that are harmless alone can tell together.  It is fitted
+on a bounded sample of the labelled rows, of which tasks extract and count the
+terms; only chosen terms come to the driver.  Scoring reads every whole text in batches.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batched
+from .shared import batched, stash
 from .textkit import LOWER, pieces, utf8, words
 
 #: Labelled rows that the fit may read, hash buckets of terms, terms with weights of their own, factors of a term.
-SAMPLE, BUCKETS, TERMS, FACTORS = 10_000, 1 << 22, 4096, 6
+SAMPLE, BUCKETS, TERMS, FACTORS = 20_000, 1 << 22, 4096, 6
 #: Most frequent terms that have weights in any case.
-FREQUENT = 128
+FREQUENT = 256
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.3
 #: Rows whose crc32 of the id has this remainder by 4 are held out from the fit.
@@ -70,45 +70,46 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(*_terms(texts)), -30, 30)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 150, rate: float = 0.05, decay: float = 2e-3, seed: int = 11) -> Machine:
-    """Fits by full-batch Adam on the logistic loss. The terms are those whose presence tells most of the label in the sample."""
-    n = len(texts)
+class _Sums:
+    """Sums of rows ``values[item]`` for each key of entries (key, item), which stand by key."""
+
+    def __init__(self, key: np.ndarray, item: np.ndarray, keys: int) -> None:
+        self.item = item.astype(np.int32)
+        self.there, self.first = np.unique(key, return_index=True)
+        self.keys = keys
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.keys, values.shape[1]))
+        # A column at a time: short arrays that stay near.
+        for k in range(values.shape[1]):
+            out[self.there, k] = np.add.reduceat(values[:, k].astype(np.float32)[self.item], self.first, dtype=np.float64) if len(self.item) else 0.0
+        return out
+
+
+def fit(owner: np.ndarray, column: np.ndarray, names: np.ndarray, toxic: np.ndarray, rounds: int = 150, rate: float = 0.05, decay: float = 2e-3, seed: int = 11) -> Machine:
+    """Fits by full-batch Adam on the logistic loss: row ``owner[i]`` has the term ``names[column[i]]``, names are sorted."""
+    n, m = len(toxic), len(names)
     share = float(np.clip(toxic.mean() if n else 0.0, 1e-4, 1 - 1e-4))
     bias = float(np.log(share / (1 - share)))
-    none = Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    if n == 0 or toxic.min() == toxic.max():
-        return none
-    parts = [_terms(pa.array(texts[i : i + 500], pa.string())) for i in range(0, n, 500)]
-    buckets = np.concatenate([b for b, _ in parts])
-    owner = np.concatenate([np.repeat(np.arange(len(f) - 1), np.diff(f)) + 500 * k for k, (_, f) in enumerate(parts)])
-    names, column = np.unique(buckets, return_inverse=True)
-    seen = np.bincount(column).astype(float)
-    hits = np.bincount(column, toxic[owner])
-    # Chi-square of presence against the label, with two rows of smoothing.
-    expected = seen * share
-    tells = (hits - expected) ** 2 / (expected * (1 - share) * (1 - seen / (n + 1)) + 1.0)
-    tells[seen < 3] = 0
-    chosen = np.argsort(-tells, kind="stable")[:TERMS]
-    # Frequent words too: one that tells nothing alone may tell with another.
-    chosen = np.union1d(chosen[tells[chosen] > 6.0], np.argsort(-seen, kind="stable")[:FREQUENT])
-    if not len(chosen):
-        return none
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[column] >= 0
-    owner, column = owner[keep], place[column][keep]
-    m = len(chosen)
+    if n == 0 or m == 0 or toxic.min() == toxic.max():
+        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(m), rng.normal(0, 0.05, (m, FACTORS))
     b = bias
     flat = [np.zeros(m), np.zeros(m), np.zeros((m, FACTORS)), np.zeros((m, FACTORS)), 0.0, 0.0]
+    # The same entries by row and by term, so that all sums are over neighbours.
+    order = np.argsort(owner, kind="stable")
+    by_row = _Sums(owner[order], column[order], n)
+    order = np.argsort(column, kind="stable")
+    by_term = _Sums(column[order], owner[order], m)
     for step in range(1, rounds + 1):
-        sums = np.stack([np.bincount(owner, v[column, f], n) for f in range(FACTORS)], axis=1)
-        squares = np.stack([np.bincount(owner, v[column, f] ** 2, n) for f in range(FACTORS)], axis=1)
-        margin = b + np.bincount(owner, w[column], n) + 0.5 * (sums**2 - squares).sum(axis=1)
+        sums = by_row.of(v)
+        margin = b + by_row.of((w - 0.5 * (v * v).sum(axis=1))[:, None])[:, 0] + 0.5 * (sums * sums).sum(axis=1)
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic) / n
-        gw = np.bincount(column, error[owner], m) + decay / n * w * 100
-        gv = np.stack([np.bincount(column, error[owner] * (sums[owner, f] - v[column, f]), m) for f in range(FACTORS)], axis=1) + decay / n * v * 2000
+        # A pair's gradient for a term is the row's other factors: all of them less its own.
+        both = by_term.of(np.concatenate([error[:, None], error[:, None] * sums], axis=1))
+        gw = both[:, 0] + decay / n * w * 100
+        gv = both[:, 1:] - both[:, :1] * v + decay / n * v * 2000
         gb = float(error.sum())
         for k, g in ((0, gw), (2, gv)):
             flat[k] = 0.9 * flat[k] + 0.1 * g
@@ -116,7 +117,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 150, rate: float = 0.
         flat[4], flat[5] = 0.9 * flat[4] + 0.1 * gb, 0.999 * flat[5] + 0.001 * gb * gb
         move = [flat[k] / (1 - 0.9**step) / (np.sqrt(flat[k + 1] / (1 - 0.999**step)) + 1e-8) for k in (0, 2, 4)]
         w, v, b = w - rate * move[0], v - rate * move[1], b - rate * move[2]
-    return Machine(names[chosen], float(b), w, v)
+    return Machine(names, float(b), w, v)
 
 
 def held_out(doc_id):
@@ -124,18 +125,57 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fits on labelled rows that are not held out: all of them, or about ``sample`` chosen by a hash of the id."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("double").alias("toxic"))
+    """Fits on labelled rows that are not held out: all of them, or about ``sample`` chosen by a hash of the id.
+
+    An id with several labels is toxic if one says so.  The terms are those whose
+    presence tells most of the label in the sample, by chi-square with two rows of
+    smoothing, and the most frequent ones: one that tells nothing alone may tell with another.
+    """
+    batched(docs.sparkSession)
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                buckets, first = _terms(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(buckets))], ["doc_id", "toxic", "terms"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").mapInArrow(run, "doc_id long, toxic double, terms array<bigint>")
+    rows = stash(rows, "terms")
+    n, hits = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
+    part = hits / max(n, 1)
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("toxic").alias("hits"))
+    expected = F.col("seen") * part
+    tells = F.pow(F.col("hits") - expected, 2) / (expected * (1 - part) * (1 - F.col("seen") / (n + 1.0)) + 1.0)
+    counts = stash(counts.withColumn("tells", tells), "counts")
+    telling = counts.where("seen >= 3 and tells > 6").orderBy(F.desc("tells"), "term").limit(TERMS)
+    chosen = telling.select("term").unionByName(counts.orderBy(F.desc("seen"), "term").limit(FREQUENT).select("term"))
+    names = np.unique([r[0] for r in chosen.collect()]).astype(np.int64)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("terms")
+            buckets, long = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+            at = np.minimum(np.searchsorted(names, buckets), max(len(names) - 1, 0))
+            known = names[at] == buckets if len(names) else np.zeros(len(buckets), bool)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(long)), long)[known], minlength=len(long)))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[known].astype(np.int32)))], ["doc_id", "toxic", "at"])
+
+    few = rows.mapInArrow(keep, "doc_id long, toxic double, at array<int>").toPandas()
+    # Rows with one id stand by their terms, so that sums are in one order.
+    few = few.assign(order=[tuple(x) for x in few["at"]]).sort_values(["doc_id", "order"], kind="stable")
+    lists = few["at"].tolist()
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    column = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
+    return fit(owner, column, names, few["toxic"].to_numpy(float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    A null or empty text gets the score of a text without known terms.  Repeated
+    A null or empty text gets the score of a text without known terms; very long texts are read whole.  Repeated
     rows are each scored; a null doc_id is not held out.
     """
     batched(docs.sparkSession)
