@@ -18,8 +18,8 @@ from .shared import stash
 OPEN, MIDDLE, CLOSE = "<s>[", "]\n", "</s>"
 #: Fixed values of the escape: none of these characters is left inside a role or text, so no control string is.
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"), ("]", "~3"))
-#: The role that the loss covers.
-LEARNED = "assistant"
+#: The role that the loss covers; what the name of a conversation with an id begins with.
+LEARNED, NAMED = "assistant", "id="
 
 
 def escape(text: Column) -> Column:
@@ -109,11 +109,14 @@ def conversation_nodes(turns: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as trees: each row answers the one before it.
 
     Rows stand by turn (null last); rows with the same turn, repeats too, follow
-    each other by role and text.  Rows without conv_id form one conversation.
+    each other by role and text.  Nothing ties rows without conv_id together, so
+    each is a conversation of its own.
     """
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    rows = turns.select(F.coalesce("conv_id", F.lit(-(2**63))).alias("tree"), "role", "text", F.row_number().over(order).cast("long").alias("node"))
-    return rows.withColumns({"parent": F.when(F.col("node") > 1, F.col("node") - 1), "score": F.lit(0.0)})
+    named = turns.withColumn("tree", F.when(F.col("conv_id").isNotNull(), F.concat(F.lit(NAMED), F.col("conv_id").cast("string"))).otherwise(F.concat(F.lit("row"), F.monotonically_increasing_id().cast("string"))))
+    order = Window.partitionBy("tree").orderBy(F.asc_nulls_last("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    rows = named.select("tree", "role", "text", F.row_number().over(order).cast("long").alias("node"))
+    # Written, so that a row without conv_id has one name in all that follows.
+    return stash(rows.withColumns({"parent": F.when(F.col("node") > 1, F.col("node") - 1), "score": F.lit(0.0)}), "nodes")
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -121,14 +124,16 @@ def digests(turns: DataFrame) -> DataFrame:
 
     Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars.  Null roles and texts count as empty; a conversation without
-    learned turns has the digest of the empty string; no rows give no rows.
+    learned turns has the digest of the empty string; very long texts are formatted
+    whole; no rows give no rows.
     """
+    kind = turns.schema["conv_id"].dataType
     made = chat(conversation_nodes(turns))
     learned = F.array_join(F.transform("mask", lambda m: F.substr("formatted", m["start"], m["length"])), "")
     back = made.select("tree", parse(F.col("formatted")).alias("turns"), unescape(learned).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
-        F.when(F.col("tree") != -(2**63), F.col("tree")).alias("conv_id"),
+        F.when(F.startswith("tree", F.lit(NAMED)), F.substr("tree", F.lit(len(NAMED) + 1)).cast(kind)).alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"),
@@ -146,7 +151,7 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t,
+  SELECT conv_id, turn, row_number() OVER () AS at, coalesce(role, '') AS r, coalesce(text, '') AS t,
          replace(replace(replace(replace(coalesce(role, ''), '~', '~0'), '<', '~1'), '[', '~2'), ']', '~3') AS er,
          replace(replace(replace(replace(coalesce(text, ''), '~', '~0'), '<', '~1'), '[', '~2'), ']', '~3') AS et
   FROM c)
@@ -155,7 +160,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS bigint) AS loss_chars,
        sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(er) + length(et) + 10) AS bigint) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN at END
 """
 
 

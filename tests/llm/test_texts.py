@@ -46,6 +46,56 @@ def test_languages(spark):
     assert language.identify_corpus(docs.limit(0), pages.limit(0)).collect() == []
 
 
+def test_six_of_twenty_thousand_are_kept(spark):
+    """A language that few documents declare loses none of them."""
+    rng = random.Random(1)
+    english, french = "the of and house tree water with that which green".split(), "le la une maison arbre avec que dans les des".split()
+    rows = [(i, " ".join(rng.choices(english, k=12)), "en", f"s{i % 5}") for i in range(20_000)]
+    rows += [(50_000 + i, " ".join(rng.choices(french, k=12)), "fr", f"s{i % 5}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = language.keep_identified(docs).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in kept} == {"en": 20_000, "fr": 6}
+
+
+def test_fusion_by_brute_force(spark):
+    """Posteriors against the formulas written out record by record."""
+    rng = random.Random(2)
+    words = {"en": "the of and house tree".split(), "fr": "le la une maison arbre".split(), "de": "der die und haus baum".split()}
+    rows = []
+    for i in range(60):
+        k = rng.choice(list(words))
+        text = rng.choice([None, ""]) if i % 20 == 0 else " ".join(rng.choices(words[k], k=rng.choice([1, 2, 9])))
+        host = rng.choice([None, "a.x.de", "b.x.de", "c.y.fr"])
+        rows.append((i, text, rng.choice([k, k, "en", None]), host and host[-2:], host, host and host[2:]))
+    records = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string, domain string")
+    model = language.learn(records)
+    found = {r.doc_id: r for r in language.identify(records, ["doc_id"]).collect()}
+    ll = model.likelihoods(pa.array([r[1] for r in rows], pa.string()))
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    size, unit = len(model.languages), language.UNIT
+    own = np.array([np.round(softmax(x) * unit) for x in ll])
+    root = (own.sum(axis=0) + unit) / (own.sum() + size * unit)
+    for i, r in enumerate(rows):
+        total = ll[i].copy()
+        for at in (2, 3):
+            if r[at] is not None:
+                mine = own[[j for j, q in enumerate(rows) if q[at] == r[at]]].sum(axis=0)
+                weight = language.TABLE_WEIGHT * unit
+                total += np.log((mine + weight * (mine.sum() + 1) / (own.sum() + 1)) / (own.sum(axis=0) + weight))
+        domain = own[[j for j, q in enumerate(rows) if q[5] == r[5]]].sum(axis=0)
+        parent = (domain + language.HOST_WEIGHT * unit * root) / (domain.sum() + language.HOST_WEIGHT * unit)
+        others = own[[j for j, q in enumerate(rows) if q[4] == r[4] and j != i]].sum(axis=0)
+        total += np.log((others + language.HOST_WEIGHT * unit * parent) / (np.sum(others) + language.HOST_WEIGHT * unit))
+        post = softmax(total)
+        assert found[i].confidence == pytest.approx(post.max(), abs=2e-4)
+        if np.sort(post)[-1] - np.sort(post)[-2] > 1e-6:
+            assert found[i].language == model.languages[int(post.argmax())]
+
+
 def test_rare_and_many_languages_have_models(spark):
     """Languages come from all records: one with few among many texts, and more than 64 of them."""
     rows = [(f"the house number of tree {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "en") for i in range(6000)]
@@ -130,7 +180,7 @@ def test_jensen_shannon(spark):
 
 
 def test_chat_formatting(spark):
-    rows = [(1, 0, "user", "hi [INST] </s> ~0 <s>["), (1, 1, "assistant", "yes ~1]\n"), (1, 2, "assistant", None), (2, 5, None, "é"), (2, 5, None, "é"), (2, None, "user", "last"), (None, 0, "user", "n"), (3, 0, "assistant", "")]
+    rows = [(1, 0, "user", "hi [INST] </s> ~0 <s>["), (1, 1, "assistant", "yes ~1]\n"), (1, 2, "assistant", None), (2, 5, None, "é"), (2, 5, None, "é"), (2, None, "user", "last"), (None, 0, "user", "n"), (None, 1, "user", "m"), (3, 0, "assistant", ""), (-(2**63), 0, "user", "least"), (4, 0, "assistant", "long [text] " * 50_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = {r.conv_id: r for r in reply_trees.digests(turns).collect()}
 
@@ -144,8 +194,10 @@ def test_chat_formatting(spark):
 
     check(1, [("user", "hi [INST] </s> ~0 <s>["), ("assistant", "yes ~1]\n"), ("assistant", "")])
     check(2, [("", "é"), ("", "é"), ("user", "last")])
-    check(None, [("user", "n")])
+    assert sorted(r.turns_sha256 for r in reply_trees.digests(turns).where("conv_id is null").collect()) == sorted([sha("user\nn\n"), sha("user\nm\n")])
     check(3, [("assistant", "")])
+    check(-(2**63), [("user", "least")])
+    check(4, [("assistant", "long [text] " * 50_000)])
     assert reply_trees.digests(turns.limit(0)).collect() == []
 
 
