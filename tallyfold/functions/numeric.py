@@ -24,7 +24,8 @@ def expm1_0(x: Column) -> Column:
 def filled(x: Column) -> Column:
     """0 for null, NaN and infinite values."""
     d = x.cast("double")
-    return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), F.lit(0.0)).otherwise(d)
+    # NaN is greater than any number, and null is no comparison.
+    return F.when(F.abs(d) < float("inf"), d).otherwise(F.lit(0.0))
 
 
 def lgamma(x: Column) -> Column:

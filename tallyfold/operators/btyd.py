@@ -51,8 +51,6 @@ def _features(alive: Column, orders: Column, gmv: Column, value: Column, total:
     return {"btyd_p_alive": alive, "btyd_exp_orders_30d": orders, "btyd_exp_gmv_30d": gmv, "btyd_log_exp_orders": log1p0(orders), "btyd_log_exp_gmv": log1p0(gmv), "btyd_order_value": value, "btyd_total_gmv": total}
 
 
-
-
 def bgnbd_loglik(x: Column, tx: Column, t: Column, r: Column, alpha: Column, a: Column, b: Column) -> Column:
     """Log likelihood of a buyer with x repeat days, the last at tx of t days."""
     steps = F.slice(F.sequence(F.lit(0), x.cast("int")), F.lit(1), x.cast("int"))
@@ -96,6 +94,7 @@ def _search(rows: DataFrame, names: tuple[str, ...], start: dict[str, float], lo
     """(fold, *names, ll): for each fold of a histogram (fold, n, ...) the best penalised mean log likelihood on a closing grid of logarithms."""
     spark = rows.sparkSession
     folds = rows.select("fold").distinct()
+    wanted = folds.count()
     best = folds.select("fold", *[F.lit(math.log(start[n])).alias(n) for n in names])
     for k in range(rounds):
         width = 1.6 * 0.62**k
@@ -104,9 +103,13 @@ def _search(rows: DataFrame, names: tuple[str, ...], start: dict[str, float], lo
         grid = best.join(F.broadcast(moves)).select("fold", *[F.exp(F.col(n) + F.col(f"d_{n}")).alias(n) for n in names])
         scored = rows.join(F.broadcast(grid), "fold").groupBy("fold", *names).agg((F.sum(F.col("n") * loglik) / F.sum("n")).alias("fit"))
         scored = scored.withColumn("score", F.col("fit") - PENALTY * sum((F.col(n) ** 2 for n in names[1:]), F.col(names[0]) ** 2))
+        # NaN is the greatest value there is, and no score.
+        scored = scored.where(F.abs("score") < float("inf"))
         best = scored.groupBy("fold").agg(F.max_by(F.struct("score", *names), F.struct("score", *names)).alias("s")).select("fold", "s.*")
         # At most one row per fold: the search state is a handful of numbers.
         found = best.collect()
+        if len(found) < wanted:
+            raise ValueError(f"no finite likelihood for {wanted - len(found)} folds")
         best = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(x["fold"]).alias("fold"), *[F.lit(math.log(x[n])).alias(n) for n in names], F.lit(x["score"]).alias("score")) for x in found])).alias("s")).select("s.*") if found else best
     return best.select("fold", *[F.exp(n).alias(n) for n in names], F.col("score").alias("penalised_ll")) if rounds else best
 
@@ -143,8 +146,7 @@ def with_mode(values: DataFrame, summaries: DataFrame, mode: str) -> DataFrame:
     if mode not in ("heuristic", "bgnbd"):
         raise ValueError(f"unknown btyd mode {mode!r}")
     if mode == "bgnbd":
+        # A summary of a fold that the fit lacks would lose its features; the fit raises first.
         fresh = scored(summaries, fit_bgnbd(summaries), fit_gamma_gamma(summaries))
         values = values.drop(*[c for c in fresh.columns if c.startswith("btyd_")]).join(fresh, ["fold", USER], "left")
     return values.withColumn("btyd_mode", F.lit(mode))
-
-

@@ -63,6 +63,20 @@ def targets(activity: DataFrame, folds: DataFrame, people: DataFrame) -> DataFra
     return joined.select("fold", "fold_idx", USER, target.alias("target"), log1p0(target).alias("target_log"))
 
 
+def sized(folds: DataFrame, activity: DataFrame) -> DataFrame:
+    """``folds`` with n_users, the users seen by the cutoff. Users are counted by their first day before they meet the folds."""
+    days = activity.groupBy(USER).agg(F.min(DAY).alias("first_day")).groupBy("first_day").agg(F.count("*").alias("n"))
+    seen = days.join(F.broadcast(folds.select("fold", "cutoff")), F.col("first_day") <= F.col("cutoff")).groupBy("fold").agg(F.sum("n").alias("n_users"))
+    return folds.join(seen, "fold", "left").withColumn("n_users", F.coalesce("n_users", F.lit(0).cast("long")))
+
+
+def with_users(pairs: DataFrame, counted: DataFrame) -> DataFrame:
+    """(valid_idx, train_idx) pairs with the rows that each side of the pair has, from folds with n_users."""
+    for side in ("valid", "train"):
+        pairs = pairs.join(F.broadcast(counted.select(F.col("fold_idx").alias(f"{side}_idx"), F.col("n_users").alias(f"{side}_users"))), f"{side}_idx")
+    return pairs
+
+
 def walk_forward(folds: DataFrame, last: int | None = None) -> DataFrame:
     """(valid_idx, train_idx): every fold but the first is validated on all older ones; with ``last``, only the newest so many."""
     idx = folds.where("fold != 'test'").select("fold_idx")

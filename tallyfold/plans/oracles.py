@@ -134,6 +134,8 @@ pred AS (
 _TARGETS = """t AS (SELECT f.fold, a.user_id, CAST(sum(gmv) AS double) AS spent FROM a JOIN f ON event_date BETWEEN target_start AND target_end GROUP BY f.fold, a.user_id),
 u AS (SELECT DISTINCT f.fold, f.fold_idx, a.user_id FROM a JOIN f ON event_date <= cutoff)"""
 
+_SIZED = "n AS (SELECT fold_idx, count(*) AS n_users FROM u GROUP BY fold_idx)"
+
 _BGNBD = {"r": 0.5, "alpha": 20.0, "a": 0.8, "b": 2.5}
 _GAMMA = {"p": 2.5, "q": 3.5, "v": 1000.0}
 
@@ -170,11 +172,11 @@ def all_queries() -> dict[str, str]:
 FROM (SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, min(event_date) AS first_day, max(event_date) AS last_day, count(*) FILTER (gmv < 0) AS negative_gmv FROM a)""",
         "dq_nulls": f"{act} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_null FROM a" for c in S.ACTIVITY.fieldNames()),
         "dq_duplicates": "WITH r AS (SELECT o_custkey, CAST(o_orderdate AS date) AS d, count(*) AS n FROM orders GROUP BY ALL) SELECT CAST(coalesce(sum(n - 1), 0) AS bigint) AS duplicate_rows FROM r",
-        "fold_calendar": f"WITH {f} SELECT * FROM f",
-        "fold_overlap_check": f"WITH {f} SELECT fold, fold_idx, target_start, prev_target_end, coalesce(target_start <= prev_target_end, false) AS overlaps FROM (SELECT *, lag(target_end) OVER (ORDER BY fold_idx) AS prev_target_end FROM f)",
-        "walk_forward_pairs": f"WITH {f} SELECT v.fold_idx AS valid_idx, t.fold_idx AS train_idx FROM f v JOIN f t ON t.fold_idx < v.fold_idx WHERE v.fold <> 'test' AND t.fold <> 'test'",
-        "walk_forward_last_two": f"WITH {f} SELECT v.fold_idx AS valid_idx, t.fold_idx AS train_idx FROM f v JOIN f t ON t.fold_idx < v.fold_idx WHERE v.fold <> 'test' AND t.fold <> 'test' AND v.fold_idx >= {ORDERS.kept_folds - 2}",
-        "leave_one_out_pairs": f"WITH {f} SELECT v.fold_idx AS valid_idx, t.fold_idx AS train_idx FROM f v JOIN f t ON t.fold_idx <> v.fold_idx WHERE v.fold <> 'test' AND t.fold <> 'test'",
+        "fold_calendar": f"{act}, {f}, {_TARGETS}, {_SIZED} SELECT f.*, coalesce(n_users, 0) AS n_users FROM f LEFT JOIN n USING (fold_idx)",
+        "fold_overlap_check": f"{act}, {f}, {_TARGETS}, {_SIZED} SELECT fold, fold_idx, target_start, prev_target_end, coalesce(target_start <= prev_target_end, false) AS overlaps, n_users FROM n JOIN (SELECT *, lag(target_end) OVER (ORDER BY fold_idx) AS prev_target_end FROM f) USING (fold_idx)",
+        "walk_forward_pairs": f"{act}, {f}, {_TARGETS}, {_SIZED} SELECT v.fold_idx AS valid_idx, t.fold_idx AS train_idx, nv.n_users AS valid_users, nt.n_users AS train_users FROM f v JOIN n nv ON v.fold_idx = nv.fold_idx JOIN f t ON t.fold_idx < v.fold_idx JOIN n nt ON t.fold_idx = nt.fold_idx WHERE v.fold <> 'test' AND t.fold <> 'test'",
+        "walk_forward_last_two": f"{act}, {f}, {_TARGETS}, {_SIZED} SELECT v.fold_idx AS valid_idx, t.fold_idx AS train_idx, nv.n_users AS valid_users, nt.n_users AS train_users FROM f v JOIN n nv ON v.fold_idx = nv.fold_idx JOIN f t ON t.fold_idx < v.fold_idx JOIN n nt ON t.fold_idx = nt.fold_idx WHERE v.fold <> 'test' AND t.fold <> 'test' AND v.fold_idx >= {ORDERS.kept_folds - 2}",
+        "leave_one_out_pairs": f"{act}, {f}, {_TARGETS}, {_SIZED} SELECT v.fold_idx AS valid_idx, t.fold_idx AS train_idx, nv.n_users AS valid_users, nt.n_users AS train_users FROM f v JOIN n nv ON v.fold_idx = nv.fold_idx JOIN f t ON t.fold_idx <> v.fold_idx JOIN n nt ON t.fold_idx = nt.fold_idx WHERE v.fold <> 'test' AND t.fold <> 'test'",
         "user_universe": f"{act}, {f}, {_TARGETS} SELECT fold, fold_idx, user_id FROM u",
         "target_window": f"{act}, {f}, {_TARGETS} SELECT fold, fold_idx, user_id, greatest(coalesce(spent, 0), 0) AS target, round(ln(1 + greatest(coalesce(spent, 0), 0)), 6) AS target_log FROM u LEFT JOIN t USING (fold, user_id)",
         "target_window_events": f"WITH {EVENTS_ACTIVITY}, {folds(EVENTS)}, {_TARGETS} SELECT fold, fold_idx, user_id, greatest(coalesce(spent, 0), 0) AS target, round(ln(1 + greatest(coalesce(spent, 0), 0)), 6) AS target_log FROM u LEFT JOIN t USING (fold, user_id)",

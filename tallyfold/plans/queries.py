@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..config import DAY, EVENTS, MONEY, ORDERS, USER, Calendar
+from ..config import DAY, EVENTS, MONEY, ORDERS, USER
 from ..functions.numeric import filled, log1p0
 from ..operators import btyd, evaluate, features, folds, learn, quality
 from ..sources import activity as source
@@ -35,9 +35,17 @@ def _plain(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("double") for c in MONEY})
 
 
-def _seen_folds(spark: SparkSession, rows: DataFrame, cal: Calendar) -> DataFrame:
-    """The folds of which the activity has any user by the cutoff."""
-    return folds.calendar(spark, cal).join(F.broadcast(folds.as_of(rows, folds.calendar(spark, cal)).select("fold").distinct()), "fold", "left_semi")
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.sized(_folds(spark), _orders(spark, sf))
+
+
+def _pairs(scheme: Callable[..., DataFrame], **more: int) -> Callable[[SparkSession, str], DataFrame]:
+    """Pairs of folds with their numbers of rows."""
+    return lambda spark, sf: folds.with_users(scheme(_folds(spark), **more), _sized(spark, sf))
+
+
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.overlap_check(_folds(spark)).join(F.broadcast(_sized(spark, sf).select("fold", "n_users")), "fold")
 
 
 def _sums(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,6 +112,8 @@ def _top(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Features that the registered learners read, and how many of the most important ones the factorization machines do; trials of the search.
 LEARNED, MOST_IMPORTANT, TRIALS = list(S.FEATURES), 100, 40
+#: Fixed value: share of each fold's rows that the search reads.
+SEARCHED = 0.3
 TREES = learn.Trees()
 
 
@@ -141,7 +151,20 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.search(_vectors(spark, sf), learn.candidates(TRIALS), last=2)
+    table = features.sample_fraction(_with_target(spark, sf, tuple(LEARNED)), SEARCHED)
+    return learn.search(learn.assembled(table, LEARNED), learn.candidates(TRIALS), last=2)
+
+
+def _end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole run: both tree learners on all features and the machines on the most important ones, their fold and seed averages, and the blend of the test fold."""
+    table = _with_target(spark, sf)
+    vectors = learn.assembled(table, LEARNED)
+    models = learn.fit_folds(vectors, TREES)
+    forest = learn.fit_folds(vectors, TREES, "forest", "leave_one_out")
+    best = [r["feature"] for r in evaluate.top_features(evaluate.mean_importance(learn.importances(models, LEARNED, spark)), MOST_IMPORTANT).collect()]
+    factors = learn.factor_seeds(table.select("fold", "fold_idx", USER, "target", "target_log", *best), best, ORDERS.kept_folds)
+    parts = {"gbt": evaluate.fold_average(learn.predict(vectors, models, "gbt")), "forest": evaluate.fold_average(learn.predict(vectors, forest, "forest")), "fm": evaluate.seed_average(factors)}
+    return evaluate.submission(evaluate.blend(features.union_all([p.withColumn("model", F.lit(n)) for n, p in parts.items()]), evaluate.WEIGHTS))
 
 
 def _loglik(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,14 +198,14 @@ def _oof(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_daily": lambda s, d: _plain(_orders(s, d)),
     "activity_events": lambda s, d: _plain(_events(s, d)),
-    "fold_calendar": lambda s, d: _seen_folds(s, _orders(s, d), ORDERS),
-    "walk_forward_pairs": lambda s, d: folds.walk_forward(_seen_folds(s, _orders(s, d), ORDERS)),
-    "walk_forward_last_two": lambda s, d: folds.walk_forward(_seen_folds(s, _orders(s, d), ORDERS), last=2),
-    "leave_one_out_pairs": lambda s, d: folds.leave_one_out(_seen_folds(s, _orders(s, d), ORDERS)),
+    "fold_calendar": _sized,
+    "walk_forward_pairs": _pairs(folds.walk_forward),
+    "walk_forward_last_two": _pairs(folds.walk_forward, last=2),
+    "leave_one_out_pairs": _pairs(folds.leave_one_out),
     "dq_volume": lambda s, d: quality.volume(_orders(s, d)),
     "dq_nulls": lambda s, d: quality.nulls(_orders(s, d)),
     "dq_duplicates": _raw_duplicates,
-    "fold_overlap_check": lambda s, d: folds.overlap_check(_seen_folds(s, _orders(s, d), ORDERS)),
+    "fold_overlap_check": _overlaps,
     "user_universe": lambda s, d: folds.universe(_orders(s, d), _folds(s)),
     "target_window": lambda s, d: _targets(_orders(s, d), _folds(s)),
     "target_window_events": lambda s, d: _targets(_events(s, d), folds.calendar(s, EVENTS)),
@@ -217,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_importance": _importance,
     "gbt_test_scores": _scored,
     "random_search": _search,
+    "end_to_end_blend": _end_to_end,
     "bgnbd_fit": lambda s, d: btyd.fit_bgnbd(_summaries(s, d), rounds=6),
     "gamma_gamma_fit": lambda s, d: btyd.fit_gamma_gamma(_summaries(s, d), rounds=6),
     "sample_per_fold": lambda s, d: features.sample_rows(features.sample_fraction(folds.universe(_orders(s, d), _folds(s)), 0.3), 100),

@@ -28,6 +28,7 @@ def test_registered_learners_run_the_whole_job(spark, monkeypatch):
     read, fits, machines, searches = [], [], [], []
     ranks = spark.createDataFrame([(0, c, float(k)) for k, c in enumerate(S.FEATURES)], "fold_model int, feature string, importance double")
     monkeypatch.setattr(queries, "_with_target", lambda s, d, columns=S.FEATURES: columns)
+    monkeypatch.setattr(queries.features, "sample_fraction", lambda table, share: table if share == 0.3 else None)
     monkeypatch.setattr(learn, "assembled", lambda table, columns: read.append(list(columns)))
     monkeypatch.setattr(learn, "fit_folds", lambda vectors, settings, kind="gbt", scheme="walk_forward", last=None: fits.append((settings, last)))
     monkeypatch.setattr(learn, "importances", lambda *a: ranks)
