@@ -167,7 +167,7 @@ def _drawn(plain: DataFrame) -> DataFrame:
     root = quotas.agg(F.sort_array(F.collect_list(F.struct("place", "_key", "quota", "wide"))).alias("s")).select("s", F.transform("s", lambda x: x["quota"].cast("long")).alias("quotas"))
     keys = root.select(F.posexplode("s").alias("i", "x")).select("i", F.col("x._key").alias("_key"), F.col("x.wide").alias("wide"))
     given = split_quotas(root.select("quotas"), levels).select("shard", F.posexplode(F.arrays_zip("quotas", "starts")).alias("i", "x")).where("x.quotas > 0")
-    given = given.join(F.broadcast(keys), "i").select("_key", "wide", "shard", F.col("x.starts").alias("from"), (F.col("x.starts") + F.col("x.quotas")).alias("to"))
+    given = given.join(keys, "i").select("_key", "wide", "shard", F.col("x.starts").alias("from"), (F.col("x.starts") + F.col("x.quotas")).alias("to"))
     given = given.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("from") / F.col("wide")), F.floor((F.col("to") - 1) / F.col("wide"))))).drop("wide")
 
     # Draws of a block: each whole pass, then the partial one, by its place in the source's sequence of draws.
