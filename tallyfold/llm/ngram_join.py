@@ -299,7 +299,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     cut = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
     heads = families.select("leader", F.col("leader").alias("id"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     members = stash(members.join(families, "leader").select("leader", "id", "parts", cut.alias("part")).unionByName(heads), "members")
-    # What the prefixes alone rule out is not read again. Parts of one family are not screened against each other, so such families stay whole.
+    # What the prefixes alone rule out is not read again. Families of several parts stay whole here, as all their sets need a distance from the leader.
     shown = prefixes.select(F.col("doc_id").alias("id"), "n", "tokens").join(members.where("parts = 1"), "id")
     alive = stash(_screen(shown, percent, order).distinct(), "alive")
     members = stash(members.where("parts > 1").unionByName(members.where("parts = 1").join(alive, ["leader", "id"], "left_semi")), "members")
@@ -316,16 +316,25 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     # Families of several parts: sets not linked with the leader meet each other and the linked ones across parts.
     limit = 1 - percent / 100 + 1e-12
     far = compared.where("id is not null and id != leader").select("leader", "id", "dist").distinct().withColumn("linked", F.col("dist") <= limit)
-    far = far.where((F.col("dist") < 1) | ~F.col("linked"))
+    # By the triangle inequality a linked set can only link with a loose one that is hardly farther from the leader.
+    nearest = far.groupBy("leader").agg(F.min(F.when(~F.col("linked"), F.col("dist"))).alias("nearest"))
+    far = far.join(nearest, "leader").where(~F.col("linked") | (F.col("dist") >= F.col("nearest") - (1 - percent / 100 + 1e-9))).drop("nearest")
     blocks = far.groupBy("leader").agg(F.sum((~F.col("linked")).cast("int")).alias("loose"), F.sum(F.col("linked").cast("int")).alias("close")).where("loose > 0")
-    blocks = blocks.select("leader", F.ceil(F.col("loose") / LOOSE_SETS).cast("int").alias("nl"), F.greatest(F.lit(1), F.ceil(F.col("close") / LOOSE_SETS)).cast("int").alias("nc"))
-    far = far.join(blocks, "leader").withColumn("slot", F.when(F.col("linked"), F.pmod(F.xxhash64("id"), F.col("nc").cast("long"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nl").cast("long"))).cast("int"))
+    blocks = blocks.select("leader", F.ceil(F.col("loose") / LOOSE_SETS).cast("int").alias("nl"), F.ceil(F.col("close") / LOOSE_SETS).cast("int").alias("nc"))
+    far = far.join(blocks, "leader").withColumn("slot", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.when(F.col("linked"), F.col("nc")).otherwise(F.col("nl"))).cast("long")).cast("int"))
     # Part (i, j): loose block i with loose block j >= i, or with linked block j (numbered after all loose pairs).
     loose_pairs = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda j: F.least(j, F.col("slot")) * F.col("nl") + F.greatest(j, F.col("slot")))
-    with_close = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda j: F.col("nl") * F.col("nl") + F.col("slot") * F.col("nc") + j)
+    with_close = F.slice(F.transform(F.sequence(F.lit(0), F.col("nc")), lambda j: F.col("nl") * F.col("nl") + F.col("slot") * F.col("nc") + j), F.lit(1), F.col("nc"))
     from_close = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda i: F.col("nl") * F.col("nl") + i * F.col("nc") + F.col("slot"))
-    far = far.select("leader", "id", "dist", "linked", F.lit(1).alias("parts"), F.explode(F.when(F.col("linked"), from_close).otherwise(F.concat(loose_pairs, with_close))).alias("part"))
-    crossed = _compare(whole.join(far, "id"), percent, report=False)
+    far = stash(far.select("leader", "id", "dist", "linked", F.lit(1).alias("parts"), F.explode(F.when(F.col("linked"), from_close).otherwise(F.concat(loose_pairs, with_close))).alias("part")), "far")
+    # What the prefixes rule out within a part is not read again.
+    shown = prefixes.select(F.col("doc_id").alias("id"), "n", "tokens").join(_small(far.select("leader", "part", "id")), "id")
+    alive = stash(_screen(shown, percent, order).distinct(), "alive")
+    far = stash(far.join(alive, ["leader", "id"], "left_semi"), "far")
+    wanted = stash(far.select("id").distinct(), "wanted")
+    texts = single.join(_small(wanted), F.col("doc_id") == F.col("id"), "left_semi")
+    again = _sets(texts, size, percent, whole=True).select(F.col("doc_id").alias("id"), "tokens")
+    crossed = _compare(again.join(_small(far), "id"), percent, report=False)
     edges = edges.unionByName(crossed.where("a is not null").select("a", "b"))
     return found, edges, classes
 
