@@ -139,9 +139,14 @@ def standardised(table: DataFrame, train: Column, columns: list[str]) -> DataFra
     return joined.select(*[c for c in table.columns if c not in columns], *[((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(c) for c in columns])
 
 
+def _lot(seed: int) -> Column:
+    """A digest of seed, fold and user as hex digits, which any engine gives alike."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), "fold", F.col(USER).cast("string")))
+
+
 def sample_fraction(table: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """About ``fraction`` of each fold's rows; the same rows in every run."""
-    return table.where(F.pmod(F.xxhash64(F.lit(seed), "fold", USER), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return table.where(F.conv(F.substring(_lot(seed), 1, 8), 16, 10).cast("long") < int(fraction * (1 << 32)))
 
 
 def sample_rows(table: DataFrame, rows: int, seed: int = 42) -> DataFrame:
@@ -149,7 +154,7 @@ def sample_rows(table: DataFrame, rows: int, seed: int = 42) -> DataFrame:
 
     Parts of each fold choose their own first, so that no task sorts a whole fold.
     """
-    table = table.withColumn("_h", F.xxhash64(F.lit(seed), "fold", USER)).withColumn("_part", F.pmod("_h", F.lit(64)))
+    table = table.withColumn("_h", _lot(seed)).withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(64)))
     for keys in (("fold", "_part"), ("fold",)):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", USER))
         table = table.withColumn("_rank", rank).where(F.col("_rank") <= rows)

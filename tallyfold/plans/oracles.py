@@ -151,6 +151,11 @@ def _loglik() -> str:
     return f"lgamma({r} + x) - lgamma({r}) + {r} * ln({al}) + lgamma({b} + x) - lgamma({b}) - lgamma({a} + {b} + x) + lgamma({a} + {b}) + CASE WHEN x > 0 THEN greatest({u}, {v}) + ln(exp({u} - greatest({u}, {v})) + exp({v} - greatest({u}, {v}))) ELSE {u} END"
 
 
+def _gamma_loglik() -> str:
+    p, q, v = _GAMMA.values()
+    return f"lgamma({p} * x + {q}) - lgamma({p} * x) - lgamma({q}) + {q} * ln({v}) + ({p} * x - 1) * ln(m) + {p} * x * ln(x) - ({p} * x + {q}) * ln(x * m + {v})"
+
+
 def _alive() -> str:
     r, al, a, b = _BGNBD.values()
     return f"CASE WHEN x > 0 THEN 1 / (1 + {a} / ({b} + x - 1) * exp(({r} + x) * (ln({al} + t) - ln({al} + tx)))) ELSE 1.0 END"
@@ -209,8 +214,15 @@ SELECT model, fold, count(*) AS n, round(sqrt(avg(e)), 6) AS rmsle FROM k GROUP
         "fold_average": f"{PREDICTORS} SELECT user_id, round(avg(pred), 4) AS predict FROM pred WHERE model = 'btyd' GROUP BY user_id",
         "seed_average": f"{PREDICTORS} SELECT user_id, round(exp(greatest(avg(ln(1 + greatest(pred, 0))), 0)) - 1, 4) AS predict FROM pred WHERE fold = 'test' GROUP BY user_id",
         "blend": f"{PREDICTORS} SELECT user_id, round(sum(pred * CASE model WHEN 'last30' THEN 0.50 WHEN 'btyd' THEN 0.35 ELSE 0.15 END), 4) AS predict FROM pred WHERE fold = 'test' GROUP BY user_id",
-        "top_k_features": f"""{sums()}, x AS (SELECT coalesce(gmv_sum_30d, 0) AS gmv_sum_30d, coalesce(gmv_sum_90d, 0) AS gmv_sum_90d, coalesce(gmv_sum_365d, 0) AS gmv_sum_365d, coalesce(to_ord_sum_90d, 0) AS to_ord_sum_90d, coalesce(searches_sum_90d, 0) AS searches_sum_90d FROM g)
+        "top_k_features": f"""{sums()}, x AS (SELECT avg(coalesce(gmv_sum_30d, 0)) AS gmv_sum_30d, avg(coalesce(gmv_sum_90d, 0)) AS gmv_sum_90d, avg(coalesce(gmv_sum_365d, 0)) AS gmv_sum_365d, avg(coalesce(to_ord_sum_90d, 0)) AS to_ord_sum_90d, avg(coalesce(searches_sum_90d, 0)) AS searches_sum_90d FROM g GROUP BY fold)
 SELECT feature, importance FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS importance FROM x" for c in ("gmv_sum_30d", "gmv_sum_90d", "gmv_sum_365d", "to_ord_sum_90d", "searches_sum_90d")) + ") ORDER BY importance DESC, feature LIMIT 3",
+        "gamma_gamma_loglik": f"{_summaries()} SELECT fold, user_id, round({_gamma_loglik()}, 6) AS loglik FROM s WHERE x > 0 AND m > 0",
+        "btyd_scored": f"""{_summaries()}, k AS (SELECT s.*, (SELECT sum(exp(lt) * sg) FROM (SELECT {_series_terms()} FROM range(60) r(k))) AS series FROM s),
+w AS (SELECT *, {_alive()} AS alive, {_orders()} AS n, CASE WHEN fold = 'fold_0' THEN m ELSE {_GAMMA['p']} * ({_GAMMA['v']} + x * m) / ({_GAMMA['p']} * x + {_GAMMA['q'] - 1}) END AS worth FROM k)
+SELECT fold, user_id, round(alive, 6) AS btyd_p_alive, round(n, 6) AS btyd_exp_orders_30d, round(n * worth, 2) AS btyd_exp_gmv_30d, round(ln(1 + n), 6) AS btyd_log_exp_orders, round(ln(1 + n * worth), 6) AS btyd_log_exp_gmv, round(m, 4) AS btyd_order_value, round(total, 2) AS btyd_total_gmv FROM w""",
+        "sample_per_fold": f"""{act}, {f}, {_TARGETS},
+h AS (SELECT *, md5('42|' || fold || '|' || user_id) AS h FROM u)
+SELECT fold, fold_idx, user_id FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY h, user_id) AS k FROM h WHERE substr(h, 1, 8) < '4ccccccc') x WHERE k <= 100""",
     }
     return found
 

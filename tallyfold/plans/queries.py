@@ -104,9 +104,8 @@ def _standardize(spark: SparkSession, sf: str) -> DataFrame:
 
 def _top(spark: SparkSession, sf: str) -> DataFrame:
     columns = ("gmv_sum_30d", "gmv_sum_90d", "gmv_sum_365d", "to_ord_sum_90d", "searches_sum_90d")
-    means = features.build(_orders(spark, sf), _folds(spark), ORDERS, columns=columns).agg(*[F.avg(c).alias(c) for c in columns])
-    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
-    rows = means.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, importance)")
+    means = features.build(_orders(spark, sf), _folds(spark), ORDERS, columns=columns).groupBy(F.col("fold_idx").alias("fold_model")).agg(*[F.avg(c).alias(c) for c in columns])
+    rows = evaluate.mean_importance(means.unpivot("fold_model", list(columns), "feature", "importance"))
     return evaluate.top_features(_rounded(rows, importance=4), 3, list(columns))
 
 
@@ -182,6 +181,26 @@ def _gamma_value(spark: SparkSession, sf: str) -> DataFrame:
     return _summaries(spark, sf).select("fold", USER, F.round(value, 4).alias("expected_value"))
 
 
+def _gamma_loglik(spark: SparkSession, sf: str) -> DataFrame:
+    like = btyd.gamma_gamma_loglik(F.col("frequency"), F.col("monetary_value"), *_parameters(("p", "q", "v")))
+    return _summaries(spark, sf).where("frequency > 0 and monetary_value > 0").select("fold", USER, F.round(like, 6).alias("loglik"))
+
+
+def _btyd_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """The seven BTYD features from fixed parameters; the first fold has no value model."""
+    calendar = _folds(spark).select("fold")
+    counts, value = (calendar.select("fold", *[F.lit(v).alias(n) for n, v in given.items()]) for given in (BGNBD, GAMMA))
+    table = btyd.scored(_summaries(spark, sf), counts, value.where("fold != 'fold_0'"))
+    return _rounded(table, btyd_p_alive=6, btyd_exp_orders_30d=6, btyd_exp_gmv_30d=2, btyd_log_exp_orders=6, btyd_log_exp_gmv=6, btyd_order_value=4, btyd_total_gmv=2)
+
+
+def _fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """All features, their BTYD columns from the models fitted on each fold."""
+    sums = _sums(spark, sf)
+    made = btyd.with_mode(features.base(sums), btyd.rfm(sums), "bgnbd")
+    return features.complete(made).withColumn("btyd_mode", F.lit("bgnbd"))
+
+
 def _rfm(spark: SparkSession, sf: str) -> DataFrame:
     table = _summaries(spark, sf)
     return _rounded(table.withColumns({c: F.col(c).cast("long") for c in ("frequency", "recency", "t")}), monetary_value=4, total_gmv=2)
@@ -227,6 +246,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bgnbd_loglik": _loglik,
     "bgnbd_scores": _bgnbd_scores,
     "gamma_gamma_value": _gamma_value,
+    "gamma_gamma_loglik": _gamma_loglik,
+    "btyd_scored": _btyd_scored,
     "standardize": _standardize,
     "top_k_features": _top,
     "rmsle_by_fold": lambda s, d: _rounded(evaluate.rmsle(_oof(s, d)), rmsle=6),
@@ -241,7 +262,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_test_scores": _scored,
     "random_search": _search,
     "end_to_end_blend": _end_to_end,
-    "bgnbd_fit": lambda s, d: btyd.fit_bgnbd(_summaries(s, d), rounds=6),
-    "gamma_gamma_fit": lambda s, d: btyd.fit_gamma_gamma(_summaries(s, d), rounds=6),
+    "bgnbd_fit": lambda s, d: btyd.fit_bgnbd(_summaries(s, d)),
+    "gamma_gamma_fit": lambda s, d: btyd.fit_gamma_gamma(_summaries(s, d)),
+    "features_fitted_btyd": _fitted,
     "sample_per_fold": lambda s, d: features.sample_rows(features.sample_fraction(folds.universe(_orders(s, d), _folds(s)), 0.3), 100),
 }

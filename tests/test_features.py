@@ -127,6 +127,34 @@ def test_fit_recovers_parameters(spark):
     assert best.penalised_ll >= truth - 1e-3
 
 
+def test_value_fit_mode_and_scores(spark):
+    """The value model's fit is no worse than the truth; the mode's features are the fitted ones; a fold without a value model uses the buyer's mean."""
+    rng = random.Random(4)
+    rows = []
+    for user in range(600):
+        # Penalties weigh on large parameters, so the truth is small.
+        scale, x = rng.gammavariate(3.0, 1 / 4.0), rng.randrange(0, 6)
+        mean = rng.gammavariate(2.0 * max(x, 1), 1 / scale) / max(x, 1)
+        rows.append(("f" if user < 590 else "few", user, x, rng.randrange(0, 60) if x else 0, 90, mean, mean * (x + 1)))
+    frame = spark.createDataFrame(rows, "fold string, user_id long, frequency int, recency int, t int, monetary_value double, total_gmv double")
+    value = {r.fold: r for r in btyd.fit_gamma_gamma(frame).collect()}
+    like = btyd.gamma_gamma_loglik(F.col("frequency"), F.round("monetary_value", 2), *map(F.lit, (2.0, 3.0, 4.0)))
+    truth = frame.where("fold = 'f' and frequency > 0 and round(monetary_value, 2) > 0").agg(F.avg(like)).first()[0] - 0.01 * (4 + 9 + 16)
+    assert set(value) == {"f"} and value["f"].penalised_ll >= truth - 1e-3
+    heuristic = frame.select("fold", "user_id", *[F.lit(-1.0).alias(c) for c in S.BTYD])
+    found = {(r.fold, r.user_id): r for r in btyd.with_mode(heuristic, frame, "bgnbd").collect()}
+    assert len(found) == 600 and {r.btyd_mode for r in found.values()} == {"bgnbd"}
+    for fold, user, x, _, _, mean, total in rows:
+        r = found[fold, user]
+        assert 0 <= r.btyd_p_alive <= 1 and r.btyd_exp_orders_30d >= 0 and r.btyd_total_gmv == total
+        v = value.get(fold)
+        worth = v.p * (v.v + x * mean) / (v.p * x + v.q - 1) if v else mean
+        assert r.btyd_exp_gmv_30d == pytest.approx(r.btyd_exp_orders_30d * worth, rel=1e-6)
+    assert btyd.with_mode(heuristic, frame, "heuristic").where("btyd_p_alive = -1").count() == 600
+    with pytest.raises(ValueError):
+        btyd.with_mode(heuristic, frame, "pareto")
+
+
 def test_scores_averages_and_blend(spark):
     rows = [("m", "fold_0", 1, 0.0, -5.0), ("m", "fold_0", 2, 10.0, 10.0), ("m", "fold_1", 1, 3.0, 8.0)]
     table = spark.createDataFrame(rows, "model string, fold string, user_id long, target double, pred double")

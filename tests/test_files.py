@@ -49,6 +49,10 @@ def test_fold_tables(spark, tmp_path):
 def test_settings_and_csv(spark, tmp_path):
     tables.write_settings(spark, {"rate": 0.5, "depth": 7}, f"{tmp_path}/s")
     assert tables.read_settings(spark, f"{tmp_path}/s", {"rate": 0.1, "bins": 64}) == {"rate": 0.5, "depth": 7, "bins": 64}
+    trees = learn.Trees().over(tables.read_settings(spark, f"{tmp_path}/s", {}))
+    assert trees == learn.Trees(rate=0.5, depth=7) and isinstance(trees.depth, int)
+    with pytest.raises(TypeError):
+        learn.Trees().over({"leaves": 5})
     tables.write_csv(spark.createDataFrame([(1, 2.5)], "user_id long, predict double"), f"{tmp_path}/c")
     assert [tuple(r) for r in tables.read_csv(spark, f"{tmp_path}/c", "user_id long, predict double").collect()] == [(1, 2.5)]
 
