@@ -82,6 +82,45 @@ def words(data: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.
     return hashes, np.searchsorted(begin, starts)
 
 
+def spans(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word begins and ends, and where each text's words begin (one more at the end). ``separator`` tells the bytes between words."""
+    inside = ~separator[data]
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[starts] = True
+    fresh = inside.copy()
+    fresh[1:] &= ~inside[:-1] | cut[1:-1]
+    begin = np.flatnonzero(fresh)
+    fresh = inside
+    fresh[:-1] &= ~inside[1:] | cut[1:-1]
+    end = np.flatnonzero(fresh) + 1
+    return begin, end, np.searchsorted(begin, starts)
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, end: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after the other, each followed by ``gap`` blanks, and where each begins (one more at the end)."""
+    size = end - begin + gap
+    at = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    index = np.ones(at[-1], np.int64)
+    if len(begin):
+        # Steps of one inside a span, and a jump at each beginning.
+        index[0] = begin[0]
+        index[at[1:-1]] = begin[1:] - (begin[:-1] + size[:-1] - 1)
+        np.cumsum(index, out=index)
+    joined = data[np.minimum(index, len(data) - 1)] if len(index) else np.zeros(0, np.uint8)
+    for k in range(gap):
+        joined[at[1:] - 1 - k] = 0x20
+    return joined, at
+
+
+def word_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, equal for equal words, and the distinct words by number."""
+    joined, at = gathered(data, begin, end)
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(joined)])
+    coded = held.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``size`` words; a shorter text is one run."""
     n = len(hashes)
