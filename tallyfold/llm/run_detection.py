@@ -62,45 +62,54 @@ class Grammar:
     def _repair(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts and where they begin, once no pair of neighbours occurs twice."""
         n = len(symbols)
-        place = np.arange(n)
-        last = np.zeros(n + 1, bool)
-        last[first[1:][first[1:] > first[:-1]] - 1] = True
+        symbols = np.append(symbols, 0)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        full = first[1:] > first[:-1]
+        after[first[1:][full] - 1], before[first[:-1][full]] = n, n
+        after[n] = before[n] = n
+        # Ranks of the pairs that begin at each place, kept only during a round; places that are left; pairs that a round must count.
+        ranks, left = np.zeros(n + 1, np.int64), np.ones(n, bool)
+        alive = np.flatnonzero(after[:n] < n)
         for _ in range(ROUNDS):
-            if len(symbols) < 2:
+            if not len(alive):
                 break
-            joined = ~last[place[1:] - 1]
-            at = np.flatnonzero(joined)
             low = symbols.min()
-            _, back, count = np.unique((symbols[at] - low) * (symbols.max() - low + 1) + symbols[at + 1] - low, return_inverse=True, return_counts=True)
-            if not len(count) or count.max() < 2:
-                break
-            # Rank of each pair: its frequency, then its number; 0 where there is none that occurs twice.
+            _, back, count = np.unique((symbols[alive] - low) * (symbols.max() - low + 1) + symbols[after[alive]] - low, return_inverse=True, return_counts=True)
+            # Frequency first, then the pair's number. A pair that occurs once never occurs again unless a part of it changes.
             order = np.lexsort((np.arange(len(count)), count))
             rank = np.zeros(len(count), np.int64)
             rank[order] = np.arange(1, len(count) + 1)
-            rank[count < 2] = 0
-            ranks = np.zeros(len(symbols) + 1, np.int64)
-            ranks[at + 1] = rank[back]
-            # ranks[i + 1] is the pair at i. A stretch of one pair (the same word again and again) takes every other place.
-            here, before, after = ranks[1:], ranks[:-1], np.append(ranks[2:], 0)
-            opens = np.flatnonzero((here > 0) & (here != before))
-            offset = np.zeros(len(here), np.int64)
-            index = np.arange(len(here))
-            stretch = np.maximum.accumulate(np.where((here > 0) & (here != before), index, -1))
-            offset[opens] = here[opens] < before[opens]
-            shift = offset[np.maximum(stretch, 0)]
-            chosen = (here > 0) & ((index - stretch - shift) % 2 == 0) & (index - stretch >= shift) & (here >= after)
-            a = np.flatnonzero(chosen)
-            _, where, which = np.unique(here[a], return_index=True, return_inverse=True)
-            ends = np.append(place[1:], n)
-            lead = a[where]
-            made = self._add(place[lead], place[lead + 1], ends[lead + 1], symbols[lead], symbols[lead + 1])
-            symbols = symbols.copy()
+            often = count[back] > 1
+            at, here = alive[often], rank[back[often]]
+            if not len(at):
+                break
+            ranks[at] = here
+            earlier, later = ranks[before[at]], ranks[after[at]]
+            # A stretch of one pair (the same word again and again) takes every other place.
+            opens = np.append(True, (at[1:] != after[at[:-1]]) | (here[1:] != here[:-1]))
+            index = np.arange(len(at))
+            stretch = np.maximum.accumulate(np.where(opens, index, 0))
+            within = index - stretch - (here < earlier)[stretch]
+            chosen = (within >= 0) & (within % 2 == 0) & (here >= later)
+            ranks[at] = 0
+            a, kinds = at[chosen], here[chosen]
+            b = after[a]
+            _, where, which = np.unique(kinds, return_index=True, return_inverse=True)
+            ends = after[b]
+            # The end of a text's last symbol is where the next text begins.
+            stops = np.where(ends < n, ends, first[np.searchsorted(first, b, "right")])
+            made = self._add(a[where], b[where], stops[where], symbols[a[where]], symbols[b[where]])
             symbols[a] = made[which]
-            keep = np.ones(len(symbols), bool)
-            keep[a + 1] = False
-            symbols, place = symbols[keep], place[keep]
-        return symbols, place
+            left[b] = False
+            after[a], before[ends] = ends, a
+            before[n] = n
+            again = np.zeros(n + 1, bool)
+            again[at] = again[a] = again[before[a]] = True
+            again[b] = again[n] = False
+            alive = np.flatnonzero(again)
+            alive = alive[after[alive] < n]
+        place = np.flatnonzero(left)
+        return symbols[place], place
 
     def _pair_up(self, symbols: np.ndarray, place: np.ndarray, first: np.ndarray, n: int) -> None:
         """A balanced tree over each text's symbols."""
@@ -136,8 +145,9 @@ def _same(ids: np.ndarray, a: int, b: int, most: int, step: int) -> int:
     return found
 
 
-def _squares(sums: np.ndarray, powers: np.ndarray, at: np.ndarray, most: np.ndarray, ahead: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, periods up to ``most``, increasing) of squares that begin at ``at`` (or end there)."""
+def _squares(sums: np.ndarray, powers: np.ndarray, grammar: Grammar, most: np.ndarray, ahead: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(nonterminal, periods up to ``most``, increasing) of squares that begin (or end) at a boundary and go on for a period on either side."""
+    at = grammar.middle
     rows = np.flatnonzero(most > 0)
     upto = np.cumsum(most[rows])
     x = 0
@@ -149,6 +159,13 @@ def _squares(sums: np.ndarray, powers: np.ndarray, at: np.ndarray, most: np.ndar
         q = np.arange(len(row)) - np.repeat(opens, most[some]) + 1
         low = at[row] if ahead else at[row] - 2 * q
         hit = np.flatnonzero((sums[low + q] - sums[low]) * powers[q] == sums[low + 2 * q] - sums[low + q])
+        # A run has four periods, so two more than the square; one of them at least is whole on one side.
+        r, p, low = row[hit], q[hit], low[hit]
+        more = np.zeros(len(hit), bool)
+        for a, b, fits in ((low - p, low, low - p >= grammar.begin[r]), (low + p, low + 2 * p, low + 3 * p <= grammar.end[r])):
+            a, b, k = a[fits], b[fits], p[fits]
+            more[fits] |= (sums[a + k] - sums[a]) * powers[k] == sums[b + k] - sums[b]
+        hit = hit[more]
         cuts = np.flatnonzero(np.append(True, row[hit][1:] != row[hit][:-1])) if len(hit) else np.zeros(0, np.int64)
         for a, b in zip(cuts, np.append(cuts[1:], len(hit))):
             yield int(row[hit[a]]), q[hit[a:b]]
@@ -169,7 +186,7 @@ def crossing(ids: np.ndarray, grammar: Grammar) -> list[tuple[int, int, int, int
     for ahead in (True, False):
         side = end - middle if ahead else middle - begin
         most = np.where(long, np.minimum(side // 2, whole), 0)
-        for x, periods in _squares(sums, powers, middle, most, ahead):
+        for x, periods in _squares(sums, powers, grammar, most, ahead):
             low, mid, high = int(begin[x]), int(middle[x]), int(end[x])
             past = 0
             for q in periods.tolist():
