@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, html_text, language, licenses, mixing, ngram_join, packing, quality, reply_trees, run_detection, toxicity
+from . import bpe_stream, exact_topk, html_text, language, licenses, mixing, ngram_join, packing, quality, reply_trees, run_detection, toxicity
 from .shared import table
 
 
@@ -55,6 +55,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_detection.detect(table(spark, sf_dir, "documents"), repeat=True)
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_html_extraction": op10_html_extraction,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
