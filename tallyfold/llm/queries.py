@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, exact_topk, html_text, language, licenses, mixing, ngram_join, packing, quality, reply_trees, run_detection, toxicity
+from . import bpe_stream, collocations, exact_topk, html_text, language, licenses, mixing, ngram_join, packing, quality, reply_trees, run_detection, toxicity
 from .shared import table
 
 
@@ -59,6 +59,10 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -80,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_topk": exact_topk.ORACLE,
     "op8_quality_rules": quality.oracle(),
     "op9_chat_formatting": reply_trees.ORACLE,
+    "op13_collocations": collocations.oracle(),
 }
