@@ -28,7 +28,7 @@ from .shared import batched
 #: Fixed value: the pattern of the byte-level vocabularies that splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their tokens, their greatest length, and seams kept; then the memory is used anew. Bytes or tokens handled together.
-WORDS, WORD_LENGTH, SEAMS, STEP = 1 << 16, 48, 1 << 19, 1 << 12
+WORDS, WORD_LENGTH, SEAMS, STEP = 1 << 19, 48, 1 << 19, 1 << 12
 _NEVER = 1 << 40
 
 
@@ -125,83 +125,111 @@ class Encoder:
         import regex
 
         self.merges = Merges(path)
+        self.sizes = [len(x) for x in self.merges.bytes]
+        self.longest = max(self.sizes, default=0)
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.sizes))]
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.merges.added, key=len, reverse=True)))) if self.merges.added else None
-        self.ends = ahocorasick.Automaton()
-        for i, held in enumerate(self.merges.bytes):
-            if self.merges.reachable[i]:
-                self.ends.add_word(held.decode("latin-1"), (i, len(held)))
-        self.ends.make_automaton()
-        self.sizes = [len(x) for x in self.merges.bytes]
+        # A blank between two other characters begins a word, whatever is around it.
+        self.cut = regex.compile(r"\S(?= \S)")
+        self.ids = {held.decode("latin-1"): i for i, held in enumerate(self.merges.bytes) if self.merges.reachable[i]}
+        # For each token the next shorter one that begins alike.
+        self.begins = ahocorasick.Automaton()
+        for text in self.ids:
+            self.begins.add_word(text, len(text))
+        self.shorter = [-1] * len(self.sizes)
+        for text, i in self.ids.items():
+            self.shorter[i] = self._longest(text[:-1])
         self.words: dict[str, bytes] = {}
 
-    def word(self, text: str, a: int = 0, b: int | None = None) -> Iterator[list[int]]:
-        """Tokens of the word text[a:b], each part as soon as it is stable."""
-        fits, back, sizes, b = self.merges.fits, self.merges.lookahead, self.sizes, len(text) if b is None else b
-        # last[k]: the last token of the first base + k bytes' encoding; -1 before the first.
-        last, base, find = [-1], 0, None
-        for x in range(a, b, STEP):
-            part = text[x : min(b, x + STEP)].encode().decode("latin-1")
-            if find is None:
-                find = self.ends.iter(part)
-            else:
-                find.set(part)
-            for end, (token, size) in find:
-                k = end + 1 - base
-                if len(last) == k and size <= k and ((before := last[k - size]) < 0 or fits(before, token)):
-                    last.append(token)
-            if len(last) > back + 1 and x + STEP < b:
-                path, k = [], len(last) - 1
-                while k > 0:
-                    if k < len(last) - back:
-                        path.append((last[k], k))
-                    k -= sizes[last[k]]
-                if path:
-                    yield [t for t, _ in reversed(path)]
-                    done = path[0][1]
-                    last, base = last[done:], base + done
-        path, k = [], len(last) - 1
-        while k > 0:
-            path.append(last[k])
-            k -= sizes[last[k]]
-        if path:
-            yield path[::-1]
-
-    def _spans(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(from, to, id of an added token or -1) of a text's parts, in order."""
+    def _longest(self, text: str) -> int:
+        """The longest token with which a text begins; -1 if there is none."""
+        # The automaton knows how long a beginning of some token is, which need not be one itself.
+        return next((self.ids[text[:k]] for k in range(self.begins.longest_prefix(text), 0, -1) if text[:k] in self.ids), -1)
+
+    def _walk(self, part: str, path: list[int], at: int, before: int, stop: int) -> int:
+        """Extends ``path``, the tokens that lead to place ``at`` after the token ``before`` (-1 for none), up to ``stop`` or beyond, and returns where it ends.
+
+        Places and the encodings that lead to them form a tree, as each has one encoding. It is walked depth first, longer tokens first.
+        """
+        begins, known, seams, fits, sizes, shorter, longest = self.begins.longest_prefix, self.ids.get, self.merges.seams, self.merges.fits, self.sizes, self.shorter, self.longest
+        last = path[-1] if path else before
+        while at < stop:
+            text = part[at : at + longest]
+            k = begins(text)
+            while (token := known(text[:k])) is None:
+                k -= 1
+            while True:
+                if token < 0:
+                    token = path.pop()
+                    at -= sizes[token]
+                    last, token = path[-1] if path else before, shorter[token]
+                    continue
+                if last < 0:
+                    break
+                ok = seams.get(last << 20 | token)
+                if ok or (ok is None and fits(last, token)):
+                    break
+                token = shorter[token]
+            path.append(token)
+            at += sizes[token]
+            last = token
+        return at
+
+    def word(self, text: str) -> Iterator[list[int]]:
+        """Tokens of a word, each part as soon as it is stable; only the part of the walk within the lookahead is held."""
+        keep = self.merges.lookahead + self.longest
+        part, x, at, before = "", 0, 0, -1
+        path: list[int] = []
+        while x < len(text) or at < len(part):
+            while x < len(text) and len(part) < STEP + 2 * keep:
+                part, x = part + text[x : x + STEP].encode().decode("latin-1"), x + STEP
+            at = self._walk(part, path, at, before, len(part) if x >= len(text) else STEP + keep)
+            done = many = 0
+            # Whatever follows, the encoding has these tokens.
+            while many < len(path) and (x >= len(text) or done + self.sizes[path[many]] <= at - keep):
+                done, many = done + self.sizes[path[many]], many + 1
+            yield path[:many]
+            before, path, part, at = path[many - 1], path[many:], part[done:], at - done
+
+    def _parts(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(from, to, id of an added token or -1) of a text's parts, in order. Each begins and ends where a word does."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
             yield at, m.start(), -1
             yield m.start(), m.end(), self.merges.added[m.group()]
             at = m.end()
+        while len(text) - at > 16 * STEP and (m := self.cut.search(text, at + 8 * STEP)):
+            yield at, m.end(), -1
+            at = m.end()
         yield at, len(text), -1
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Packed ids of a text; the strings of added tokens are those tokens."""
-        ready: list[bytes] = []
-        words = self.words
-        for a, b, added in self._spans(text):
+        words, packed = self.words, self.packed
+        for a, b, added in self._parts(text):
             if added >= 0:
-                ready.append(np.array([added], "<u4").tobytes())
+                yield packed[added]
                 continue
-            for m in self.pattern.finditer(text, a, b):
-                held = words.get(m.group()) if m.end() - m.start() <= WORD_LENGTH else None
-                if held is None:
-                    if m.end() - m.start() > WORD_LENGTH:
-                        for tokens in self.word(text, m.start(), m.end()):
-                            ready.append(np.array(tokens, "<u4").tobytes())
-                            if len(ready) >= STEP:
-                                yield b"".join(ready)
-                                ready = []
-                        continue
+            ready: list[bytes] = []
+            for word in self.pattern.findall(text, a, b):
+                held = words.get(word)
+                if held is not None:
+                    ready.append(held)
+                elif len(word) > WORD_LENGTH:
+                    for tokens in self.word(word):
+                        ready += [packed[t] for t in tokens]
+                        if len(ready) >= STEP:
+                            yield b"".join(ready)
+                            ready = []
+                else:
+                    letters = word.encode().decode("latin-1")
+                    path: list[int] = []
+                    self._walk(letters, path, 0, -1, len(letters))
                     if len(words) >= WORDS:
                         words.clear()
-                    held = words[m.group()] = np.array([t for part in self.word(m.group()) for t in part], "<u4").tobytes()
-                ready.append(held)
-                if len(ready) >= STEP:
-                    yield b"".join(ready)
-                    ready = []
-        if ready:
+                    held = words[word] = b"".join([packed[t] for t in path])
+                    ready.append(held)
             yield b"".join(ready)
 
 
