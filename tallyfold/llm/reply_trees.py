@@ -151,7 +151,7 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT conv_id, turn, row_number() OVER () AS at, coalesce(role, '') AS r, coalesce(text, '') AS t,
+  SELECT conv_id, turn, row_number() OVER () AS place, coalesce(role, '') AS r, coalesce(text, '') AS t,
          replace(replace(replace(replace(coalesce(role, ''), '~', '~0'), '<', '~1'), '[', '~2'), ']', '~3') AS er,
          replace(replace(replace(replace(coalesce(text, ''), '~', '~0'), '<', '~1'), '[', '~2'), ']', '~3') AS et
   FROM c)
@@ -160,7 +160,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS bigint) AS loss_chars,
        sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(er) + length(et) + 10) AS bigint) AS formatted_chars
-FROM e GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN at END
+FROM e GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN place END
 """
 
 
