@@ -18,6 +18,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,6 +35,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words that name a part beside the text, alone or in a hyphenated name; the other words that such a name may have.
 BESIDE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promos banner cookie cookies consent notice notices gdpr popup modal newsletter subscribe sidebar side nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead comment comments disqus replies respond related recommended recommendations share sharing social toolbar widget widgets pagination login signup copyright legal skip".split())
 NEUTRAL = frozenset("a area article articles bar block body bottom box buttons col column container content desktop entry fixed global group holder home icons inner item items layout left link links list main message mobile outer overlay page panel policy post posts primary right row secondary section site slot small sticky the to top unit wrap wrapper".split())
+#: Further words that make a container's class doubtful; words before which such a class only tells what the page has.
+DOUBTFUL = frozenset("adsbygoogle bio discussion discussions thread threads".split())
+TELLING = frozenset("has with no without not non is js hide show".split())
+#: Elements whose class may make them doubtful; parts beside the text that are told apart inside each other.
+CONTAINERS = frozenset("div section aside ul ol ins figure table".split())
+DEEPEST = 32
 #: Of these words, those that say nothing inside an article.
 PLAIN_INSIDE = frozenset("header widget widgets".split())
 #: Elements that close an open paragraph; which open elements an item of a list or table closes, and what encloses them; what a head may hold.
@@ -59,6 +66,15 @@ def beside(names: str, inside: bool) -> bool:
     return False
 
 
+def doubtful(names: str) -> bool:
+    """Whether a container's class holds a word of a part beside the text among others. Ids are not asked: they often are words of a heading."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words and words[0] not in TELLING and any(w in BESIDE or w in DOUBTFUL for w in words if w not in PLAIN_INSIDE):
+            return True
+    return False
+
+
 @dataclass
 class Line:
     """A block's text with the named parts around it, tags since the last text, and where it stands."""
@@ -91,6 +107,8 @@ class _Lines(HTMLParser):
         self.marked = [False]
         self.holders = [0]
         self.bare = 0
+        # Length of the rest of the page in which no comment has an end; None while not known.
+        self.endless: int | None = None
 
     def end_line(self) -> None:
         if self.line.parts:
@@ -110,6 +128,7 @@ class _Lines(HTMLParser):
 
     def push(self, tag: str, hidden: bool = False, article: bool = False, named: bool = False) -> None:
         holder = tag in HOLDERS
+        named = named and len(self.named) < DEEPEST
         self.places[tag].append(len(self.open))
         self.open.append((tag, hidden, article, named, holder))
         self.hidden += hidden
@@ -151,7 +170,8 @@ class _Lines(HTMLParser):
             self.close_to(*ENDS[tag])
         names = " ".join([v for k, v in attrs if v and k in ("class", "id", "role")]).lower() if attrs else ""
         shut = bool(attrs) and any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
-        aside = tag in BESIDE_TAGS or tag == "form" or (tag == "header" and not self.article) or (bool(names) and tag not in ("html", "body", "main") and beside(names, self.article > 0))
+        unsure = tag in CONTAINERS and bool(attrs) and any(v and k == "class" and doubtful(v.lower()) for k, v in attrs)
+        aside = unsure or tag in BESIDE_TAGS or tag == "form" or (tag == "header" and not self.article) or (bool(names) and tag not in ("html", "body", "main") and beside(names, self.article > 0))
         article = tag in ("article", "main") and not self.hidden and not (tag == "article" and aside)
         hidden = tag in SILENT or shut
         self.push(tag, hidden, article, aside and not hidden and not self.hidden)
@@ -194,8 +214,26 @@ class _Lines(HTMLParser):
             for k in self.named:
                 self.held[k] += n
 
-    def finish(self) -> None:
+    def parse_html_declaration(self, i: int) -> int:
+        # Marked sections, whatever they say, are comments up to the next ">", as in browsers.
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        # Where one comment had no end, none after it has: it is not searched for again.
+        left = len(self.rawdata) - i
+        if self.endless is not None and left <= self.endless:
+            return -1
+        k = super().parse_comment(i, report)
+        self.endless = left if k < 0 else None
+        return k
+
+    def read(self, page: str) -> None:
+        """Parses a whole page. What follows its last tag is text, so that no start without an end is looked for again and again."""
+        last = page.rfind(">") + 1
+        self.feed(page[:last])
         self.close()
+        if last < len(page) and not self.cdata_elem:
+            self.handle_data(unescape(page[last:]))
         self.end_line()
         while self.open:
             self.pop()
@@ -212,7 +250,8 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 def content(ratios: np.ndarray) -> np.ndarray:
     """Which lines are in the high cluster: the threshold is moved to the middle of the two clusters' means until it stays."""
     level = smoothed(ratios)
-    threshold = level.mean()
+    # Never above the greatest level, which the mean of equal ones may be by rounding.
+    threshold = min(level.mean(), level.max())
     for _ in range(100):
         high, low = level[level >= threshold], level[level < threshold]
         if not len(low) or not len(high):
@@ -263,8 +302,7 @@ def region(lines: list[tuple[str, Line]], parent: list[int], marked: list[bool])
 def main_text(html: str | None) -> str:
     """Main text of one page, a line per block; empty if there is none."""
     parser = _Lines()
-    parser.feed(html or "")
-    parser.finish()
+    parser.read(html or "")
     lines = parser.lines()
     return "\n".join(lines[k][0] for k in region(lines, parser.parent, parser.marked)) if lines else ""
 
