@@ -24,14 +24,20 @@ from .textkit import LOWER, SEPARATOR, pieces, utf8
 
 #: Texts that the text model is fitted on, about, dealt evenly among the languages, and the least bound for one language; hash buckets of 4-grams.
 SAMPLE, EACH, BUCKETS = 4000, 200, 1 << 16
-#: A declared name that is one of a language: two or three letters, whatever follows a hyphen.
+#: A declared name that may be one of a language: two or three letters, whatever follows a hyphen.
 NAME = r"^([a-z]{2,3})(?:[-_].*)?$"
+#: Two-letter names of languages, each with its three-letter name; other names of some of them; languages with a three-letter name only.
+PAIRS = "aa:aar ab:abk ae:ave af:afr ak:aka am:amh an:arg ar:ara as:asm av:ava ay:aym az:aze ba:bak be:bel bg:bul bi:bis bm:bam bn:ben bo:bod br:bre bs:bos ca:cat ce:che ch:cha co:cos cr:cre cs:ces cu:chu cv:chv cy:cym da:dan de:deu dv:div dz:dzo ee:ewe el:ell en:eng eo:epo es:spa et:est eu:eus fa:fas ff:ful fi:fin fj:fij fo:fao fr:fra fy:fry ga:gle gd:gla gl:glg gn:grn gu:guj gv:glv ha:hau he:heb hi:hin ho:hmo hr:hrv ht:hat hu:hun hy:hye hz:her ia:ina id:ind ie:ile ig:ibo ii:iii ik:ipk io:ido is:isl it:ita iu:iku ja:jpn jv:jav ka:kat kg:kon ki:kik kj:kua kk:kaz kl:kal km:khm kn:kan ko:kor kr:kau ks:kas ku:kur kv:kom kw:cor ky:kir la:lat lb:ltz lg:lug li:lim ln:lin lo:lao lt:lit lu:lub lv:lav mg:mlg mh:mah mi:mri mk:mkd ml:mal mn:mon mr:mar ms:msa mt:mlt my:mya na:nau nd:nde ne:nep ng:ndo nl:nld no:nor nr:nbl nv:nav ny:nya oc:oci oj:oji om:orm or:ori os:oss pa:pan pi:pli pl:pol ps:pus pt:por qu:que rm:roh rn:run ro:ron ru:rus rw:kin sa:san sc:srd sd:snd se:sme sg:sag si:sin sk:slk sl:slv sm:smo sn:sna so:som sq:sqi sr:srp ss:ssw st:sot su:sun sv:swe sw:swa ta:tam te:tel tg:tgk th:tha ti:tir tk:tuk tl:tgl tn:tsn to:ton tr:tur ts:tso tt:tat tw:twi ty:tah ug:uig uk:ukr ur:urd uz:uzb ve:ven vi:vie vo:vol wa:wln wo:wol xh:xho yi:yid yo:yor za:zha zh:zho zu:zul"
+OTHER = "alb:sq arm:hy baq:eu bur:my chi:zh cze:cs dut:nl fre:fr geo:ka ger:de gre:el ice:is mac:mk mao:mi may:ms per:fa rum:ro slo:sk tib:bo wel:cy nb:no nn:no nob:no nno:no iw:he in:id ji:yi jw:jv mo:ro cmn:zh arb:ar pes:fa prs:fa zsm:ms lvs:lv ekk:et fil:tl swh:sw"
+ALONE = "ace arz ast awa azb bar bcl bho bjn ceb chr ckb dsb gsw haw hil hmn hsb ilo kab lmo lus mai mhr min mni nap nds new nso pag pam pap pcd pms pnb sah sat scn sco shn szl tpi tum vec war wuu xmf yue"
 #: 4-grams of a text count in full up to this number, and four overlapping ones as one.
 FULL = 400
 #: Records that a parent's share stands for in the smoothing, of hosts and of the two likelihoods.
 HOST_WEIGHT, TABLE_WEIGHT = 10.0, 10.0
 #: Name of none of the languages, and least posterior of a language that is accepted.
 UNKNOWN, CONFIDENT = "und", 0.5
+#: Nats for each 4-gram that a language's own texts may be better under its model than another's texts are, if the two are one language.
+SAME = 0.25
 #: What one part of a posterior counts in the sums, which are whole numbers and so the same in any order.
 UNIT = 1_000_000
 
@@ -78,23 +84,34 @@ class TextModel:
         return out
 
 
+def registered() -> dict[str, str]:
+    """The language of each registered name; a language goes by its two letters where it has such a name."""
+    two = dict(p.split(":") for p in PAIRS.split())
+    return {a: a for a in two} | {b: a for a, b in two.items()} | dict(p.split(":") for p in OTHER.split()) | {a: a for a in ALONE.split()}
+
+
 def language_name(declared: Column) -> Column:
-    """The language that a declared name says, in lower case; null if it says none."""
+    """The language that a declared name says, or the name itself in lower case if it is no registered one; null if it is no name."""
     name = F.regexp_extract(F.lower(F.trim(declared)), NAME, 1)
-    return F.when((name != "") & (name != UNKNOWN), name)
+    known = F.create_map(*[F.lit(x) for pair in registered().items() for x in pair])
+    return F.when((name != "") & (name != UNKNOWN), F.coalesce(F.try_element_at(known, name), name))
 
 
 def learn(records: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Fits on the texts of each language with the least hashes; languages are all that ``records`` (text, declared) declare.
+    """Fits on the texts of each language with the least hashes; languages are all registered ones that ``records`` (text, declared) declare.
 
+    A name that is not registered is no language, but evidence like any declared value.
+    A language whose texts another one with more texts explains as well as its own texts is that
+    one under a wrong name, and none of its own either.
     A language takes about ``sample`` divided by the number of languages, but ``EACH`` at least, or all
     its texts if they are fewer.  Tasks count the 4-grams; the sums, of bounded size for each language, come to the driver.
     """
     batched(records.sparkSession)
-    known = records.where(F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN) & F.col("text").isNotNull()).select("declared", "text")
+    known = records.where(F.col("declared").isin(sorted(set(registered().values()))) & F.col("text").isNotNull()).select("declared", "text")
     known = known.withColumn("hash", F.xxhash64(F.lit(3), "text"))
     labels = stash(known.groupBy("declared").agg(F.approx_count_distinct("hash").alias("texts")), "labels")
-    languages = sorted(r[0] for r in labels.select("declared").collect())
+    many = dict(labels.select("declared", "texts").collect())
+    languages = sorted(many)
     each = max(EACH, sample // max(1, len(languages)))
     # The least hashes of a language lie below a bound that its number of texts gives.
     bounds = labels.select("declared", F.when(F.col("texts") > each, each / F.col("texts")).otherwise(1.0).alias("share"))
@@ -118,7 +135,11 @@ def learn(records: DataFrame, sample: int = SAMPLE) -> TextModel:
     seen = np.zeros((len(languages), BUCKETS), np.float32)
     seen[counts["k"].to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"].to_numpy(float)
     table[:-1] = np.log((seen + 0.05) / (seen.sum(axis=1, keepdims=True, dtype=np.float64) + 0.05 * BUCKETS))
-    return TextModel([*languages, UNKNOWN], table)
+    # Mean log probability of each language's 4-grams (rows) under each model (columns).
+    mean = seen.astype(np.float64) @ table[:-1].T / np.maximum(seen.sum(axis=1, keepdims=True, dtype=np.float64), 1)
+    merged = {k for k, a in enumerate(languages) for m, b in enumerate(languages) if (many[b], a) > (many[a], b) and seen[k].any() and mean[k, m] >= mean[m, m] - SAME}
+    kept = [k for k in range(len(languages)) if k not in merged]
+    return TextModel([*(languages[k] for k in kept), UNKNOWN], table[[*kept, -1]])
 
 
 def evidence(records: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:

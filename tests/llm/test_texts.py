@@ -57,6 +57,37 @@ def test_six_of_twenty_thousand_are_kept(spark):
     assert {r["lang"]: r["count"] for r in kept} == {"en": 20_000, "fr": 6}
 
 
+def _with_lang(spark, share, names, seed=3):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    rng = random.Random(seed)
+    return spark.createDataFrame([(r.doc_id, r.text, rng.choice(names) if r.lang == "en" and rng.random() < share else r.lang, r.source) for r in docs], "doc_id long, text string, lang string, source string"), {r.doc_id: r.lang for r in docs}
+
+
+@pytest.mark.parametrize("share,names", [(0.05, ["eng"]), (0.05, ["xx", "qqq"]), (0.05, ["la"])])
+def test_other_names_make_no_other_language(spark, share, names):
+    """Another name of a language is that language; a name of none, or of another language on its texts, makes no new one."""
+    docs, right = _with_lang(spark, share, names)
+    kept = {r.doc_id: r.lang for r in language.keep_identified(docs).select("doc_id", "lang").collect()}
+    assert set(kept.values()) == {"en", "fr", "de", "es"}
+    assert sum(kept.get(k) == v for k, v in right.items()) >= 0.99 * len(right)
+
+
+def test_names_of_none_lose_no_documents(spark):
+    rng = random.Random(8)
+    rows = [(i, "the house of the water and that green tree with it", rng.choice(["zz", "qqq", "xx", "abc"]) if i < 40 else "en", "s") for i in range(540)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert [tuple(r) for r in language.keep_identified(docs).groupBy("lang").count().collect()] == [("en", 540)]
+
+
+def test_very_long_texts_of_a_language(spark):
+    rng = random.Random(6)
+    words = "the of and house tree water with that".split(), "le la une maison arbre leau avec que".split()
+    rows = [(i, " ".join(rng.choices(words[i % 2], k=30)), ("en", "fr")[i % 2], "s") for i in range(40)] + [(90, " ".join(rng.choices(words[1], k=400_000)), None, "s"), (91, "x" * 2_000_000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r.lang for r in language.keep_identified(docs).select("doc_id", "lang").collect()}
+    assert found[90] == "fr" and all(found[i] == ("en", "fr")[i % 2] for i in range(40))
+
+
 def test_fusion_by_brute_force(spark):
     """Posteriors against the formulas written out record by record."""
     rng = random.Random(2)
@@ -279,6 +310,40 @@ def test_content_lines_by_brute_force():
         assert html_text.content(ratios).tolist() == [x >= cut for x in level]
 
 
+BROKEN = ["<![foo bar", "<![", "<!", "<![if !IE]>", "<![CDATA[ x ]]>", "<!--", "<", "</", "<a b=\"", "<a b='x", "&#", "&#x;", "<p a=b=c", "<script>", "<?php", "<!doctype", "</>", "<title>"]
+
+
+def test_broken_markup_ends_no_run(spark):
+    """A page that breaks off anywhere keeps the text before it."""
+    text = "One long paragraph with quite a few words in it, which is the text of the page. " * 3
+    rows = [(k, "u", f"<p>{text}</p>{b}") for k, b in enumerate(BROKEN)] + [(100 + k, "u", f"<p>{text}</p>{b}<p>{text}</p>") for k, b in enumerate(BROKEN)] + [(200 + k, "u", b) for k, b in enumerate(BROKEN)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == len(rows)
+    assert all(found[k].startswith(text.strip()) for k in range(len(BROKEN)))
+    assert all(text.strip() in found[100 + k] for k in range(len(BROKEN)))
+
+
+@pytest.mark.parametrize("part", ["<a ", "<![foo ", "<!-- ", "<!--a>", "</ ", "<p ", "<nav>x", "<div class=ads>x", "&", "&#", "<a b='", "< ", "<script>", "<![CDATA["])
+def test_repeated_broken_markup_takes_time_in_proportion(part):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(part * 40_000)
+    html_text.main_text("<p>text</p>" + part * 40_000 + ">")
+    assert time.process_time() - began < 4
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "fb-comments", "comment-thread", "discussion", "wp-block-comments", "adsbygoogle", "google-ad", "author-bio"])
+def test_doubtful_parts_are_left_out(name):
+    text = ["The first paragraph has quite a few words in it, which say something about a thing.", "The second paragraph goes on about it in as many words as the first one had before."]
+    said = "I read this and must say that I have quite another view of these things, as all do."
+    article = "".join(f"<p>{t}</p>" for t in text)
+    for page in (f"<main>{article}<div class='{name}'><p>{said}</p></div></main>", f"<article>{article}<section class='{name} x1'><p>{said}</p></section></article>"):
+        assert html_text.main_text(f"<html><body><h1>Title</h1>{page}</body></html>") == "\n".join(["Title", *text])
+    whole = f"<div class='with-{name}'>{article}</div>"
+    assert html_text.main_text(f"<html><body>{whole}</body></html>") == "\n".join(text)
+
+
 def test_hostile_page_takes_time_in_proportion():
     import time
 
