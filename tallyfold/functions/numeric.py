@@ -34,3 +34,17 @@ def lgamma(x: Column) -> Column:
     y = x + 8
     series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - shift
+
+
+def digamma(x: Column) -> Column:
+    """Derivative of :func:`lgamma` for x > 0, by the series' derivative after the same shift."""
+    shift = sum((1 / (x + i) for i in range(1, 8)), 1 / x)
+    y = x + 8
+    return F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8) - shift
+
+
+def trigamma(x: Column) -> Column:
+    """Derivative of :func:`digamma` for x > 0."""
+    shift = sum((1 / (x + i) ** 2 for i in range(1, 8)), 1 / x**2)
+    y = x + 8
+    return 1 / y + 1 / (2 * y**2) + 1 / (6 * y**3) - 1 / (30 * y**5) + 1 / (42 * y**7) - 1 / (30 * y**9) + shift

@@ -138,6 +138,7 @@ _SIZED = "n AS (SELECT fold_idx, count(*) AS n_users FROM u GROUP BY fold_idx)"
 
 _BGNBD = {"r": 0.5, "alpha": 20.0, "a": 0.8, "b": 2.5}
 _GAMMA = {"p": 2.5, "q": 3.5, "v": 1000.0}
+_FREQUENT = {"r": 0.3, "alpha": 0.2, "a": 1.5, "b": 5.0}
 
 
 def _summaries() -> str:
@@ -156,15 +157,46 @@ def _gamma_loglik() -> str:
     return f"lgamma({p} * x + {q}) - lgamma({p} * x) - lgamma({q}) + {q} * ln({v}) + ({p} * x - 1) * ln(m) + {p} * x * ln(x) - ({p} * x + {q}) * ln(x * m + {v})"
 
 
-def _alive() -> str:
-    r, al, a, b = _BGNBD.values()
+def _alive(given: dict[str, float]) -> str:
+    r, al, a, b = given.values()
     return f"CASE WHEN x > 0 THEN 1 / (1 + {a} / ({b} + x - 1) * exp(({r} + x) * (ln({al} + t) - ln({al} + tx)))) ELSE 1.0 END"
 
 
-def _orders() -> str:
-    r, al, a, b = _BGNBD.values()
+def _orders(given: dict[str, float]) -> str:
+    r, al, a, b = given.values()
     z, q, c = f"(30 / ({al} + t + 30))", f"({a - 1})", f"({a + b} + x - 1)"
-    return f"greatest({c} / {q} * (1 - exp({q} * ln(1 - {z})) * series) * ({_alive()}), 0)"
+    return f"greatest({c} / {q} * (1 - exp({q} * ln(1 - {z})) * series) * ({_alive(given)}), 0)"
+
+
+def _scores(given: dict[str, float]) -> str:
+    """Common tables up to k: summaries with the hypergeometric series, as many terms of it as each row's convergence needs."""
+    r, al, a, b = given.values()
+    p, q, c, z = a + b - 1 - r, a - 1, f"({a + b} + x - 1)", f"(30 / ({al} + t + 30))"
+    # (q)_k = q * (q + 1) * ...: for k >= 1 its size is |q| * gamma(q + k) / gamma(q + 1).
+    term = f"lgamma({p} + k) - lgamma({p}) + ln({abs(q)}) + lgamma({q} + k) - lgamma({q} + 1) - lgamma({c} + k) + lgamma({c}) - lgamma(k + 1.0) + k * ln({z})"
+    return f"""{_summaries()}, k AS (
+  SELECT s.*, 1 + {1 if q > 0 else -1} * list_sum(list_transform(range(1, 80 + CAST(ceil(-40 / ln({z})) AS bigint)), lambda k: exp({term}))) AS series FROM s)"""
+
+
+def _scored(given: dict[str, float]) -> str:
+    return f"""{_scores(given)},
+w AS (SELECT *, {_alive(given)} AS alive, {_orders(given)} AS n, CASE WHEN fold = 'fold_0' THEN m ELSE {_GAMMA['p']} * ({_GAMMA['v']} + x * m) / ({_GAMMA['p']} * x + {_GAMMA['q'] - 1}) END AS worth FROM k)
+SELECT fold, user_id, round(alive, 6) AS btyd_p_alive, round(n, 6) AS btyd_exp_orders_30d, round(n * worth, 2) AS btyd_exp_gmv_30d, round(ln(1 + n), 6) AS btyd_log_exp_orders, round(ln(1 + n * worth), 6) AS btyd_log_exp_gmv, round(m, 4) AS btyd_order_value, round(total, 2) AS btyd_total_gmv FROM w"""
+
+
+def _derivatives() -> str:
+    """Mean likelihood of each fold and its derivatives, as sums over each buyer's purchases and shares of having left or not."""
+    r, al, a, b = _BGNBD.values()
+    rising = {n: f"coalesce(list_sum(list_transform(range(0, x), lambda k: 1 / ({v} + k))), 0)" for n, v in (("r", r), ("b", b), ("ab", a + b))}
+    u, v = f"(-({r} + x) * ln({al} + t))", f"(ln({a}) - ln({b} + x - 1) - ({r} + x) * ln({al} + tx))"
+    return f"""{_summaries()}, d AS (
+  SELECT *, {_loglik()} AS ll, CASE WHEN x > 0 THEN 1 / (1 + exp({u} - {v})) ELSE 0 END AS gone, {", ".join(f"{e} AS s_{n}" for n, e in rising.items())} FROM s)
+SELECT fold, count(*) AS n, round(avg(ll), 6) AS ll,
+       round(avg(s_r + ln({al}) - (1 - gone) * ln({al} + t) - gone * ln({al} + tx)), 6) AS d_r,
+       round(avg({r} / {al} - ({r} + x) * ((1 - gone) / ({al} + t) + gone / ({al} + tx))), 6) AS d_alpha,
+       round(avg(gone / {a} - s_ab), 6) AS d_a,
+       round(avg(s_b - s_ab - CASE WHEN x > 0 THEN gone / ({b} + x - 1) ELSE 0 END), 6) AS d_b
+FROM d GROUP BY fold"""
 
 
 def all_queries() -> dict[str, str]:
@@ -201,7 +233,10 @@ FROM (SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, min(event_d
         "rfm": f"{_summaries()} SELECT fold, user_id, CAST(x AS bigint) AS frequency, CAST(tx AS bigint) AS recency, CAST(t AS bigint) AS t, round(m, 4) AS monetary_value, round(total, 2) AS total_gmv FROM s",
         "bgnbd_loglik": f"{_summaries()} SELECT fold, user_id, round({_loglik()}, 6) AS loglik FROM s",
         "gamma_gamma_value": f"{_summaries()} SELECT fold, user_id, round({_GAMMA['p']} * ({_GAMMA['v']} + x * m) / ({_GAMMA['p']} * x + {_GAMMA['q'] - 1}), 4) AS expected_value FROM s",
-        "bgnbd_scores": f"{_summaries()}, k AS (SELECT s.*, (SELECT sum(exp(lt) * sg) FROM (SELECT {_series_terms()} FROM range(60) r(k))) AS series FROM s) SELECT fold, user_id, round({_alive()}, 6) AS p_alive, round({_orders()}, 6) AS exp_orders FROM k",
+        **{name: f"{_scores(given)} SELECT fold, user_id, round({_alive(given)}, 6) AS p_alive, round({_orders(given)}, 6) AS exp_orders FROM k" for name, given in (("bgnbd_scores", _BGNBD), ("bgnbd_scores_frequent", _FREQUENT))},
+        "btyd_scored": _scored(_BGNBD),
+        "btyd_scored_frequent": _scored(_FREQUENT),
+        "bgnbd_derivatives": _derivatives(),
         "features_with_target": f"""{sums()}, {_TARGETS.split("u AS")[0].rstrip().rstrip(",")}
 SELECT g.fold, g.user_id, round(coalesce(gmv_sum_30d, 0), 4) AS gmv_sum_30d, round(coalesce(gmv_sum_365d, 0), 4) AS gmv_sum_365d, greatest(coalesce(spent, 0), 0) AS target, round(ln(1 + greatest(coalesce(spent, 0), 0)), 6) AS target_log FROM g LEFT JOIN t ON g.fold = t.fold AND g.user_id = t.user_id""",
         "standardize": f"""{sums()},
@@ -217,20 +252,8 @@ SELECT model, fold, count(*) AS n, round(sqrt(avg(e)), 6) AS rmsle FROM k GROUP
         "top_k_features": f"""{sums()}, x AS (SELECT avg(coalesce(gmv_sum_30d, 0)) AS gmv_sum_30d, avg(coalesce(gmv_sum_90d, 0)) AS gmv_sum_90d, avg(coalesce(gmv_sum_365d, 0)) AS gmv_sum_365d, avg(coalesce(to_ord_sum_90d, 0)) AS to_ord_sum_90d, avg(coalesce(searches_sum_90d, 0)) AS searches_sum_90d FROM g GROUP BY fold)
 SELECT feature, importance FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS importance FROM x" for c in ("gmv_sum_30d", "gmv_sum_90d", "gmv_sum_365d", "to_ord_sum_90d", "searches_sum_90d")) + ") ORDER BY importance DESC, feature LIMIT 3",
         "gamma_gamma_loglik": f"{_summaries()} SELECT fold, user_id, round({_gamma_loglik()}, 6) AS loglik FROM s WHERE x > 0 AND m > 0",
-        "btyd_scored": f"""{_summaries()}, k AS (SELECT s.*, (SELECT sum(exp(lt) * sg) FROM (SELECT {_series_terms()} FROM range(60) r(k))) AS series FROM s),
-w AS (SELECT *, {_alive()} AS alive, {_orders()} AS n, CASE WHEN fold = 'fold_0' THEN m ELSE {_GAMMA['p']} * ({_GAMMA['v']} + x * m) / ({_GAMMA['p']} * x + {_GAMMA['q'] - 1}) END AS worth FROM k)
-SELECT fold, user_id, round(alive, 6) AS btyd_p_alive, round(n, 6) AS btyd_exp_orders_30d, round(n * worth, 2) AS btyd_exp_gmv_30d, round(ln(1 + n), 6) AS btyd_log_exp_orders, round(ln(1 + n * worth), 6) AS btyd_log_exp_gmv, round(m, 4) AS btyd_order_value, round(total, 2) AS btyd_total_gmv FROM w""",
         "sample_per_fold": f"""{act}, {f}, {_TARGETS},
 h AS (SELECT *, md5('42|' || fold || '|' || user_id) AS h FROM u)
 SELECT fold, fold_idx, user_id FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY h, user_id) AS k FROM h WHERE substr(h, 1, 8) < '4ccccccc') x WHERE k <= 100""",
     }
     return found
-
-
-def _series_terms() -> str:
-    """lt: logarithm of the size of term k of the hypergeometric series, sg: its sign. The second argument, a - 1, may be negative for k = 0 only."""
-    r, al, a, b = _BGNBD.values()
-    p, q, c = a + b - 1 - r, a - 1, f"({a + b} + x - 1)"
-    z = f"(30 / ({al} + t + 30))"
-    # (q)_k = q * (q + 1) * ...: for k >= 1 its size is |q| * gamma(q + k) / gamma(q + 1).
-    return f"""CASE WHEN k = 0 THEN 0.0 ELSE lgamma({p} + k) - lgamma({p}) + ln({abs(q)}) + lgamma({q} + k) - lgamma({q} + 1) - lgamma({c} + k) + lgamma({c}) - lgamma(k + 1.0) + k * ln({z}) END AS lt, CASE WHEN k = 0 THEN 1 ELSE {1 if q > 0 else -1} END AS sg"""

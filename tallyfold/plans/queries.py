@@ -12,10 +12,13 @@ from ..config import DAY, EVENTS, MONEY, ORDERS, USER
 from ..functions.numeric import filled, log1p0
 from ..operators import btyd, evaluate, features, folds, learn, quality
 from ..sources import activity as source
+from ..sources.scratch import written
 
 #: Parameters with which fitted formulas are compared with SQL.
 BGNBD = {"r": 0.5, "alpha": 20.0, "a": 0.8, "b": 2.5}
 GAMMA = {"p": 2.5, "q": 3.5, "v": 1000.0}
+#: Fixed value: parameters of buyers who come often, for whom the plain series would need thousands of terms.
+FREQUENT = {"r": 0.3, "alpha": 0.2, "a": 1.5, "b": 5.0}
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +80,8 @@ def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     return btyd.rfm(_sums(spark, sf))
 
 
-def _parameters(names: tuple[str, ...]) -> list[Column]:
-    return [F.lit((BGNBD | GAMMA)[n]) for n in names]
+def _parameters(names: tuple[str, ...], given: dict[str, float] = BGNBD | GAMMA) -> list[Column]:
+    return [F.lit(given[n]) for n in names]
 
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,9 +174,20 @@ def _loglik(spark: SparkSession, sf: str) -> DataFrame:
     return _summaries(spark, sf).select("fold", USER, F.round(like, 6).alias("loglik"))
 
 
-def _bgnbd_scores(spark: SparkSession, sf: str) -> DataFrame:
-    args = [F.col("frequency"), F.col("recency"), F.col("t"), *_parameters(("r", "alpha", "a", "b"))]
-    return _summaries(spark, sf).select("fold", USER, F.round(btyd.bgnbd_alive(*args), 6).alias("p_alive"), F.round(btyd.bgnbd_orders(*args), 6).alias("exp_orders"))
+def _bgnbd_scores(given: dict[str, float]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        args = [F.col("frequency"), F.col("recency"), F.col("t"), *_parameters(("r", "alpha", "a", "b"), given)]
+        return _summaries(spark, sf).select("fold", USER, F.round(btyd.bgnbd_alive(*args), 6).alias("p_alive"), F.round(btyd.bgnbd_orders(*args), 6).alias("exp_orders"))
+
+    return run
+
+
+def _bgnbd_derivatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Each fold's likelihood at fixed parameters, and its derivatives by them, as a step of the fit sums them."""
+    rows = _summaries(spark, sf).groupBy("fold", "frequency", "recency", "t").agg(F.count("*").alias("n"))
+    args = [*[F.col(c).cast("double") for c in ("frequency", "recency", "t")], *_parameters(("r", "alpha", "a", "b"))]
+    found = btyd.derivatives(rows, btyd.bgnbd_loglik(*args), btyd.bgnbd_parts(*args)[0], ["r", "alpha", "a", "b"])
+    return _rounded(found, ll=6, d_r=6, d_alpha=6, d_a=6, d_b=6)
 
 
 def _gamma_value(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,17 +200,21 @@ def _gamma_loglik(spark: SparkSession, sf: str) -> DataFrame:
     return _summaries(spark, sf).where("frequency > 0 and monetary_value > 0").select("fold", USER, F.round(like, 6).alias("loglik"))
 
 
-def _btyd_scored(spark: SparkSession, sf: str) -> DataFrame:
+def _btyd_scored(given: dict[str, float]) -> Callable[[SparkSession, str], DataFrame]:
     """The seven BTYD features from fixed parameters; the first fold has no value model."""
-    calendar = _folds(spark).select("fold")
-    counts, value = (calendar.select("fold", *[F.lit(v).alias(n) for n, v in given.items()]) for given in (BGNBD, GAMMA))
-    table = btyd.scored(_summaries(spark, sf), counts, value.where("fold != 'fold_0'"))
-    return _rounded(table, btyd_p_alive=6, btyd_exp_orders_30d=6, btyd_exp_gmv_30d=2, btyd_log_exp_orders=6, btyd_log_exp_gmv=6, btyd_order_value=4, btyd_total_gmv=2)
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        calendar = _folds(spark).select("fold")
+        counts, value = (calendar.select("fold", *[F.lit(v).alias(n) for n, v in held.items()]) for held in (given, GAMMA))
+        table = btyd.scored(_summaries(spark, sf), counts, value.where("fold != 'fold_0'"))
+        return _rounded(table, btyd_p_alive=6, btyd_exp_orders_30d=6, btyd_exp_gmv_30d=2, btyd_log_exp_orders=6, btyd_log_exp_gmv=6, btyd_order_value=4, btyd_total_gmv=2)
+
+    return run
 
 
 def _fitted(spark: SparkSession, sf: str) -> DataFrame:
     """All features, their BTYD columns from the models fitted on each fold."""
-    sums = _sums(spark, sf)
+    sums = written(_sums(spark, sf), "sums")
     made = btyd.with_mode(features.base(sums), btyd.rfm(sums), "bgnbd")
     return features.complete(made).withColumn("btyd_mode", F.lit("bgnbd"))
 
@@ -244,10 +262,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "features_with_target": lambda s, d: _rounded(_with_target(s, d, ("gmv_sum_30d", "gmv_sum_365d")).select("fold", USER, "gmv_sum_30d", "gmv_sum_365d", "target", "target_log"), gmv_sum_30d=4, gmv_sum_365d=4, target_log=6),
     "rfm": _rfm,
     "bgnbd_loglik": _loglik,
-    "bgnbd_scores": _bgnbd_scores,
+    "bgnbd_scores": _bgnbd_scores(BGNBD),
+    "bgnbd_scores_frequent": _bgnbd_scores(FREQUENT),
+    "bgnbd_derivatives": _bgnbd_derivatives,
     "gamma_gamma_value": _gamma_value,
     "gamma_gamma_loglik": _gamma_loglik,
-    "btyd_scored": _btyd_scored,
+    "btyd_scored": _btyd_scored(BGNBD),
+    "btyd_scored_frequent": _btyd_scored(FREQUENT),
     "standardize": _standardize,
     "top_k_features": _top,
     "rmsle_by_fold": lambda s, d: _rounded(evaluate.rmsle(_oof(s, d)), rmsle=6),
