@@ -1,11 +1,13 @@
 """The 346 features of each (fold, user), from one shuffled pass over the activity.
 
-Rows are brought together by user once; days, gaps between purchases and the
-conditional sums of all folds and windows then need no other exchange.
+Rows are brought together by user once; days, gaps between purchases, the sums of
+all folds, windows and targets then need no other exchange.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +28,15 @@ def _cents(column: str) -> Column:
     return (F.col(column).cast("decimal(18,2)") * 100).cast("long")
 
 
-def daily(activity: DataFrame, cal: Calendar) -> DataFrame:
-    """One row per user and active day up to the end of history, with the gap since the last purchase day.
+def daily(activity: DataFrame, last: date) -> DataFrame:
+    """One row per user and active day up to ``last``, with the gap since the last purchase day.
 
     Money is in whole cents, whose sums are as exact as decimals' and take a fraction of the time.  Several purchase rows on one day are gaps of 0 after the first.
+    Each of these rows becomes hundreds of values for each fold, so the session's number of
+    shuffle partitions is kept, which adaptive execution would lower by the size of the rows.
     """
-    rows = activity.where(F.col(DAY) <= F.lit(cal.hist_end)).repartition(USER)
+    parts = int(activity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = activity.where(F.col(DAY) <= F.lit(last)).repartition(parts, USER)
     bought = F.col("gmv") > 0
     days = rows.groupBy(USER, DAY).agg(
         *[F.sum(F.coalesce(_cents(c) if c in MONEY else F.col(c), F.lit(0))).alias(c) for c in SUMMED],
@@ -42,26 +47,56 @@ def daily(activity: DataFrame, cal: Calendar) -> DataFrame:
     return days.withColumn("gap", F.when(F.col("buys") > 0, F.datediff(DAY, earlier)))
 
 
-def aggregates(activity: DataFrame, folds: DataFrame, cal: Calendar) -> DataFrame:
-    """Everything summed per (fold, user). Sums over empty windows are null, which the ratios rely on."""
-    days = as_of(daily(activity, cal), folds)
+def _band() -> Column:
+    """The band of ages that a day falls into: window k of the lookbacks less the one before; one more for older days, and -1 for days after the cutoff."""
+    found = F.when(F.col("age") < 0, -1)
+    for k, n in enumerate(LOOKBACKS):
+        found = found.when(F.col("age") < n, k)
+    return found.otherwise(len(LOOKBACKS))
+
+
+def bands(activity: DataFrame, folds: DataFrame, cal: Calendar, target: bool = False) -> DataFrame:
+    """Sums per (fold, user, band of ages): the only step that looks at each day for each fold. With ``target`` the days to forecast are a band, too."""
+    days = as_of(daily(activity, cal.hist_end + timedelta(days=cal.target_days) if target else cal.hist_end), folds, "target_end" if target else "cutoff")
     bought = F.col("buys") > 0
     # Gaps of a day: one since the day before, and 0 for each further row.
     zeros = F.when(bought, F.col("buys") - 1).otherwise(0)
-    spans = [
+    decayed = [F.sum(F.when((F.col("age") >= 0) & (F.col("age") < n), F.col("gmv") / F.lit(100.0) * F.exp(-LN2 * F.col("age") / n))).alias(f"ema_gmv_{n}d") for n in DECAYS]
+    return days.withColumn("band", _band()).groupBy("fold", "fold_idx", "cutoff", USER, "band").agg(
         F.min(DAY).alias("first_day"), F.max(DAY).alias("last_day"), F.count("*").alias("active"),
         F.min(F.when(bought, F.col(DAY))).alias("first_buy"), F.max(F.when(bought, F.col(DAY))).alias("last_buy"),
-        F.count_if(bought).alias("buy_days"), F.sum("buys").alias("buy_rows"), (F.sum("bought") / F.lit(100.0)).alias("buy_sum"),
+        F.count_if(bought).alias("buy_days"), F.sum("buys").alias("buy_rows"), F.sum("bought").alias("buy_sum"),
         (F.count("gap") + F.sum(zeros)).alias("gaps"), F.sum("gap").alias("gap_sum"), F.sum(F.col("gap").cast("long") * F.col("gap")).alias("gap_squares"),
         F.min(F.when(zeros > 0, F.lit(0)).otherwise(F.col("gap"))).alias("gap_min"), F.max("gap").alias("gap_max"),
+        *[F.sum(c).alias(c) for c in SUMMED], *decayed,
+    )
+
+
+def aggregates(activity: DataFrame, folds: DataFrame, cal: Calendar, target: bool = False) -> DataFrame:
+    """Everything summed per (fold, user). Sums over empty windows are null, which the ratios rely on.
+
+    Days are summed into disjoint bands of ages first; windows are sums over a handful of bands.
+    ``target`` adds the spend of the days after the cutoff (0 or more) and its logarithm, from the same pass.
+    """
+    past = F.col("band") >= 0
+
+    def over(kind: Callable[[Column], Column], *columns: str) -> list[Column]:
+        return [kind(F.when(past, F.col(c))).alias(c) for c in columns]
+
+    spans = [
+        *over(F.min, "first_day", "first_buy", "gap_min"), *over(F.max, "last_day", "last_buy", "gap_max"),
+        *over(F.sum, "active", "buy_days", "buy_rows", "gaps", "gap_sum", "gap_squares"), (F.sum(F.when(past, F.col("buy_sum"))) / F.lit(100.0)).alias("buy_sum"),
     ]
     windows = []
-    for n in LOOKBACKS:
-        inside = F.col("age") < n
+    for k, n in enumerate(LOOKBACKS):
+        inside = past & (F.col("band") <= k)
         windows += [(F.sum(F.when(inside, F.col(c))) / F.lit(100.0 if c in MONEY else 1.0)).alias(f"{c}_sum_{n}d") for c in SUMMED]
-        windows += [F.nullif(F.count_if(inside), F.lit(0)).alias(f"n_active_days_{n}d"), F.nullif(F.count_if(inside & bought), F.lit(0)).alias(f"n_purchase_days_{n}d")]
-    windows += [F.sum(F.when(F.col("age") < n, F.col("gmv") / F.lit(100.0) * F.exp(-LN2 * F.col("age") / n))).alias(f"ema_gmv_{n}d") for n in DECAYS]
-    return days.groupBy("fold", "fold_idx", "cutoff", USER).agg(*spans, *windows)
+        windows += [F.nullif(F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)), F.lit(0)).alias(name) for c, name in (("active", f"n_active_days_{n}d"), ("buy_days", f"n_purchase_days_{n}d"))]
+    windows += [F.sum(f"ema_gmv_{n}d").alias(f"ema_gmv_{n}d") for n in DECAYS]
+    spent = F.greatest(F.coalesce(F.sum(F.when(~past, F.col("gmv"))), F.lit(0)) / F.lit(100.0), F.lit(0.0))
+    found = bands(activity, folds, cal, target).groupBy("fold", "fold_idx", "cutoff", USER).agg(*spans, *windows, *([spent.alias("target"), log1p0(spent).alias("target_log")] if target else []))
+    # Who is seen after the cutoff only is no user of the fold.
+    return found.where(F.col("active") > 0) if target else found
 
 
 def _lifetime() -> dict[str, Column]:
@@ -97,27 +132,31 @@ def _ratios() -> dict[str, Column]:
     return found
 
 
+def _targets(rows: DataFrame) -> list[str]:
+    return [c for c in ("target", "target_log") if c in rows.columns]
+
+
 def base(sums: DataFrame) -> DataFrame:
-    """The 175 base features before nulls are filled, with fold, fold_idx, cutoff and user."""
+    """The 175 base features before nulls are filled, with fold, fold_idx, cutoff and user, and targets where there are."""
     blocks = {**_lifetime(), **_purchase(), **{c: F.col(c) for c in S.LOOKBACK + S.DECAYED}, **heuristic(), **_ratios()}
-    return sums.select("fold", "fold_idx", "cutoff", USER, *[blocks[name].alias(name) for name in S.BASE])
+    return sums.select("fold", "fold_idx", "cutoff", USER, *[blocks[name].alias(name) for name in S.BASE], *_targets(sums))
 
 
 def complete(values: DataFrame, columns: tuple[str, ...] = S.FEATURES) -> DataFrame:
-    """All 346 features, or ``columns`` of them, with 0 for what is missing, and the cutoff as ``cutoff_date``."""
+    """All 346 features, or ``columns`` of them, with 0 for what is missing, and the cutoff as ``cutoff_date``; then the targets where there are."""
 
     base = dict.fromkeys(c.removeprefix("log1p_") for c in columns)
-    held = values.select("fold", "fold_idx", USER, F.col("cutoff").alias("cutoff_date"), *[filled(F.col(c)).alias(c) for c in base])
+    held = values.select("fold", "fold_idx", USER, F.col("cutoff").alias("cutoff_date"), *[filled(F.col(c)).alias(c) for c in base], *_targets(values))
     # A missing value is 0, and so is its logarithm.
-    return held.select("fold", "fold_idx", USER, "cutoff_date", *[F.log1p(F.greatest(F.col(c.removeprefix("log1p_")), F.lit(0.0))).alias(c) if c.startswith("log1p_") else F.col(c) for c in columns])
+    return held.select("fold", "fold_idx", USER, "cutoff_date", *[F.log1p(F.greatest(F.col(c.removeprefix("log1p_")), F.lit(0.0))).alias(c) if c.startswith("log1p_") else F.col(c) for c in columns], *_targets(values))
 
 
-def build(activity: DataFrame, folds: DataFrame, cal: Calendar, users: DataFrame | None = None, columns: tuple[str, ...] = S.FEATURES) -> DataFrame:
-    """Features of every user seen by each cutoff, of those in ``users`` if given; only ``columns`` of them are worked out."""
+def build(activity: DataFrame, folds: DataFrame, cal: Calendar, users: DataFrame | None = None, columns: tuple[str, ...] = S.FEATURES, target: bool = False) -> DataFrame:
+    """Features of every user seen by each cutoff, of those in ``users`` if given; only ``columns`` of them are worked out. ``target`` adds target and target_log from the same pass."""
     if users is not None:
         activity = activity.join(users.select(USER).distinct(), USER, "left_semi")
     folds = validated(folds, cal)
-    return complete(base(aggregates(activity, folds, cal)), columns)
+    return complete(base(aggregates(activity, folds, cal, target)), columns)
 
 
 def narrowed(table: DataFrame) -> DataFrame:
@@ -132,11 +171,28 @@ def feature_columns(table: DataFrame) -> list[str]:
     return [c for c in S.FEATURES if c in there]
 
 
-def standardised(table: DataFrame, train: Column, columns: list[str]) -> DataFrame:
-    """``columns`` less their mean and by their sample deviation (1e-6 at least) over the rows where ``train`` holds."""
-    moments = table.where(train).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.greatest(F.coalesce(F.stddev_samp(c), F.lit(0.0)), F.lit(1e-6)).alias(f"s_{c}") for c in columns])
-    joined = table.join(F.broadcast(moments))
-    return joined.select(*[c for c in table.columns if c not in columns], *[((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(c) for c in columns])
+def relevance(table: DataFrame, columns: list[str], last: int) -> DataFrame:
+    """(fold_model, feature, importance): absolute correlation of each column with target_log over the folds before each fold up to ``last``.
+
+    The moments of all columns come from one pass by fold and add up over folds, so a
+    fold's ranking never sees the fold itself.  A constant column has 0.
+    """
+    x = {c: F.col(c).cast("double") for c in columns}
+    goal = F.col("target_log")
+    # Distances from a value near the mean, so that squares of large numbers do not cancel.
+    origin = table.agg(*[F.first(v).alias(c) for c, v in x.items()])
+    near = {c: v - F.col(f"o_{c}") for c, v in x.items()}
+    rows = table.where("fold != 'test'").join(F.broadcast(origin.select(*[F.col(c).alias(f"o_{c}") for c in columns])))
+    sums = [F.count("*").alias("n"), F.sum(goal).alias("y"), F.sum(goal * goal).alias("yy")]
+    for c, v in near.items():
+        sums.append(F.struct(F.sum(v).alias("x"), F.sum(v * v).alias("xx"), F.sum(v * goal).alias("xy")).alias(c))
+    by_fold = rows.groupBy("fold_idx").agg(*sums)
+    later = by_fold.join(F.broadcast(by_fold.select(F.col("fold_idx").alias("fold_model"))), F.col("fold_idx") < F.col("fold_model")).where(F.col("fold_model") <= last)
+    whole = later.groupBy("fold_model").agg(*[F.sum(c).alias(c) for c in ("n", "y", "yy")], *[F.struct(*[F.sum(f"`{c}`.{k}").alias(k) for k in ("x", "xx", "xy")]).alias(c) for c in columns])
+    parts = whole.select("fold_model", "n", "y", "yy", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`.x").alias("x"), F.col(f"`{c}`.xx").alias("xx"), F.col(f"`{c}`.xy").alias("xy")) for c in columns])).alias("s")).select("fold_model", "n", "y", "yy", "s.*")
+    spread = (F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2)
+    value = F.abs(F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(F.when(spread > 0, spread))
+    return parts.select("fold_model", "feature", F.coalesce(value, F.lit(0.0)).alias("importance"))
 
 
 def _lot(seed: int) -> Column:

@@ -32,18 +32,20 @@ def overlap_check(folds: DataFrame) -> DataFrame:
 
 def validated(folds: DataFrame, cal: Calendar) -> DataFrame:
     """``folds``, or an error if targets meet or a training target leaves history."""
-    late = folds.where((F.col("fold") != "test") & (F.col("target_end") > F.lit(cal.hist_end)))
-    if overlap_check(folds).where("overlaps").limit(1).count() or late.limit(1).count():
+    before = F.lag("target_end").over(Window.orderBy("fold_idx"))
+    late = (F.col("fold") != "test") & (F.col("target_end") > F.lit(cal.hist_end))
+    # One row per fold: a window over a handful of rows, in one job.
+    if folds.withColumn("before", before).where((F.col("target_start") <= F.col("before")) | late).limit(1).count():
         raise ValueError("targets of folds overlap or leave the history")
     return folds
 
 
-def as_of(activity: DataFrame, folds: DataFrame) -> DataFrame:
-    """Each activity row once for each fold whose cutoff it does not pass, and its age in days.
+def as_of(activity: DataFrame, folds: DataFrame, until: str = "cutoff") -> DataFrame:
+    """Each activity row once for each fold whose cutoff it does not pass, and its age in days; with ``until`` = target_end also those after the cutoff, of negative age.
 
     Folds are a table of a few rows made from the calendar, so they are broadcast.
     """
-    return activity.join(F.broadcast(folds.select("fold", "fold_idx", "cutoff")), F.col(DAY) <= F.col("cutoff")).withColumn("age", F.datediff("cutoff", DAY))
+    return activity.join(F.broadcast(folds.select("fold", "fold_idx", "cutoff", F.col(until).alias("until"))), F.col(DAY) <= F.col("until")).drop("until").withColumn("age", F.datediff("cutoff", DAY))
 
 
 def universe(activity: DataFrame, folds: DataFrame, users: DataFrame | None = None) -> DataFrame:

@@ -122,6 +122,31 @@ def features(columns: tuple[str, ...], extra: str = "") -> str:
     return f"{sums()},\nv AS (SELECT fold, fold_idx, cutoff, user_id, {inner} FROM g)\nSELECT fold, user_id, {outer}{extra} FROM v"
 
 
+def _values(columns: tuple[str, ...]) -> str:
+    """Common tables up to c: the given features of each fold and user, missing values as 0."""
+    made = blocks()
+    base = sorted({c.removeprefix("log1p_") for c in columns}, key=S.BASE.index)
+    inner = ", ".join(f"{made[c]} AS x_{c}" for c in base)
+    outer = ", ".join(f"coalesce(CAST({_log('x_' + c.removeprefix('log1p_')) if c.startswith('log1p_') else 'x_' + c} AS double), 0) AS {c}" for c in columns)
+    return f"{sums()},\nv AS (SELECT fold, fold_idx, user_id, {inner} FROM g WHERE fold <> 'test'),\nc AS (SELECT fold, fold_idx, user_id, {outer} FROM v)"
+
+
+def _standardize(columns: tuple[str, ...]) -> str:
+    moments = ", ".join(f"avg({c}) AS m_{c}, greatest(coalesce(stddev_samp({c}), 0), 1e-6) AS s_{c}" for c in columns)
+    return f"""{_values(columns)}, m AS (SELECT {moments} FROM c WHERE fold_idx < {ORDERS.kept_folds - 1})
+SELECT fold, user_id, {", ".join(f"round(({c} - m_{c}) / s_{c}, 5) AS {c}" for c in columns)} FROM c, m"""
+
+
+def _top(columns: tuple[str, ...], k: int) -> str:
+    """Absolute correlations with the logarithm of the target in the folds before each fold, their mean, and the first k."""
+    corr = ", ".join(f"abs(coalesce(CASE WHEN min({c}) < max({c}) THEN corr({c}, y) END, 0)) AS {c}" for c in columns)
+    return f"""{_values(columns)}, {_TARGETS.split("u AS")[0].rstrip().rstrip(",")},
+z AS (SELECT c.*, ln(1 + greatest(coalesce(spent, 0), 0)) AS y FROM c LEFT JOIN t ON c.fold = t.fold AND c.user_id = t.user_id),
+w AS (SELECT b.i AS fold_model, {corr} FROM z JOIN (SELECT CAST(i AS int) AS i FROM range(1, {ORDERS.kept_folds}) r(i)) b ON z.fold_idx < b.i GROUP BY b.i),
+long AS (UNPIVOT w ON COLUMNS(* EXCLUDE (fold_model)) INTO NAME feature VALUE importance)
+SELECT feature, round(avg(importance), 4) AS importance FROM long GROUP BY feature ORDER BY importance DESC, feature LIMIT {k}"""
+
+
 PREDICTORS = f"""{sums()},
 p AS (SELECT fold, fold_idx, user_id, coalesce(gmv_sum_30d, 0) AS last30, coalesce(gmv_sum_90d, 0) / 3 AS last90, coalesce({blocks()["btyd_exp_gmv_30d"]}, 0) AS btyd FROM g),
 t AS (SELECT f.fold, a.user_id, CAST(sum(gmv) AS double) AS spent FROM a JOIN f ON event_date BETWEEN target_start AND target_end GROUP BY f.fold, a.user_id),
@@ -239,18 +264,14 @@ FROM (SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, min(event_d
         "bgnbd_derivatives": _derivatives(),
         "features_with_target": f"""{sums()}, {_TARGETS.split("u AS")[0].rstrip().rstrip(",")}
 SELECT g.fold, g.user_id, round(coalesce(gmv_sum_30d, 0), 4) AS gmv_sum_30d, round(coalesce(gmv_sum_365d, 0), 4) AS gmv_sum_365d, greatest(coalesce(spent, 0), 0) AS target, round(ln(1 + greatest(coalesce(spent, 0), 0)), 6) AS target_log FROM g LEFT JOIN t ON g.fold = t.fold AND g.user_id = t.user_id""",
-        "standardize": f"""{sums()},
-x AS (SELECT fold, fold_idx, user_id, coalesce(gmv_sum_365d, 0) AS gmv, CAST(active AS double) AS active FROM g WHERE fold <> 'test'),
-m AS (SELECT avg(gmv) AS mg, greatest(stddev_samp(gmv), 1e-6) AS sg, avg(active) AS ma, greatest(stddev_samp(active), 1e-6) AS sa FROM x WHERE fold_idx < {ORDERS.kept_folds - 1})
-SELECT fold, user_id, round((gmv - mg) / sg, 5) AS gmv_sum_365d, round((active - ma) / sa, 5) AS n_active_days_total FROM x, m""",
+        "standardize": _standardize(S.FEATURES[:100]),
         "rmsle_by_fold": f"""{PREDICTORS}, k AS (SELECT model, fold, pow(ln(1 + greatest(pred, 0)) - ln(1 + greatest(target, 0)), 2) AS e FROM pred WHERE fold <> 'test')
 SELECT model, fold, count(*) AS n, round(sqrt(avg(e)), 6) AS rmsle FROM k GROUP BY GROUPING SETS ((model, fold), (model))""",
         "oof_table": f"{PREDICTORS} SELECT model, fold, user_id, round(target, 2) AS target, round(pred, 4) AS pred FROM pred WHERE fold <> 'test'",
         "fold_average": f"{PREDICTORS} SELECT user_id, round(avg(pred), 4) AS predict FROM pred WHERE model = 'btyd' GROUP BY user_id",
         "seed_average": f"{PREDICTORS} SELECT user_id, round(exp(greatest(avg(ln(1 + greatest(pred, 0))), 0)) - 1, 4) AS predict FROM pred WHERE fold = 'test' GROUP BY user_id",
         "blend": f"{PREDICTORS} SELECT user_id, round(sum(pred * CASE model WHEN 'last30' THEN 0.50 WHEN 'btyd' THEN 0.35 ELSE 0.15 END), 4) AS predict FROM pred WHERE fold = 'test' GROUP BY user_id",
-        "top_k_features": f"""{sums()}, x AS (SELECT avg(coalesce(gmv_sum_30d, 0)) AS gmv_sum_30d, avg(coalesce(gmv_sum_90d, 0)) AS gmv_sum_90d, avg(coalesce(gmv_sum_365d, 0)) AS gmv_sum_365d, avg(coalesce(to_ord_sum_90d, 0)) AS to_ord_sum_90d, avg(coalesce(searches_sum_90d, 0)) AS searches_sum_90d FROM g GROUP BY fold)
-SELECT feature, importance FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS importance FROM x" for c in ("gmv_sum_30d", "gmv_sum_90d", "gmv_sum_365d", "to_ord_sum_90d", "searches_sum_90d")) + ") ORDER BY importance DESC, feature LIMIT 3",
+        "top_k_features": _top(S.FEATURES, 100),
         "gamma_gamma_loglik": f"{_summaries()} SELECT fold, user_id, round({_gamma_loglik()}, 6) AS loglik FROM s WHERE x > 0 AND m > 0",
         "sample_per_fold": f"""{act}, {f}, {_TARGETS},
 h AS (SELECT *, md5('42|' || fold || '|' || user_id) AS h FROM u)

@@ -65,10 +65,7 @@ def _block(columns: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]
 
 def _with_target(spark: SparkSession, sf: str, columns: tuple[str, ...] = S.FEATURES) -> DataFrame:
     """Features with targets."""
-    rows = _orders(spark, sf)
-    table = features.build(rows, _folds(spark), ORDERS, columns=columns)
-    aim = folds.targets(rows, _folds(spark), table).drop("fold_idx")
-    return table.join(aim, ["fold", USER], "left")
+    return features.build(_orders(spark, sf), _folds(spark), ORDERS, columns=columns, target=True)
 
 
 def _targets(rows: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -86,10 +83,7 @@ def _parameters(names: tuple[str, ...], given: dict[str, float] = BGNBD | GAMMA)
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Three simple forecasts of each fold and user: last 30 days, a third of 90 days, the BTYD heuristic."""
-    rows = _orders(spark, sf)
-    values = features.base(features.aggregates(rows, _folds(spark), ORDERS))
-    aim = folds.targets(rows, _folds(spark), values).drop("fold_idx", "target_log")
-    table = values.join(aim, ["fold", USER])
+    table = features.base(features.aggregates(_orders(spark, sf), _folds(spark), ORDERS, target=True))
     made = {"last30": filled(F.col("gmv_sum_30d")), "btyd": filled(F.col("btyd_exp_gmv_30d")), "last90": filled(F.col("gmv_sum_90d")) / 3}
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), c.alias("pred")) for n, c in made.items()]))
     return table.select("fold", USER, "target", parts.alias("m")).select("m.model", "fold", USER, "target", "m.pred")
@@ -100,23 +94,31 @@ def _rounded(table: DataFrame, **places: int) -> DataFrame:
 
 
 def _standardize(spark: SparkSession, sf: str) -> DataFrame:
-    table = features.build(_orders(spark, sf), _folds(spark), ORDERS, columns=("gmv_sum_365d", "n_active_days_total")).where("fold != 'test'").drop("cutoff_date")
-    made = features.standardised(table, F.col("fold_idx") < ORDERS.kept_folds - 1, ["gmv_sum_365d", "n_active_days_total"])
-    return _rounded(made.drop("fold_idx"), gmv_sum_365d=5, n_active_days_total=5)
+    """The first hundred features in deviations of the folds that the last model trains on."""
+    table = features.build(_orders(spark, sf), _folds(spark), ORDERS, columns=STANDARD).where("fold != 'test'").drop("cutoff_date")
+    table = written(table, "table")
+    made = learn.scaler(table.where(F.col("fold_idx") < ORDERS.kept_folds - 1), list(STANDARD)).transform(table)
+    return made.select("fold", USER, *[F.round(c, 5).alias(c) for c in STANDARD])
 
 
 def _top(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ("gmv_sum_30d", "gmv_sum_90d", "gmv_sum_365d", "to_ord_sum_90d", "searches_sum_90d")
-    means = features.build(_orders(spark, sf), _folds(spark), ORDERS, columns=columns).groupBy(F.col("fold_idx").alias("fold_model")).agg(*[F.avg(c).alias(c) for c in columns])
-    rows = evaluate.mean_importance(means.unpivot("fold_model", list(columns), "feature", "importance"))
-    return evaluate.top_features(_rounded(rows, importance=4), 3, list(columns))
+    """The hundred features that go best with the logarithm of the target in the folds before each fold, on average."""
+    table = written(_with_target(spark, sf), "table")
+    rows = evaluate.mean_importance(features.relevance(table, list(S.FEATURES), ORDERS.kept_folds - 1))
+    return evaluate.top_features(_rounded(rows, importance=4), MOST_IMPORTANT, list(S.FEATURES))
 
 
+#: Features that are standardised for SQL to compare.
+STANDARD = S.FEATURES[:100]
 #: Features that the registered learners read, and how many of the most important ones the factorization machines do; trials of the search.
 LEARNED, MOST_IMPORTANT, TRIALS = list(S.FEATURES), 100, 40
 #: Fixed value: share of each fold's rows that the search reads.
 SEARCHED = 0.3
-TREES = learn.Trees()
+#: The learners' settings. Boosting has a ceiling of rounds, and patience; 63 leaves are a depth of 6.
+TREES = learn.Trees(rounds=5000, rate=0.1, depth=6, least_rows=100, bins=255, patience=100)
+FOREST = learn.Trees(rounds=200, depth=6, least_rows=100, bins=255)
+#: Stages of the search: shares of a trial's rounds.
+STAGES = (0.02, 0.04, 0.08, 1.0)
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,21 +132,19 @@ def _gbt(spark: SparkSession, sf: str) -> DataFrame:
 
 def _forest(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
-    return learn.out_of_fold(vectors, learn.fit_folds(vectors, TREES, "forest", "leave_one_out"), "forest")
-
-
-def _ranked(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    vectors = _vectors(spark, sf)
-    return evaluate.top_features(evaluate.mean_importance(learn.importances(learn.fit_folds(vectors, TREES), LEARNED, spark)), k)
+    return learn.out_of_fold(vectors, learn.fit_folds(vectors, FOREST, "forest", "leave_one_out"), "forest")
 
 
 def _importance(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(spark, sf, 30)
+    vectors = _vectors(spark, sf)
+    return evaluate.top_features(evaluate.mean_importance(learn.importances(learn.fit_folds(vectors, TREES), LEARNED, spark)), 30)
 
 
 def _factors(spark: SparkSession, sf: str) -> DataFrame:
-    best = [r["feature"] for r in _ranked(spark, sf, MOST_IMPORTANT).collect()]
-    return evaluate.seed_average(learn.factor_seeds(_with_target(spark, sf, tuple(best)), best, ORDERS.kept_folds - 1))
+    """The machines' forecasts of the last fold, from features ranked in the folds before it."""
+    table, valid = written(_with_target(spark, sf), "table"), ORDERS.kept_folds - 1
+    best = learn.ranked(learn.assembled(table, LEARNED), LEARNED, TREES, valid, MOST_IMPORTANT)
+    return evaluate.seed_average(learn.seed_scores(table, learn.factor_seeds(table, best, valid), valid))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,17 +154,18 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf: str) -> DataFrame:
     table = features.sample_fraction(_with_target(spark, sf, tuple(LEARNED)), SEARCHED)
-    return learn.search(learn.assembled(table, LEARNED), learn.candidates(TRIALS), last=2)
+    return learn.search(learn.assembled(table, LEARNED), learn.candidates(TRIALS), last=2, stages=STAGES)
 
 
 def _end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run: both tree learners on all features and the machines on the most important ones, their fold and seed averages, and the blend of the test fold."""
-    table = _with_target(spark, sf)
+    table, test = written(_with_target(spark, sf), "table"), ORDERS.kept_folds
     vectors = learn.assembled(table, LEARNED)
     models = learn.fit_folds(vectors, TREES)
-    forest = learn.fit_folds(vectors, TREES, "forest", "leave_one_out")
+    forest = learn.fit_folds(vectors, FOREST, "forest", "leave_one_out")
+    # All folds but the test fold have trained or stopped these models.
     best = [r["feature"] for r in evaluate.top_features(evaluate.mean_importance(learn.importances(models, LEARNED, spark)), MOST_IMPORTANT).collect()]
-    factors = learn.factor_seeds(table.select("fold", "fold_idx", USER, "target", "target_log", *best), best, ORDERS.kept_folds)
+    factors = learn.seed_scores(table, learn.factor_seeds(table, best, test), test)
     parts = {"gbt": evaluate.fold_average(learn.predict(vectors, models, "gbt")), "forest": evaluate.fold_average(learn.predict(vectors, forest, "forest")), "fm": evaluate.seed_average(factors)}
     return evaluate.submission(evaluate.blend(features.union_all([p.withColumn("model", F.lit(n)) for n, p in parts.items()]), evaluate.WEIGHTS))
 

@@ -11,6 +11,8 @@ from tallyfold import schema as S
 from tallyfold.config import Calendar, as_date
 from tallyfold.operators import btyd, evaluate, features, folds, quality
 
+from .conftest import DATA
+
 CAL = Calendar(date(2025, 1, 1), date(2025, 6, 30), n_folds=0)
 ROWS = [(1, "2025-06-01", 100, 1, 1, 2), (1, "2025-06-11", 200, 2, 4, 4), (1, "2025-06-29", 50, 1, 1, 0), (1, "2025-07-05", 70, 1, 1, 1), (2, "2025-05-01", 90, 1, 1, 1), (3, "2025-06-20", 0, 0, 0, 5), (4, "2025-07-03", 500, 1, 1, 1), (5, "2025-06-10", 10, 0, 0, 0), (5, "2025-06-10", 30, 0, 0, 0)]
 
@@ -91,6 +93,19 @@ def test_calendar_rules(spark):
         folds.validated(bad, default)
 
 
+def test_features_and_targets_leave_one_pass(spark):
+    """One scan of each raw table, and the targets that a join gives."""
+    from tallyfold.plans import queries
+
+    found = queries._with_target(spark, DATA, ("gmv_sum_30d", "searches_sum_365d"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    rows = queries._orders(spark, DATA)
+    apart = folds.targets(rows, queries._folds(spark), folds.universe(rows, queries._folds(spark)))
+    wanted = sorted((r.fold, r.user_id, r.target, r.target_log) for r in apart.collect())
+    assert sorted((r.fold, r.user_id, r.target, r.target_log) for r in found.collect()) == wanted and any(t for _, _, t, _ in wanted)
+
+
 def test_likelihood_and_alive(spark):
     r, al, a, b = 0.7, 9.0, 0.8, 2.2
     cases = [(0, 0, 30), (1, 10, 40), (4, 80, 81), (12, 100, 300)]

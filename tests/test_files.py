@@ -81,3 +81,66 @@ def test_models_save_and_load(spark, tmp_path):
     assert learn.importances(models, ["a", "b"], spark).where("feature = 'a'").agg(F.min("importance")).first()[0] > 0.5
     with pytest.raises(ValueError):
         learn.fit_folds(vectors, learn.Trees(), kind="tweedie")
+
+
+def learned(spark, n=600, folds_=4):
+    """Folds of a target that two columns make, with noise."""
+    import random
+
+    rng, rows = random.Random(7), []
+    for k in range(n):
+        a, b, noise = rng.random(), rng.random(), rng.gauss(0, 0.3)
+        y = 3 * a + (b > 0.5) + noise
+        rows.append((f"fold_{k % folds_}", k % folds_, k, a, b, rng.random(), y if k % folds_ == folds_ - 1 else rng.random(), 2.718281828**y - 1, y))
+    return spark.createDataFrame(rows, "fold string, fold_idx int, user_id long, a double, b double, noise double, planted double, target double, target_log double")
+
+
+def test_patience_chooses_the_best_of_all_rounds(spark):
+    table = learn.assembled(learned(spark), ["a", "b", "noise"])
+    train, valid = table.where("fold_idx < 3"), table.where("fold_idx = 3")
+    settings = learn.Trees(rounds=5000, rate=0.5, depth=3, least_rows=5, bins=32, patience=8)
+    model = learn.boost(train, valid, settings)
+    whole = learn.boost(train, valid, learn.Trees(rounds=60, rate=0.5, depth=3, least_rows=5, bins=32))
+    errors = whole.stages[-1].evaluateEachIteration(valid, "squared")
+    # The first round that no later one within the patience improves on.
+    best = next(k for k in range(len(errors)) if errors[k] == min(errors[: k + 9]) and errors[k] <= min(errors[: k + 1]))
+    tries = min(errors[: 8 + learn.FIRST_ROUNDS])
+    assert model.stages[-1].getNumTrees == 1 + errors.index(tries) >= best
+    assert [tuple(r) for r in learn.chosen_rounds([(3, model)], spark).collect()] == [(3, model.stages[-1].getNumTrees)]
+    assert model.stages[-1].evaluateEachIteration(valid, "squared")[-1] == pytest.approx(tries)
+
+
+def test_staged_search_finds_the_winner_of_the_full_one(spark):
+    table = learn.assembled(learned(spark), ["a", "b", "noise"])
+    trials = [learn.Trees(rounds=20, rate=r, depth=d, least_rows=5, bins=32) for r in (0.02, 0.1, 0.3) for d in (2, 4)]
+    full = learn.search(table, trials, last=1).collect()
+    staged = learn.search(table, trials, last=1, stages=(0.5, 1.0)).collect()
+    assert [r.stage for r in staged] == [1] * 3 + [0] * 6
+    assert staged[0].trial == full[0].trial and staged[0].rmsle == pytest.approx(full[0].rmsle)
+    work = sum(r.rounds for r in staged) / (2 * sum(r.rounds for r in full))
+    print(f"staged search: {work:.0%} of twice the full one's rounds")
+
+
+def test_ranking_sees_no_later_fold(spark):
+    """A column that equals the target in the last fold only is not chosen, whatever that fold holds."""
+    table = learn.assembled(learned(spark), ["a", "b", "noise", "planted"])
+    settings = learn.Trees(rounds=20, rate=0.3, depth=3, least_rows=5, bins=32, patience=5)
+    assert learn.ranked(table, ["a", "b", "noise", "planted"], settings, 3, 2) == ["a", "b"]
+    near = features.relevance(learned(spark), ["a", "b", "noise", "planted"], 3)
+    means = {r.feature: r.importance for r in near.groupBy("feature").agg(F.avg("importance").alias("importance")).collect()}
+    assert sorted(means, key=means.get, reverse=True)[:2] == ["a", "b"] and means["planted"] < 0.3
+    assert near.where("fold_model = 3").count() == 4
+
+
+def test_saved_pipeline_scales_as_it_was_fitted(spark, tmp_path):
+    table = learned(spark).withColumn("constant", F.lit(5.0))
+    columns = ["a", "b", "constant"]
+    models = learn.factor_seeds(table, columns, 3, seeds=(1, 2), rounds=5)
+    scored = sorted(map(tuple, learn.seed_scores(table, models, 3).collect()))
+    learn.save(models, f"{tmp_path}/fm")
+    again = learn.seed_scores(table, learn.load([1, 2], f"{tmp_path}/fm"), 3)
+    assert len(scored) == 300 and sorted(map(tuple, again.collect())) == scored
+    train = table.where("fold_idx < 3").toPandas()
+    row = learn.scaler(table.where("fold_idx < 3"), columns).transform(table).orderBy("user_id").first()
+    first = table.orderBy("user_id").first()
+    assert row.a == pytest.approx((first.a - train.a.mean()) / train.a.std()) and row.constant == 0 and row.noise == first.noise
