@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import batched, stash
-from .textkit import LOWER, gathered, mix, pieces, spans, utf8, word_ids
+from .textkit import LOWER, coded, gathered, mix, pieces, spans, utf8
 
 #: Fixed values of the contract: longest phrase, least occurrences, phrases to a language, the language of records without one.
 LENGTH, LEAST, FIRST, UNKNOWN = 5, 100, 2000, "und"
@@ -54,12 +55,15 @@ class Words:
         data, starts = utf8(texts)
         self.data = LOWER[data]
         self.begin, self.end, first = spans(self.data, starts, _SPLIT)
-        ids, distinct = word_ids(self.data, self.begin, self.end)
+        # Words in order are all bytes but those between them.
+        at = np.zeros(len(self.begin) + 1, np.int64)
+        np.cumsum(self.end - self.begin, out=at[1:])
+        ids, distinct = coded(self.data[~_SPLIT[data]], at)
         digest = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
         self.digests = digest[ids] if len(ids) else np.zeros(0, np.uint64)
         # A piece ends where a text does, and where a byte that ends one stands between two words.
-        breaks = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(_BREAK[data], out=breaks[1:])
+        breaks = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_BREAK[data], dtype=np.int32, out=breaks[1:])
         last = np.ones(len(ids), bool)
         last[:-1] = breaks[self.begin[1:]] != breaks[self.begin[:-1]]
         ends = first[1:][first[1:] > first[:-1]] - 1
@@ -76,9 +80,8 @@ class Words:
         total = self.seeds[self.of_lang] if len(self.of_lang) else np.zeros(0, np.uint64)
         yield 0, mix(total)
         for k in range(1, LENGTH + 1):
-            own = np.zeros(len(total), np.uint64)
-            own[: len(own) - k + 1] = self.digests[k - 1 :] if len(own) >= k else 0
-            total = total + own * _LANES[k]
+            n = max(0, len(total) - k + 1)
+            total[:n] += self.digests[k - 1 : k - 1 + n] * _LANES[k]
             yield k, mix(total + np.uint64(k))
 
 
@@ -124,8 +127,12 @@ def _count(shard: DataFrame, step: int, shards: int, table: object) -> DataFrame
     return shard.select("lang", "text").mapInArrow(run, "key long, k byte, start short, n long")
 
 
-def _written(texts: DataFrame, found: object, slots: int) -> DataFrame:
-    """(key, k, lang, phrase) of all phrases of the texts whose two slots ``found`` marks, a few times for each task at most."""
+def _written(texts: DataFrame, found: object, slots: int, sparing: bool) -> DataFrame:
+    """(key, k, lang, phrase) of phrases of the texts whose two slots ``found`` marks, once for each task at most.
+
+    The mark says how frequent a phrase is. If ``sparing``, only so many of its occurrences are
+    looked at that about ten remain in all texts, whatever the number of tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(zlib.decompress(found.value), np.uint8)
@@ -134,10 +141,14 @@ def _written(texts: DataFrame, found: object, slots: int) -> DataFrame:
             for part in pieces(batch, "text"):
                 words = Words(part.column(0), part.column(1))
                 for k, keys in words.phrases():
-                    at = np.flatnonzero((_slot(keys, marked) != NEVER) & (_slot(keys >> np.uint64(slots), marked) != NEVER) & (words.room >= k))
+                    level = _slot(keys, marked)
+                    at = np.flatnonzero((level != NEVER) & (words.room >= k))
+                    at = at[_slot(keys[at] >> np.uint64(slots), marked) != NEVER]
+                    if sparing:
+                        lot = mix(keys[at] + (at + len(done)).astype(np.uint64)) >> np.uint64(24)
+                        at = at[lot & ((np.uint64(1) << np.maximum(2 * level[at].astype(np.int64) - 3, 0).astype(np.uint64)) - np.uint64(1)) == 0]
                     new, where = np.unique(keys[at], return_index=True)
-                    where = where[~np.isin(new, done, assume_unique=True)]
-                    at = at[where]
+                    at = at[where[~np.isin(new, done, assume_unique=True)]]
                     if not len(at):
                         continue
                     # What a task has handed on is kept in mind up to a bound; more often is no harm.
@@ -149,6 +160,22 @@ def _written(texts: DataFrame, found: object, slots: int) -> DataFrame:
     return texts.select("lang", "text").mapInArrow(run, "key long, k byte, lang string, phrase string")
 
 
+def _with_words(counts: DataFrame, dealt: DataFrame, shards: int, slots: int) -> DataFrame:
+    """(lang, k, phrase, n) of counted phrases, whose words are looked up in the shards, one after the other until none is missing."""
+    spark, parts = counts.sparkSession, []
+    for shard, sparing in [(0, True), *((s, False) for s in range(1, shards)), (0, False)]:
+        table = np.full(1 << slots, NEVER, np.uint8)
+        _marked(counts.select(F.shiftrightunsigned("key", slots).alias("key")), table, F.lit(0))
+        if not _marked(counts, table, F.floor(F.log2(F.greatest("n", F.lit(1))) / 2).cast("int"), over=True):
+            break
+        sent = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+        texts = _written(dealt.where(F.col("shard") == shard), sent, slots, sparing).groupBy("key", "k").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+        parts.append(stash(texts.join(counts, ["key", "k"]).select("key", "lang", "k", "phrase", "n"), "written"))
+        sent.destroy()
+        counts = stash(counts.join(parts[-1].select("key", "k"), ["key", "k"], "left_anti"), "missing")
+    return reduce(DataFrame.unionByName, parts).drop("key") if parts else counts.selectExpr("'' AS lang", "k", "'' AS phrase", "n")
+
+
 def _joined(words: Words, at: np.ndarray, k: int) -> pa.Array:
     """The phrases of k words at the given words, with one blank between words."""
     if not k:
@@ -162,13 +189,16 @@ def _joined(words: Words, at: np.ndarray, k: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(joined[keep]))
 
 
-def _marked(reached: DataFrame, table: np.ndarray, step: int) -> bool:
-    """Sets the slots of ``reached`` that have no step yet to this one. The slots come as bitmaps, of all slots together two megabytes at most."""
+def _marked(reached: DataFrame, table: np.ndarray, value: Column, over: bool = False) -> bool:
+    """Sets the slots of ``reached`` that are not set yet, or all if ``over``, to a small number.
+
+    Slots come as bitmaps by number, each of all slots together two megabytes at most.
+    """
     slot = F.col("key").bitwiseAND(len(table) - 1) + 1
-    maps = reached.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    for part, bits in maps:
+    maps = reached.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit"), value.alias("value")).groupBy("value", "part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    for number, part, bits in sorted(maps):
         own = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + ((part - 1) << 15)
-        table[own[table[own] == NEVER]] = step
+        table[own if over else own[table[own] == NEVER]] = number
     return bool(maps)
 
 
@@ -183,7 +213,6 @@ def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, slots: i
     # Rows are dealt in turn, whatever they hold. The shards are files, so that a step reads only its own.
     dealt = stash(own.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "shards", "shard")
     table = np.full(1 << slots, NEVER, np.uint8)
-    known = np.full(1 << slots, NEVER, np.uint8)
     left: DataFrame | None = None
     found: list[DataFrame] = []
     step, latest = 0, 0
@@ -194,23 +223,17 @@ def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, slots: i
             new = new.unionByName(left.select("key", "k", "start", "n", F.col("n").alias("was")))
         seen = stash(new.groupBy("key", "k", "start").agg(F.sum("n").alias("n"), F.sum("was").alias("was")), "phrases")
         sent.destroy()
-        if _marked(seen.where((F.col("n") >= least) & (F.col("was") < least) & F.col("k").between(1, LENGTH - 1)), table, step):
+        if _marked(seen.where((F.col("n") >= least) & (F.col("was") < least) & F.col("k").between(1, LENGTH - 1)), table, F.lit(step)):
             latest = step
         complete = F.col("start") + F.lit(shards) == step + 1
         done = seen.where(complete & ((F.col("n") >= least) | (F.col("k") == 0))).select("key", "k", "n")
-        _marked(done, known, 0)
-        _marked(done.select(F.shiftrightunsigned("key", slots).alias("key")), known, 0)
         found.append(done)
         left = seen.where(~complete)
         step += 1
     counts = found[0]
     for more in found[1:]:
         counts = counts.unionByName(more)
-    sent = spark.sparkContext.broadcast(zlib.compress(known.tobytes(), 1))
-    texts = _written(dealt, sent, slots).groupBy("key", "k").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
-    held = stash(texts.join(counts, ["key", "k"]).select("lang", "k", "phrase", "n"), "frequent")
-    sent.destroy()
-    return held
+    return stash(_with_words(stash(counts, "counts"), dealt, shards, slots), "frequent")
 
 
 def _best(rows: DataFrame, first: int) -> DataFrame:

@@ -113,12 +113,17 @@ def gathered(data: np.ndarray, begin: np.ndarray, end: np.ndarray, gap: int = 0)
     return joined, at
 
 
+def coded(joined: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each of the words that stand one after the other in ``joined`` from ``at`` on, equal for equal words, and the distinct words by number."""
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(joined)])
+    found = held.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+
 def word_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """A number for each word, equal for equal words, and the distinct words by number."""
-    joined, at = gathered(data, begin, end)
-    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(joined)])
-    coded = held.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    ids, distinct = coded(*gathered(data, begin, end))
+    return ids.astype(np.int64), distinct
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> Iterator[np.ndarray]:
