@@ -277,4 +277,5 @@ SELECT model, fold, count(*) AS n, round(sqrt(avg(e)), 6) AS rmsle FROM k GROUP
 h AS (SELECT *, md5('42|' || fold || '|' || user_id) AS h FROM u)
 SELECT fold, fold_idx, user_id FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY h, user_id) AS k FROM h WHERE substr(h, 1, 8) < '4ccccccc') x WHERE k <= 100""",
     }
-    return found
+    # What is written and read again is the same.
+    return found | {"activity_csv": found["activity_daily"], "folds_round_trip": found["features_with_target"]}

@@ -12,7 +12,8 @@ from ..config import DAY, EVENTS, MONEY, ORDERS, USER
 from ..functions.numeric import filled, log1p0
 from ..operators import btyd, evaluate, features, folds, learn, quality
 from ..sources import activity as source
-from ..sources.scratch import written
+from ..sources import tables
+from ..sources.scratch import fresh, written
 
 #: Parameters with which fitted formulas are compared with SQL.
 BGNBD = {"r": 0.5, "alpha": 20.0, "a": 0.8, "b": 2.5}
@@ -68,6 +69,23 @@ def _with_target(spark: SparkSession, sf: str, columns: tuple[str, ...] = S.FEAT
     return features.build(_orders(spark, sf), _folds(spark), ORDERS, columns=columns, target=True)
 
 
+def _csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Activity written as CSV and read again with its types."""
+    path = fresh(spark, "activity")
+    tables.write_csv(_orders(spark, sf), path)
+    return _plain(source.read(spark, path, "csv"))
+
+
+def _folds_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Features with targets, written by fold, one fold of them a second time, and read again: all folds and, from its folder alone, the last of them."""
+    path = fresh(spark, "folds")
+    table = _with_target(spark, sf, ("gmv_sum_30d", "gmv_sum_365d"))
+    tables.write_folds(table, path)
+    last = f"fold_{ORDERS.kept_folds - 1}"
+    tables.write_folds(written(tables.read_fold(spark, path, last), "fold"), path)
+    return tables.read_folds(spark, path).where(F.col("fold") != last).unionByName(tables.read_fold(spark, path, last))
+
+
 def _targets(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     found = folds.targets(rows, calendar, folds.universe(rows, calendar))
     return found.withColumn("target_log", F.round("target_log", 6))
@@ -89,6 +107,11 @@ def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     return table.select("fold", USER, "target", parts.alias("m")).select("m.model", "fold", USER, "target", "m.pred")
 
 
+def _compared(table: DataFrame) -> DataFrame:
+    """Two features with targets, to compare."""
+    return _rounded(table.select("fold", USER, "gmv_sum_30d", "gmv_sum_365d", "target", "target_log"), gmv_sum_30d=4, gmv_sum_365d=4, target_log=6)
+
+
 def _rounded(table: DataFrame, **places: int) -> DataFrame:
     return table.withColumns({c: F.round(c, n) for c, n in places.items()})
 
@@ -114,11 +137,14 @@ STANDARD = S.FEATURES[:100]
 LEARNED, MOST_IMPORTANT, TRIALS = list(S.FEATURES), 100, 40
 #: Fixed value: share of each fold's rows that the search reads.
 SEARCHED = 0.3
-#: The learners' settings. Boosting has a ceiling of rounds, and patience; 63 leaves are a depth of 6.
-TREES = learn.Trees(rounds=5000, rate=0.1, depth=6, least_rows=100, bins=255, patience=100)
-FOREST = learn.Trees(rounds=200, depth=6, least_rows=100, bins=255)
+#: Settings of the registered learners. Boosting has a ceiling of rounds that its patience ends long before; a faster rate than the
+#: library's search uses needs fewer rounds, each of which is a Spark job for each level of its tree.
+TREES = learn.Trees(rounds=5000, rate=0.1, depth=5, patience=15)
+FOREST = learn.Trees(rounds=100, depth=6)
+#: Rounds and patience of the search's trials.
+SEARCH_ROUNDS, SEARCH_PATIENCE = 200, 15
 #: Stages of the search: shares of a trial's rounds.
-STAGES = (0.02, 0.04, 0.08, 1.0)
+STAGES = (0.05, 0.1, 1.0)
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +180,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf: str) -> DataFrame:
     table = features.sample_fraction(_with_target(spark, sf, tuple(LEARNED)), SEARCHED)
-    return learn.search(learn.assembled(table, LEARNED), learn.candidates(TRIALS), last=2, stages=STAGES)
+    return learn.search(learn.assembled(table, LEARNED), learn.candidates(TRIALS, rounds=SEARCH_ROUNDS, patience=SEARCH_PATIENCE), last=2, stages=STAGES)
 
 
 def _end_to_end(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,6 +261,7 @@ def _oof(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_daily": lambda s, d: _plain(_orders(s, d)),
+    "activity_csv": _csv,
     "activity_events": lambda s, d: _plain(_events(s, d)),
     "fold_calendar": _sized,
     "walk_forward_pairs": _pairs(folds.walk_forward),
@@ -260,7 +287,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recent_vs_old": _block(S.RECENT),
     "log_features": _block(S.LOGS),
     "features_full": _block(S.FEATURES),
-    "features_with_target": lambda s, d: _rounded(_with_target(s, d, ("gmv_sum_30d", "gmv_sum_365d")).select("fold", USER, "gmv_sum_30d", "gmv_sum_365d", "target", "target_log"), gmv_sum_30d=4, gmv_sum_365d=4, target_log=6),
+    "features_with_target": lambda s, d: _compared(_with_target(s, d, ("gmv_sum_30d", "gmv_sum_365d"))),
+    "folds_round_trip": lambda s, d: _compared(_folds_again(s, d)),
     "rfm": _rfm,
     "bgnbd_loglik": _loglik,
     "bgnbd_scores": _bgnbd_scores(BGNBD),

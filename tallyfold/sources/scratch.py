@@ -20,8 +20,13 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
+
+
 def written(table: DataFrame, name: str) -> DataFrame:
     """The table, computed once and read from then on, whatever executors are lost. Each call takes a folder of its own."""
-    path = f"{folder(table.sparkSession)}/tallyfold/{name}-{uuid.uuid4().hex}"
+    path = fresh(table.sparkSession, name)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
