@@ -22,6 +22,8 @@ from .textkit import LOWER, pieces, utf8, words
 
 #: Labelled rows that the fit may read, hash buckets of terms, terms with weights of their own, factors of a term.
 SAMPLE, BUCKETS, TERMS, FACTORS = 20_000, 1 << 22, 4096, 6
+#: Rows of a table of ids that is sent to all executors, at most.
+BROADCAST_ROWS = 1_000_000
 #: Most frequent terms that have weights in any case.
 FREQUENT = 256
 #: Score from which a text is predicted toxic.
@@ -133,8 +135,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """
     batched(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
+    known = stash(known, "labels")
     share = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = stash(known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40)) < F.lit(share * float(1 << 40))), "sample")
+    # About ``sample`` rows, which meet the texts where those are; many more of them only for a caller's larger sample.
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
