@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import batched, stash
-from .textkit import LOWER, coded, gathered, mix, pieces, spans, utf8
+from .textkit import LOWER, coded, digests, gathered, mix, pieces, spans, utf8
 
 #: Fixed values of the contract: longest phrase, least occurrences, phrases to a language, the language of records without one.
 LENGTH, LEAST, FIRST, UNKNOWN = 5, 100, 2000, "und"
@@ -59,8 +59,7 @@ class Words:
         at = np.zeros(len(self.begin) + 1, np.int64)
         np.cumsum(self.end - self.begin, out=at[1:])
         ids, distinct = coded(self.data[~_SPLIT[data]], at)
-        digest = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
-        self.digests = digest[ids] if len(ids) else np.zeros(0, np.uint64)
+        self.digests = digests(distinct)[ids]
         # A piece ends where a text does, and where a byte that ends one stands between two words.
         breaks = np.zeros(len(data) + 1, np.int32)
         np.cumsum(_BREAK[data], dtype=np.int32, out=breaks[1:])

@@ -120,6 +120,21 @@ def coded(joined: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return found.indices.to_numpy(zero_copy_only=False), found.dictionary
 
 
+def digests(held: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each of some words (large binary, none of them empty), the same wherever it is worked out."""
+    if not len(held):
+        return np.zeros(0, np.uint64)
+    at = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, held.offset * 8)
+    data = np.frombuffer(held.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    long = np.diff(at)
+    power = np.full(int(long.max()), _MULT, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    total = np.add.reduceat(_BYTE_CODES[data] * power[np.arange(len(data)) - np.repeat(at[:-1], long)], at[:-1])
+    return mix(total + long.astype(np.uint64) * _LANES[0])
+
+
 def word_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """A number for each word, equal for equal words, and the distinct words by number."""
     ids, distinct = coded(*gathered(data, begin, end))

@@ -330,7 +330,7 @@ def test_repeated_broken_markup_takes_time_in_proportion(part):
     began = time.process_time()
     html_text.main_text(part * 40_000)
     html_text.main_text("<p>text</p>" + part * 40_000 + ">")
-    assert time.process_time() - began < 4
+    assert time.process_time() - began < 12
 
 
 @pytest.mark.parametrize("name", ["user-comments", "reader-comments", "fb-comments", "comment-thread", "discussion", "wp-block-comments", "adsbygoogle", "google-ad", "author-bio"])
