@@ -4,6 +4,14 @@
 documents that are left and the folder of the tables.  ``run`` applies them to
 the table of documents, writing each stage's result as Parquet in the shared
 scratch folder and reading it again.
+
+All stages but the last return the columns of the documents, whatever further
+columns there are and whatever their names.  A null or empty text has no words:
+it fails the quality rules.  A null lang or source says nothing of the language,
+and a null source is a source of its own in the mix.  Rows without a doc_id, and
+rows that share one, pass the first two stages each; the third keeps those without
+an id and one of those that share one.  Ties go to the first language by name and to the smallest
+doc_id.  Very long texts are read whole; no rows give no rows.
 """
 
 from __future__ import annotations
