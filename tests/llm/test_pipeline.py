@@ -27,3 +27,21 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_odd_rows_pass_through_every_stage(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and columns with clashing names."""
+    from tallyfold.llm.shared import stash
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source").limit(120).collect()]
+    good = max(rows, key=lambda r: len(WORD.findall(r[1] or "")))
+    rows += [rows[0], rows[1], (None, good[1] + " and more", "en", "s"), (900_001, None, "en", "s"), (900_002, "", None, None), (900_003, good[1] * 40, None, None), (900_004, " \n\t ", "xx", "s"), (900_005, "x" * 300_000, "en", None)]
+    docs = spark.createDataFrame([(*r, "kept", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, kept string, token int, `size` int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stash(stage(spark, docs, DATA), "odd")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "kept", "token", "size"], name
+        assert docs.where("kept != 'kept' OR token != 1 OR `size` != 2").count() == 0
+    held = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert not held & {900_001, 900_002, 900_004}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert packed.where("piece = 0").count() == docs.count()
