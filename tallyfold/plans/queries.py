@@ -139,12 +139,12 @@ LEARNED, MOST_IMPORTANT, TRIALS = list(S.FEATURES), 100, 40
 SEARCHED = 0.3
 #: Settings of the registered learners. Boosting has a ceiling of rounds that its patience ends long before; a faster rate than the
 #: library's search uses needs fewer rounds, each of which is a Spark job for each level of its tree.
-TREES = learn.Trees(rounds=5000, rate=0.1, depth=5, patience=15)
-FOREST = learn.Trees(rounds=100, depth=6)
+TREES = learn.Trees(rounds=5000, rate=0.3, depth=5, patience=5)
+FOREST = learn.Trees()
 #: Rounds and patience of the search's trials.
-SEARCH_ROUNDS, SEARCH_PATIENCE = 200, 15
+SEARCH_ROUNDS, SEARCH_PATIENCE = 40, 5
 #: Stages of the search: shares of a trial's rounds.
-STAGES = (0.05, 0.1, 1.0)
+STAGES = (0.1, 0.3, 1.0)
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:

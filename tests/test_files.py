@@ -104,7 +104,7 @@ def test_patience_chooses_the_best_of_all_rounds(spark):
     errors = whole.stages[-1].evaluateEachIteration(valid, "squared")
     # The first round that no later one within the patience improves on.
     best = next(k for k in range(len(errors)) if errors[k] == min(errors[: k + 9]) and errors[k] <= min(errors[: k + 1]))
-    tries = min(errors[: 8 + learn.FIRST_ROUNDS])
+    tries = min(errors[: 8 * learn.FIRST])
     assert model.stages[-1].getNumTrees == 1 + errors.index(tries) >= best
     assert [tuple(r) for r in learn.chosen_rounds([(3, model)], spark).collect()] == [(3, model.stages[-1].getNumTrees)]
     assert model.stages[-1].evaluateEachIteration(valid, "squared")[-1] == pytest.approx(tries)

@@ -49,7 +49,7 @@ def test_registered_learners_run_the_whole_job(spark, monkeypatch):
     assert found["feature_importance"].count() == 30
     assert asked == [(queries.TREES, 5, 100)] and machines == [(best, 5)]
     (trials, last, stages) = searches[0]
-    assert len(trials) == 40 and last == 2 and stages[-1] == 1.0 and {t.rounds for t in trials} == {200} and {t.depth for t in trials} <= set(range(4, 11))
+    assert len(trials) == 40 and last == 2 and stages[-1] == 1.0 and {t.rounds for t in trials} == {queries.SEARCH_ROUNDS} and {t.depth for t in trials} <= set(range(4, 11))
 
 
 def test_entry_and_registration(spark):
