@@ -1,12 +1,12 @@
 """The 346 features of each (fold, user), from one shuffled pass over the activity.
 
 Rows are brought together by user once; days, gaps between purchases, the sums of
-all folds, windows and targets then need no other exchange.
+all folds, windows and targets then need no other exchange.  The wide steps are SQL text:
+a call for each part of hundreds of columns took longer than the pass itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date, timedelta
 from functools import reduce
 
@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..config import DAY, DECAYS, LOOKBACKS, MONEY, PAIRS, SUMMED, USER, Calendar
-from ..functions.numeric import filled, log1p0, safe_div
+from ..functions.numeric import filled, safe_div
 from .btyd import heuristic
 from .folds import as_of, validated
 
@@ -61,7 +61,7 @@ def bands(activity: DataFrame, folds: DataFrame, cal: Calendar, target: bool = F
     bought = F.col("buys") > 0
     # Gaps of a day: one since the day before, and 0 for each further row.
     zeros = F.when(bought, F.col("buys") - 1).otherwise(0)
-    decayed = [F.sum(F.when((F.col("age") >= 0) & (F.col("age") < n), F.col("gmv") / F.lit(100.0) * F.exp(-LN2 * F.col("age") / n))).alias(f"ema_gmv_{n}d") for n in DECAYS]
+    decayed = [F.expr(f"sum(CASE WHEN age >= 0 AND age < {n} THEN gmv / 100D * exp({-LN2}D * age / {n}) END) AS ema_gmv_{n}d") for n in DECAYS]
     return days.withColumn("band", _band()).groupBy("fold", "fold_idx", "cutoff", USER, "band").agg(
         F.min(DAY).alias("first_day"), F.max(DAY).alias("last_day"), F.count("*").alias("active"),
         F.min(F.when(bought, F.col(DAY))).alias("first_buy"), F.max(F.when(bought, F.col(DAY))).alias("last_buy"),
@@ -78,56 +78,53 @@ def aggregates(activity: DataFrame, folds: DataFrame, cal: Calendar, target: boo
     Days are summed into disjoint bands of ages first; windows are sums over a handful of bands.
     ``target`` adds the spend of the days after the cutoff (0 or more) and its logarithm, from the same pass.
     """
-    past = F.col("band") >= 0
+    past = "CASE WHEN band >= 0 THEN {} END"
 
-    def over(kind: Callable[[Column], Column], *columns: str) -> list[Column]:
-        return [kind(F.when(past, F.col(c))).alias(c) for c in columns]
+    def over(kind: str, *columns: str) -> list[str]:
+        return [f"{kind}({past.format(c)}) AS {c}" for c in columns]
 
-    spans = [
-        *over(F.min, "first_day", "first_buy", "gap_min"), *over(F.max, "last_day", "last_buy", "gap_max"),
-        *over(F.sum, "active", "buy_days", "buy_rows", "gaps", "gap_sum", "gap_squares"), (F.sum(F.when(past, F.col("buy_sum"))) / F.lit(100.0)).alias("buy_sum"),
-    ]
-    windows = []
+    found = [*over("min", "first_day", "first_buy", "gap_min"), *over("max", "last_day", "last_buy", "gap_max"), *over("sum", "active", "buy_days", "buy_rows", "gaps", "gap_sum", "gap_squares"), f"sum({past.format('buy_sum')}) / 100D AS buy_sum"]
     for k, n in enumerate(LOOKBACKS):
-        inside = past & (F.col("band") <= k)
-        windows += [(F.sum(F.when(inside, F.col(c))) / F.lit(100.0 if c in MONEY else 1.0)).alias(f"{c}_sum_{n}d") for c in SUMMED]
-        windows += [F.nullif(F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)), F.lit(0)).alias(name) for c, name in (("active", f"n_active_days_{n}d"), ("buy_days", f"n_purchase_days_{n}d"))]
-    windows += [F.sum(f"ema_gmv_{n}d").alias(f"ema_gmv_{n}d") for n in DECAYS]
-    spent = F.greatest(F.coalesce(F.sum(F.when(~past, F.col("gmv"))), F.lit(0)) / F.lit(100.0), F.lit(0.0))
-    found = bands(activity, folds, cal, target).groupBy("fold", "fold_idx", "cutoff", USER).agg(*spans, *windows, *([spent.alias("target"), log1p0(spent).alias("target_log")] if target else []))
+        inside = f"sum(CASE WHEN band >= 0 AND band <= {k} THEN {{}} END)"
+        found += [f"{inside.format(c)} / {100 if c in MONEY else 1}D AS {c}_sum_{n}d" for c in SUMMED]
+        found += [f"nullif(coalesce({inside.format(c)}, 0), 0) AS {name}_{n}d" for c, name in (("active", "n_active_days"), ("buy_days", "n_purchase_days"))]
+    found += [f"sum(ema_gmv_{n}d) AS ema_gmv_{n}d" for n in DECAYS]
+    if target:
+        spent = "greatest(coalesce(sum(CASE WHEN band < 0 THEN gmv END), 0) / 100D, 0D)"
+        found += [f"{spent} AS target", f"log1p({spent}) AS target_log"]
+    sums = bands(activity, folds, cal, target).groupBy("fold", "fold_idx", "cutoff", USER).agg(*map(F.expr, found))
     # Who is seen after the cutoff only is no user of the fold.
-    return found.where(F.col("active") > 0) if target else found
+    return sums.where("active > 0") if target else sums
 
 
-def _lifetime() -> dict[str, Column]:
-    recency, tenure = F.datediff("cutoff", "last_day"), F.datediff("cutoff", "first_day") + 1
-    return dict(zip(S.LIFETIME, (recency, tenure, F.col("active"), safe_div(F.col("active"), tenure), log1p0(tenure), log1p0(recency))))
+def _lifetime() -> dict[str, str]:
+    recency, tenure = "datediff(cutoff, last_day)", "(datediff(cutoff, first_day) + 1)"
+    logs = (f"CASE WHEN {x} IS NOT NULL THEN log1p(greatest(CAST({x} AS double), 0D)) END" for x in (tenure, recency))
+    return dict(zip(S.LIFETIME, (recency, tenure, "active", safe_div("active", tenure), *logs)))
 
 
-def _purchase() -> dict[str, Column]:
-    days = F.nullif(F.col("buy_days"), F.lit(0))
-    n = F.nullif(F.col("gaps"), F.lit(0)).cast("double")
-    total = F.coalesce("gap_sum", F.lit(0)).cast("double")
-    spread = F.when(n > 1, F.sqrt(F.greatest((F.coalesce("gap_squares", F.lit(0)) - total * total / n) / (n - 1), F.lit(0.0))))
-    few, most = F.when(n > 0, F.col("gap_min")), F.when(n > 0, F.coalesce("gap_max", F.lit(0)))
-    values = (F.datediff("cutoff", "last_buy"), F.datediff("cutoff", "first_buy"), days, F.col("buy_sum"), days.cast("double"), total / n, spread, few, most)
+def _purchase() -> dict[str, str]:
+    days, n, total = "nullif(buy_days, 0)", "CAST(nullif(gaps, 0) AS double)", "CAST(coalesce(gap_sum, 0) AS double)"
+    spread = f"CASE WHEN gaps > 1 THEN sqrt(greatest((coalesce(gap_squares, 0) - {total} * {total} / {n}) / ({n} - 1), 0D)) END"
+    few, most = "CASE WHEN gaps > 0 THEN gap_min END", "CASE WHEN gaps > 0 THEN coalesce(gap_max, 0) END"
+    values = ("datediff(cutoff, last_buy)", "datediff(cutoff, first_buy)", days, "buy_sum", f"CAST({days} AS double)", f"{total} / {n}", spread, few, most)
     return dict(zip(S.PURCHASE, values))
 
 
-def _ratios() -> dict[str, Column]:
+def _ratios() -> dict[str, str]:
     found = {}
     for n in LOOKBACKS:
-        gmv, orders, cart, searches = (F.col(f"{c}_sum_{n}d") for c in ("gmv", "to_ord", "to_cart", "searches"))
-        active, bought = F.col(f"n_active_days_{n}d"), F.col(f"n_purchase_days_{n}d")
-        values = (safe_div(gmv, active), safe_div(gmv, orders), safe_div(gmv, bought), safe_div(orders, cart), safe_div(cart, searches), safe_div(active, F.lit(n)))
+        gmv, orders, cart, searches = (f"{c}_sum_{n}d" for c in ("gmv", "to_ord", "to_cart", "searches"))
+        active, bought = f"n_active_days_{n}d", f"n_purchase_days_{n}d"
+        values = (safe_div(gmv, active), safe_div(gmv, orders), safe_div(gmv, bought), safe_div(orders, cart), safe_div(cart, searches), safe_div(active, str(n)))
         found |= {f"{name}_{n}d": v for name, v in zip(("gmv_per_active_day", "avg_order_value", "gmv_per_purchase_day", "cart_to_order_rate", "search_to_cart_rate", "activity_density"), values)}
     for a, b in PAIRS:
         for name, column in (("gmv", "gmv_sum_{}d"), ("orders", "to_ord_sum_{}d"), ("purchase_days", "n_purchase_days_{}d")):
-            found[f"{name}_ratio_{a}_{b}"] = safe_div(F.col(column.format(a)), F.col(column.format(b)))
+            found[f"{name}_ratio_{a}_{b}"] = safe_div(column.format(a), column.format(b))
     for name, column in (("gmv", "gmv_sum_{}d"), ("orders", "to_ord_sum_{}d")):
-        new, all_ = F.col(column.format(30)), F.col(column.format(90))
+        new, all_ = column.format(30), column.format(90)
         # Null before the subtraction when the last 30 days are empty, and so 0 in the end.
-        found[f"{name}_old_60d"] = F.when(new.isNotNull(), F.greatest(all_ - new, F.lit(0.0)))
+        found[f"{name}_old_60d"] = f"CASE WHEN {new} IS NOT NULL THEN greatest({all_} - {new}, 0D) END"
         found[f"{name}_recent_share"] = safe_div(new, all_)
     return found
 
@@ -138,17 +135,16 @@ def _targets(rows: DataFrame) -> list[str]:
 
 def base(sums: DataFrame) -> DataFrame:
     """The 175 base features before nulls are filled, with fold, fold_idx, cutoff and user, and targets where there are."""
-    blocks = {**_lifetime(), **_purchase(), **{c: F.col(c) for c in S.LOOKBACK + S.DECAYED}, **heuristic(), **_ratios()}
-    return sums.select("fold", "fold_idx", "cutoff", USER, *[blocks[name].alias(name) for name in S.BASE], *_targets(sums))
+    blocks = {**{c: c for c in S.LOOKBACK + S.DECAYED + S.BTYD}, **_lifetime(), **_purchase(), **_ratios()}
+    return sums.withColumns(heuristic()).selectExpr("fold", "fold_idx", "cutoff", USER, *[f"{blocks[name]} AS {name}" for name in S.BASE], *_targets(sums))
 
 
 def complete(values: DataFrame, columns: tuple[str, ...] = S.FEATURES) -> DataFrame:
     """All 346 features, or ``columns`` of them, with 0 for what is missing, and the cutoff as ``cutoff_date``; then the targets where there are."""
-
     base = dict.fromkeys(c.removeprefix("log1p_") for c in columns)
-    held = values.select("fold", "fold_idx", USER, F.col("cutoff").alias("cutoff_date"), *[filled(F.col(c)).alias(c) for c in base], *_targets(values))
+    held = values.selectExpr("fold", "fold_idx", USER, "cutoff AS cutoff_date", *[f"{filled(c)} AS {c}" for c in base], *_targets(values))
     # A missing value is 0, and so is its logarithm.
-    return held.select("fold", "fold_idx", USER, "cutoff_date", *[F.log1p(F.greatest(F.col(c.removeprefix("log1p_")), F.lit(0.0))).alias(c) if c.startswith("log1p_") else F.col(c) for c in columns], *_targets(values))
+    return held.selectExpr("fold", "fold_idx", USER, "cutoff_date", *[f"log1p(greatest({c.removeprefix('log1p_')}, 0D)) AS {c}" if c.startswith("log1p_") else c for c in columns], *_targets(values))
 
 
 def build(activity: DataFrame, folds: DataFrame, cal: Calendar, users: DataFrame | None = None, columns: tuple[str, ...] = S.FEATURES, target: bool = False) -> DataFrame:
@@ -177,22 +173,17 @@ def relevance(table: DataFrame, columns: list[str], last: int) -> DataFrame:
     The moments of all columns come from one pass by fold and add up over folds, so a
     fold's ranking never sees the fold itself.  A constant column has 0.
     """
-    x = {c: F.col(c).cast("double") for c in columns}
-    goal = F.col("target_log")
     # Distances from a value near the mean, so that squares of large numbers do not cancel.
-    origin = table.agg(*[F.first(v).alias(c) for c, v in x.items()])
-    near = {c: v - F.col(f"o_{c}") for c, v in x.items()}
-    rows = table.where("fold != 'test'").join(F.broadcast(origin.select(*[F.col(c).alias(f"o_{c}") for c in columns])))
-    sums = [F.count("*").alias("n"), F.sum(goal).alias("y"), F.sum(goal * goal).alias("yy")]
-    for c, v in near.items():
-        sums.append(F.struct(F.sum(v).alias("x"), F.sum(v * v).alias("xx"), F.sum(v * goal).alias("xy")).alias(c))
-    by_fold = rows.groupBy("fold_idx").agg(*sums)
+    origin = table.selectExpr(*[f"first(CAST({c} AS double)) AS o_{c}" for c in columns])
+    rows = table.where("fold != 'test'").join(F.broadcast(origin)).selectExpr("fold_idx", "target_log", *[f"CAST({c} AS double) - o_{c} AS {c}" for c in columns])
+    moments = [f"named_struct('x', sum({c}), 'xx', sum({c} * {c}), 'xy', sum({c} * target_log)) AS {c}" for c in columns]
+    by_fold = rows.groupBy("fold_idx").agg(*map(F.expr, ("count(*) AS n", "sum(target_log) AS y", "sum(target_log * target_log) AS yy", *moments)))
     later = by_fold.join(F.broadcast(by_fold.select(F.col("fold_idx").alias("fold_model"))), F.col("fold_idx") < F.col("fold_model")).where(F.col("fold_model") <= last)
-    whole = later.groupBy("fold_model").agg(*[F.sum(c).alias(c) for c in ("n", "y", "yy")], *[F.struct(*[F.sum(f"`{c}`.{k}").alias(k) for k in ("x", "xx", "xy")]).alias(c) for c in columns])
-    parts = whole.select("fold_model", "n", "y", "yy", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`.x").alias("x"), F.col(f"`{c}`.xx").alias("xx"), F.col(f"`{c}`.xy").alias("xy")) for c in columns])).alias("s")).select("fold_model", "n", "y", "yy", "s.*")
+    parts = later.selectExpr("fold_model", "n", "y", "yy", f"inline(array({', '.join(f"named_struct('feature', '{c}', 's', {c})" for c in columns)}))")
+    whole = parts.groupBy("fold_model", "feature").agg(*[F.sum(c).alias(c) for c in ("n", "y", "yy")], *[F.sum(f"s.{c}").alias(c) for c in ("x", "xx", "xy")])
     spread = (F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2)
     value = F.abs(F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(F.when(spread > 0, spread))
-    return parts.select("fold_model", "feature", F.coalesce(value, F.lit(0.0)).alias("importance"))
+    return whole.select("fold_model", "feature", F.coalesce(value, F.lit(0.0)).alias("importance"))
 
 
 def _lot(seed: int) -> Column:

@@ -59,7 +59,7 @@ def _sums(spark: SparkSession, sf: str) -> DataFrame:
 def _block(columns: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         table = features.complete(features.base(_sums(spark, sf)), columns)
-        return table.select("fold", USER, *[F.round(c, 4).alias(c) for c in columns])
+        return table.selectExpr("fold", USER, *[f"round({c}, 4) AS {c}" for c in columns])
 
     return run
 
@@ -102,7 +102,7 @@ def _parameters(names: tuple[str, ...], given: dict[str, float] = BGNBD | GAMMA)
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Three simple forecasts of each fold and user: last 30 days, a third of 90 days, the BTYD heuristic."""
     table = features.base(features.aggregates(_orders(spark, sf), _folds(spark), ORDERS, target=True))
-    made = {"last30": filled(F.col("gmv_sum_30d")), "btyd": filled(F.col("btyd_exp_gmv_30d")), "last90": filled(F.col("gmv_sum_90d")) / 3}
+    made = {"last30": F.expr(filled("gmv_sum_30d")), "btyd": F.expr(filled("btyd_exp_gmv_30d")), "last90": F.expr(filled("gmv_sum_90d")) / 3}
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), c.alias("pred")) for n, c in made.items()]))
     return table.select("fold", USER, "target", parts.alias("m")).select("m.model", "fold", USER, "target", "m.pred")
 
@@ -121,7 +121,7 @@ def _standardize(spark: SparkSession, sf: str) -> DataFrame:
     table = features.build(_orders(spark, sf), _folds(spark), ORDERS, columns=STANDARD).where("fold != 'test'").drop("cutoff_date")
     table = written(table, "table")
     made = learn.scaler(table.where(F.col("fold_idx") < ORDERS.kept_folds - 1), list(STANDARD)).transform(table)
-    return made.select("fold", USER, *[F.round(c, 5).alias(c) for c in STANDARD])
+    return made.selectExpr("fold", USER, *[f"round({c}, 5) AS {c}" for c in STANDARD])
 
 
 def _top(spark: SparkSession, sf: str) -> DataFrame:
