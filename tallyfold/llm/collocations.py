@@ -18,6 +18,7 @@ and words, and only phrases that reach the threshold get their words back.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -68,7 +69,7 @@ class Words:
         ends = first[1:][first[1:] > first[:-1]] - 1
         last[ends] = True
         stops = np.flatnonzero(last)
-        self.room = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids)) + 1 if len(ids) else np.zeros(0, np.int64)
+        self.room = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(len(ids)) + 1
         self.langs = langs.fill_null(UNKNOWN).dictionary_encode()
         codes = self.langs.indices.to_numpy(zero_copy_only=False)
         self.of_lang = np.repeat(codes, np.diff(first))
@@ -88,11 +89,16 @@ def _slot(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[(keys & np.uint64(len(table) - 1)).astype(np.int64)]
 
 
-def _counted(keys: list[np.ndarray], kinds: list[np.ndarray], starts: list[np.ndarray]) -> pa.RecordBatch:
-    """Equal keys as one row with their number."""
-    found, where, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-    columns = [found.view(np.int64), np.concatenate(kinds)[where], np.concatenate(starts)[where], count]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int8(), pa.int16(), pa.int64()))], ["key", "k", "start", "n"])
+def _counted(held: dict[tuple[int, int], list[np.ndarray]]) -> pa.RecordBatch:
+    """Equal keys of each length and start as one row with their number."""
+    columns: tuple[list, ...] = ([], [], [], [])
+    for (k, start), lists in held.items():
+        # Sorting numbers alone takes a tenth of the time of sorting their places, too.
+        keys = np.sort(np.concatenate(lists))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        for column, new in zip(columns, (keys[first].view(np.int64), np.full(len(first), k, np.int8), np.full(len(first), start, np.int16), np.diff(np.append(first, len(keys))))):
+            column.append(new)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int8(), pa.int16(), pa.int64()))], ["key", "k", "start", "n"])
 
 
 def _count(shard: DataFrame, step: int, shards: int, table: object) -> DataFrame:
@@ -100,28 +106,32 @@ def _count(shard: DataFrame, step: int, shards: int, table: object) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = np.frombuffer(zlib.decompress(table.value), np.uint8)
-        held: tuple[list, list, list] = ([], [], [])
+        held: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
+        many = 0
         for batch in batches:
             for part in pieces(batch, "text"):
                 words = Words(part.column(0), part.column(1))
                 shorter: np.ndarray | None = None
                 for k, keys in words.phrases():
                     if k < 2:
-                        at, start = (np.arange(len(keys)), np.zeros(len(keys), np.int16)) if step < shards else (np.zeros(0, np.int64), np.zeros(0, np.int16))
+                        if step < shards and len(keys):
+                            held[k, 0].append(keys)
+                            many += len(keys)
                     else:
                         seen = _slot(shorter, reached)
                         both = np.maximum(seen[:-1], seen[1:]).astype(np.int16)
                         at = np.flatnonzero((both != NEVER) & (both + shards >= step) & (words.room[:-1] >= k))
                         start = both[at] + np.int16(1)
+                        for s in np.flatnonzero(np.bincount(start)).tolist():
+                            held[k, s].append(keys[at[start == s]])
+                        many += len(at)
                     shorter = keys
-                    if len(at):
-                        for columns, new in zip(held, (keys[at], np.full(len(at), k, np.int8), start)):
-                            columns.append(new)
-                if sum(map(len, held[0])) >= TOGETHER:
-                    yield _counted(*held)
-                    held = ([], [], [])
-        if held[0]:
-            yield _counted(*held)
+                if many >= TOGETHER:
+                    yield _counted(held)
+                    held.clear()
+                    many = 0
+        if many:
+            yield _counted(held)
 
     return shard.select("lang", "text").mapInArrow(run, "key long, k byte, start short, n long")
 

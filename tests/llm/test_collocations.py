@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from itertools import pairwise
 
+import numpy as np
 import pytest
 
 from tallyfold.llm import collocations
@@ -88,3 +89,10 @@ def test_very_long_text_and_repeated_rows(spark):
     docs = spark.createDataFrame([("en", text), ("en", text)], "lang string, text string")
     found = [tuple(r) for r in collocations.collocations(docs).collect()]
     assert sorted(found) == brute([("en", text)] * 2, 100, 2000)
+
+
+def test_equal_digests_of_other_lengths_are_counted_apart():
+    """Phrases are told apart by digest, length and start, also where a task adds them up."""
+    keys = np.array([7, 7, 9], np.uint64)
+    batch = collocations._counted({(1, 0): [keys, keys[:1]], (2, 1): [keys[:1]], (2, 3): [keys[2:]]})
+    assert sorted(tuple(r.values()) for r in batch.to_pylist()) == [(7, 1, 0, 3), (7, 2, 1, 1), (9, 1, 0, 1), (9, 2, 3, 1)]
