@@ -255,3 +255,14 @@ def test_samples_and_narrowing(spark):
     assert 700 < some.count() < 1100 and some.collect() == features.sample_fraction(table, 0.3).collect()
     assert {r.fold: r["count"] for r in features.sample_rows(table, 1500).groupBy("fold").count().collect()} == {"a": 1500, "b": 1000}
     assert dict(features.narrowed(table).dtypes) == {"fold": "string", "user_id": "bigint", "x": "float"}
+
+
+def test_integral_is_worked_out_once_for_buyers_alike(spark):
+    """Buyers who share frequency and time get one integral, equal to each one's own."""
+    rows = [("f", k, float(k % 3), 5.0 * (k % 3), 40.0, 0.5, 20.0, 0.8, 2.5) for k in range(30)]
+    buyers = spark.createDataFrame(rows, "fold string, user_id long, frequency double, recency double, t double, r double, alpha double, a double, b double")
+    args = [F.col(c) for c in ("frequency", "t", "r", "alpha", "a", "b")]
+    made = btyd.with_gain(buyers).withColumn("own", btyd.bgnbd_gain(*args))
+    found = made.select("user_id", "_gain", "own").collect()
+    assert len(found) == 30 and all(r._gain == pytest.approx(r.own, rel=1e-12) for r in found)
+    assert "Aggregate" in btyd.with_gain(buyers)._jdf.queryExecution().optimizedPlan().toString()
