@@ -4,6 +4,7 @@ import math
 import random
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,25 @@ def test_integral_is_worked_out_once_for_buyers_alike(spark):
     found = made.select("user_id", "_gain", "own").collect()
     assert len(found) == 30 and all(r._gain == pytest.approx(r.own, rel=1e-12) for r in found)
     assert "Aggregate" in btyd.with_gain(buyers)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_relevance_reads_its_rows_once(spark):
+    """One pass over the table gives the moments of all folds; constant columns have 0 and nulls add nothing."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(3)
+    rows = [(f"fold_{f}", f, y, y * 2 + rng.random(), 0.1, None if k % 4 == 0 else y) for f in range(3) for k in range(50) for y in [rng.random()]]
+    kind = "fold string, fold_idx int, target_log double, a double, same double, gaps double"
+    table = spark.createDataFrame(rows, kind).repartition(5).mapInArrow(passed, kind)
+    found = {(r.fold_model, r.feature): r.importance for r in features.relevance(table, ["a", "same", "gaps"], 2).collect()}
+    assert seen.value == 150
+    for model in (1, 2):
+        part = [r for r in rows if r[1] < model]
+        x, y = np.array([r[3] for r in part]), np.array([r[2] for r in part])
+        assert found[model, "a"] == pytest.approx(abs(np.corrcoef(x, y)[0, 1]), rel=1e-9)
+        assert found[model, "same"] == 0.0 and found[model, "gaps"] > 0
