@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), "stage")
+        # Every stage's texts lie in the folder until the end, so they are packed closer than what one operator writes for itself.
+        docs = stash(stage(spark, docs, sf_dir), "stage", codec="zstd")
     return STAGES[-1][1](spark, docs, sf_dir)

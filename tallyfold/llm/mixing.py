@@ -133,11 +133,14 @@ def mixed(docs: DataFrame) -> DataFrame:
     own.  A source without words has target 0.  Very long texts are counted whole;
     no rows give no rows.
     """
+    return _drawn(_sized(docs))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
     plain = docs.withColumn("size", F.size(words_of(F.coalesce("text", F.lit("")))).cast("long"))
     # Rows are dealt by id and text, so that rows without id spread too.
     plain = plain.withColumn("_pick", F.xxhash64(F.lit(SEED), "doc_id", "text"))
-    plain = plain.withColumn("_key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")))
-    return _drawn(plain)
+    return plain.withColumn("_key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")))
 
 
 def _drawn(plain: DataFrame) -> DataFrame:
@@ -200,10 +203,12 @@ def mix(docs: DataFrame) -> DataFrame:
     A last draw of part of a document has its first words, one blank apart.  Nulls,
     repeats and ties as in :func:`mixed`; columns may have any names.
     """
-    rows = mixed(set_aside(docs, "doc_id", "text", "source")).withColumn("_draw", F.explode("draws"))
+    # Each text is shuffled once under its own name, not a second time beside it.
+    rows = _drawn(_sized(set_aside(docs, "doc_id", "text", "source")).drop("text")).withColumn("_draw", F.explode("draws"))
+    text = F.col("_in_text")
     partial = F.col("_draw.words") < F.col("size")
-    first = F.array_join(F.slice(words_of(F.coalesce("text", F.lit(""))), F.lit(1), F.col("_draw.words").cast("int")), " ")
-    changed = {"text": F.when(partial, first).otherwise(F.col("text"))}
+    first = F.array_join(F.slice(words_of(F.coalesce(text, F.lit(""))), F.lit(1), F.col("_draw.words").cast("int")), " ")
+    changed = {"text": F.when(partial, first).otherwise(text)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(partial, F.length(first)).otherwise(F.col("_in_n_chars"))
     rows = rows.repartition("_draw.shard", F.pmod(F.xxhash64("doc_id", "_draw.pass"), F.lit(4))).sortWithinPartitions("_draw.shard", F.xxhash64(F.lit(SEED + 2), "doc_id", "_draw.pass"))

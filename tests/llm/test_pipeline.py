@@ -45,3 +45,17 @@ def test_odd_rows_pass_through_every_stage(spark):
     assert not held & {900_001, 900_002, 900_004}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.where("piece = 0").count() == docs.count()
+
+
+def test_stages_are_packed_and_mixed_texts_are_shuffled_once(spark):
+    """What a stage leaves is written with the closer codec, and the mix shuffles no text twice side by side."""
+    from tallyfold.llm import mixing
+    from tallyfold.llm.shared import stash
+
+    docs = spark.createDataFrame([(k, f"word{k} and more of it", "en", f"s{k % 3}", 20) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stash(docs, "stage", codec="zstd")
+    assert all(f.endswith(".zstd.parquet") for f in kept.inputFiles())
+    assert sorted(kept.collect()) == sorted(docs.collect())
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Project [" in line and "_in_text#" in line]
+    assert lines and not any(re.search(r"(\[|, )text#\d+(,|\])", line) for line in lines)
