@@ -289,3 +289,14 @@ def test_relevance_reads_its_rows_once(spark):
         x, y = np.array([r[3] for r in part]), np.array([r[2] for r in part])
         assert found[model, "a"] == pytest.approx(abs(np.corrcoef(x, y)[0, 1]), rel=1e-9)
         assert found[model, "same"] == 0.0 and found[model, "gaps"] > 0
+
+
+def test_rounding_equals_sql_without_decimals(spark, duck):
+    """Halves go away from zero as in SQL, for negative and very large numbers too, and no number goes through its decimal digits."""
+    from tallyfold.functions.numeric import rounded
+
+    values = [0.0, 0.03125, 312.5e-4, 1.00005, -0.03125, -2.71828, 7 / 3, 1e6 / 7, 123456789.98765, 3e11 + 1 / 3, 5e11 + 0.3, -5e11 - 0.3, 1e17, -1e20, 0.00005, 0.00004999]
+    text = ", ".join(f"(CAST('{v!r}' AS double))" for v in values)
+    found = [r[0] for r in spark.sql(f"SELECT {rounded('x', 4)} AS y FROM VALUES {text} AS t(x)").collect()]
+    assert found == [r[0] for r in duck.execute(f"SELECT round(x, 4) FROM (VALUES {text}) t(x)").fetchall()]
+    assert "round(" not in rounded("x", 4)
