@@ -300,3 +300,22 @@ def test_rounding_equals_sql_without_decimals(spark, duck):
     found = [r[0] for r in spark.sql(f"SELECT {rounded('x', 4)} AS y FROM VALUES {text} AS t(x)").collect()]
     assert found == [r[0] for r in duck.execute(f"SELECT round(x, 4) FROM (VALUES {text}) t(x)").fetchall()]
     assert "round(" not in rounded("x", 4)
+
+
+def test_fitted_features_meet_their_sums_unshuffled(spark):
+    """The fitted mode of the registered query has the features that a join of base features with the buyers' scores has, and no exchange of the wide sums."""
+    from tallyfold.config import ORDERS
+    from tallyfold.operators import btyd, folds
+    from tallyfold.sources import activity
+    from tallyfold.sources.scratch import written
+
+    rows = activity.from_orders(spark.read.parquet(f"{DATA}/orders.parquet"), spark.read.parquet(f"{DATA}/lineitem.parquet"))
+    sums = written(features.aggregates(rows, folds.calendar(spark, ORDERS), ORDERS), "sums")
+    made = features.complete(features.base(btyd.with_fitted(sums)))
+    joined = features.complete(btyd.with_mode(features.base(sums), btyd.rfm(sums), "bgnbd"))
+    assert made.columns == [c for c in joined.columns if c != "btyd_mode"]
+    names = [c for c in made.columns if "btyd" in c]
+    one, other = ({(r.fold, r.user_id): [r[c] for c in names] for r in t.collect()} for t in (made, joined))
+    assert one.keys() == other.keys() and len(one) == sums.count()
+    assert all(a == pytest.approx(b, rel=1e-9, abs=1e-9) for k in one for a, b in zip(one[k], other[k]))
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
