@@ -144,3 +144,28 @@ def test_saved_pipeline_scales_as_it_was_fitted(spark, tmp_path):
     row = learn.scaler(table.where("fold_idx < 3"), columns).transform(table).orderBy("user_id").first()
     first = table.orderBy("user_id").first()
     assert row.a == pytest.approx((first.a - train.a.mean()) / train.a.std()) and row.constant == 0 and row.noise == first.noise
+
+
+def test_best_rounds_are_kept_and_not_fitted_again(spark, tmp_path, monkeypatch):
+    """The model of the best rounds is the first trees of the last try: the same forecasts, importances and file as a fit of so many rounds."""
+    table = learn.assembled(learned(spark), ["a", "b", "noise"])
+    train, valid = table.where("fold_idx < 3"), table.where("fold_idx = 3")
+    shape = {"rate": 0.5, "depth": 3, "least_rows": 5, "bins": 32}
+    fitted, boosted = [], learn._boosted
+    monkeypatch.setattr(learn, "_boosted", lambda s: fitted.append(s.rounds) or boosted(s))
+    model = learn.boost(train, valid, learn.Trees(rounds=5000, patience=8, **shape))
+    best = model.stages[-1].getNumTrees
+    assert fitted == [24 * 2**k for k in range(len(fitted))] and best < fitted[-1]
+    again = learn.boost(train, valid, learn.Trees(rounds=best, **shape))
+    learn.save([(3, model)], f"{tmp_path}/m")
+    for made in (model, learn.load([3], f"{tmp_path}/m")[0][1]):
+        one, other = ([r.prediction for r in m.transform(valid).orderBy("user_id").collect()] for m in (made, again))
+        assert one == pytest.approx(other, rel=1e-12)
+        assert made.stages[-1].featureImportances.toArray().tolist() == pytest.approx(again.stages[-1].featureImportances.toArray().tolist())
+        assert made.stages[-1].numFeatures == 3 and made.stages[-1].getMaxDepth() == 3
+
+
+def test_partitions_of_vectors_hold_many_rows(spark):
+    """Each partition sends a whole set of histograms for each level, so few rows do not make a partition of their own."""
+    rows = spark.range(0, 90_000, 1, 12).selectExpr("'fold_0' AS fold", "0 AS fold_idx", "id AS user_id", "0D AS target", "0D AS target_log", "CAST(id AS double) AS a")
+    assert learn.assembled(rows, ["a"]).rdd.getNumPartitions() == 1
