@@ -285,6 +285,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     records = documents_as_records(set_aside(docs, "text", "lang", "source"))
     model = learn(records)
     aside = [c for c in records.columns if c.startswith("_in_")]
-    seen = stash(evidence(records, model, [*aside, *_CLUES]), "evidence")
+    seen = stash(evidence(records, model, [*aside, *_CLUES]), "evidence", codec="zstd")
     found = fuse(seen, aggregates(seen, len(model.languages)), model.languages)
     return restored(only(found, "kept"), docs, lang=F.col("language"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batched, components, stash
+from .shared import batched, components, discard, stash
 from .textkit import mix, pieces, shingles, utf8, words
 
 #: Words in a shingle, least similarity in hundredths.
@@ -274,7 +274,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     single = docs.select("doc_id", "text").where("doc_id is not null").join(_small(copies), "doc_id", "left_anti")
 
     spread = _sets(docs, size, percent).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    spread = spread.where(F.col("count") > WIDESPREAD).orderBy(F.desc("count"), "token").limit(ORDER_LIMIT).toPandas()
+    spread = stash(spread.where(F.col("count") > WIDESPREAD), "spread").orderBy(F.desc("count"), "token").limit(ORDER_LIMIT).toPandas()
     known = spread["token"].to_numpy().view(np.uint64)
     sort = np.argsort(known)
     order = spark.sparkContext.broadcast((known[sort], spread["count"].to_numpy()[sort]))
@@ -282,23 +282,28 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
 
     # Of a linked pair one side has the token within 2t/(1+t): lists without such an early posting are skipped.
     early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2.0 * percent / (100 + percent)) - 1e-6)
-    postings = prefixes.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).select("token", F.struct(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), early.alias("early")).alias("at"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("width"), F.max("at.early").alias("early")).where("width > 1 and early").select("token", "width")
-    shared = stash(postings.join(lists, "token").select("token", "width", "at.*"), "postings")
+    postings = prefixes.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).select("token", F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), early.alias("early"))
+    # The postings are shuffled once for their lists and then once to the few that are left; written between, the two do not lie on disk together.
+    lists = postings.groupBy("token").agg(F.count("*").alias("width"), F.max("early").alias("early")).where("width > 1 and early").select("token", "width")
+    lists = stash(lists, "lists")
+    shared = stash(postings.join(lists, "token").select("token", "width", "id", "n", "early"), "postings")
     central = shared.groupBy("id").agg(F.avg("width").alias("central"))
     # Lists by size: sets that link are in the same band of sizes or in neighbouring ones.
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9)
     banded = shared.join(central, "id").select("token", "id", "n", "early", "central", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x")).select("token", "id", "n", "early", "central", "x.*")
     banded = stash(banded, "banded")
+    discard(lists, shared)
     leaders = banded.groupBy("token", "band").agg(F.count("*").alias("width"), F.max("own").alias("own"), F.max("early").alias("early"), F.max(F.struct("central", "id"))["id"].alias("leader"))
     leaders = leaders.where("width > 1 and own and early").select("token", "band", "leader")
     members = banded.select("token", "band", "id", "n").join(leaders, ["token", "band"]).where("id != leader").select("leader", "id", "n").distinct()
     members = stash(members, "members")
+    discard(banded)
     families = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("parts"))
     families = stash(families, "families")
     cut = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
     heads = families.select("leader", F.col("leader").alias("id"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    members = stash(members.join(families, "leader").select("leader", "id", "parts", cut.alias("part")).unionByName(heads), "members")
+    pairs, members = members, stash(members.join(families, "leader").select("leader", "id", "parts", cut.alias("part")).unionByName(heads), "members")
+    discard(pairs)
     # What the prefixes alone rule out is not read again. Families of several parts stay whole here, as all their sets need a distance from the leader.
     shown = prefixes.select(F.col("doc_id").alias("id"), "n", "tokens").join(members.where("parts = 1"), "id")
     alive = stash(_screen(shown, percent, order).distinct(), "alive")
@@ -311,6 +316,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     compared = stash(_compare(whole.join(_small(fresh), "id"), percent, report=True), "compared")
     edges = compared.where("a is not null").select("a", "b")
     if not families.where("parts > 1").limit(1).count():
+        discard(prefixes)
         return found, edges, classes
 
     # Families of several parts: sets not linked with the leader meet each other and the linked ones across parts.
@@ -330,6 +336,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     # What the prefixes rule out within a part is not read again.
     shown = prefixes.select(F.col("doc_id").alias("id"), "n", "tokens").join(_small(far.select("leader", "part", "id")), "id")
     alive = stash(_screen(shown, percent, order).distinct(), "alive")
+    discard(prefixes)
     far = stash(far.join(alive, ["leader", "id"], "left_semi"), "far")
     wanted = stash(far.select("id").distinct(), "wanted")
     texts = single.join(_small(wanted), F.col("doc_id") == F.col("id"), "left_semi")

@@ -151,7 +151,7 @@ def judged(docs: DataFrame) -> DataFrame:
     whole.  Repeated rows are each judged; no rows give no rows.
     """
     listed = stash(common_words(docs.where(F.col("text").isNotNull())), "words")
-    held = stash(measured(docs, listed).drop("text"), "measured")
+    held = stash(measured(docs, listed).drop("text"), "measured", codec="zstd")
     held = held.join(stash(references(held), "references"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
 
     def others(reference: str, own: str) -> Column:

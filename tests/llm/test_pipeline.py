@@ -59,3 +59,32 @@ def test_stages_are_packed_and_mixed_texts_are_shuffled_once(spark):
     plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
     lines = [line for line in plan.splitlines() if "Project [" in line and "_in_text#" in line]
     assert lines and not any(re.search(r"(\[|, )text#\d+(,|\])", line) for line in lines)
+
+
+def test_what_a_stage_has_used_up_does_not_lie_on_disk(spark):
+    """A written frame leaves no shuffle files behind, and the join none of its postings, prefixes or pairs."""
+    import glob
+    import time
+
+    from tallyfold.llm import ngram_join
+    from tallyfold.llm.shared import scratch, stash
+
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    kept = stash(spark.range(50_000).selectExpr("id % 9000 AS k").groupBy("k").count(), "tidy")
+    until = time.time() + 5
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert kept.count() == 9000
+
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(k, f"{text} {k}") for k in range(5)] + [(9, "another text that has some words")], "doc_id long, text string")
+    held = f"{scratch(spark).removeprefix('file://')}/tallyfold/"
+    there = set(glob.glob(f"{held}*"))
+    assert sorted(r.doc_id for r in ngram_join.deduplicate(docs).collect()) == [0, 9]
+    left = {f.removeprefix(held).rpartition("-")[0] for f in set(glob.glob(f"{held}*")) - there}
+    assert left and not left & {"postings", "banded", "prefixes", "lists"}
