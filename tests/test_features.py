@@ -163,6 +163,21 @@ def test_fit_recovers_parameters(spark):
     assert list(slopes) == pytest.approx([0.02 * v for v in found], abs=1e-6)
 
 
+def test_gamma_functions_are_worked_out_once_for_each_number_of_purchases(spark, monkeypatch):
+    """Of what a step of a fit sums over every pair of times, or every mean, nothing goes by the number of purchases alone."""
+    seen, newton = [], btyd._newton
+    monkeypatch.setattr(btyd, "_newton", lambda terms, *more: seen.append(terms) or newton(terms, *more))
+    rng = random.Random(3)
+    rows = [("f", x, min(t, 10 * x + rng.randrange(40)) if x else 0, t, 5.0 + rng.randrange(4000) / 100) for x, t in ((rng.choice([0, 0, 0, 1, 1, 2, 3, 5]), rng.randrange(60, 400)) for _ in range(3000))]
+    frame = spark.createDataFrame(rows, "fold string, frequency int, recency int, t int, monetary_value double")
+    assert btyd.fit_bgnbd(frame).count() == btyd.fit_gamma_gamma(frame).count() == 1
+    for (counts, _), (wide, (loglik, first, second)) in seen:
+        assert counts.count() <= 6 < 400 < wide.count()
+        assert counts.agg(F.sum("n")).first()[0] == wide.agg(F.sum("n")).first()[0]
+        # The gamma functions' series divide by 12, and products over the purchases are aggregates of arrays.
+        assert not any(mark in str(c) for c in (loglik, *first, *second.values()) for mark in ("12", "aggregate"))
+
+
 def test_derivatives_are_those_of_the_likelihoods(spark):
     cases = spark.createDataFrame([(0.0, 0.0, 30.0, 5.0), (1.0, 10.0, 40.0, 0.5), (4.0, 80.0, 81.0, 20.0), (60.0, 100.0, 300.0, 90.0)], "x double, tx double, t double, m double")
     for like, parts, given, columns in ((btyd.bgnbd_loglik, btyd.bgnbd_parts, [0.7, 9.0, 0.8, 2.2], ("x", "tx", "t")), (btyd.gamma_gamma_loglik, btyd.gamma_gamma_parts, [2.0, 3.0, 4.0], ("x", "m"))):
