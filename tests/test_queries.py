@@ -52,6 +52,18 @@ def test_registered_learners_run_the_whole_job(spark, monkeypatch):
     assert len(trials) == 40 and last == 2 and stages[-1] == 1.0 and {t.rounds for t in trials} == {queries.SEARCH_ROUNDS} and {t.depth for t in trials} <= set(range(4, 11))
 
 
+def test_search_reads_every_row(spark, monkeypatch):
+    """The trials learn from all rows of the folds, not from a share of them."""
+    from tallyfold.operators import learn
+    from tallyfold.plans import queries
+
+    table = spark.range(1000).selectExpr("'fold_0' AS fold", "id AS user_id")
+    monkeypatch.setattr(queries, "_with_target", lambda s, d, columns=(): table)
+    monkeypatch.setattr(learn, "assembled", lambda rows, columns: rows)
+    monkeypatch.setattr(learn, "search", lambda vectors, trials, **more: vectors)
+    assert QUERIES["random_search"](spark, DATA).count() == 1000
+
+
 def test_entry_and_registration(spark):
     import __spark_entry__ as entry
 
