@@ -169,3 +169,11 @@ def test_partitions_of_vectors_hold_many_rows(spark):
     """Each partition sends a whole set of histograms for each level, so few rows do not make a partition of their own."""
     rows = spark.range(0, 90_000, 1, 12).selectExpr("'fold_0' AS fold", "0 AS fold_idx", "id AS user_id", "0D AS target", "0D AS target_log", "CAST(id AS double) AS a")
     assert learn.assembled(rows, ["a"]).rdd.getNumPartitions() == 1
+
+
+def test_machines_read_their_own_columns_only(spark, monkeypatch):
+    """What is written for the machines has no other features than theirs."""
+    held, before = [], learn.written
+    monkeypatch.setattr(learn, "written", lambda table, name: held.append((name, table.columns)) or before(table, name))
+    learn.factor_seeds(learned(spark), ["a", "b"], 3, seeds=(1,), rounds=2)
+    assert held[0] == ("train", ["fold", "fold_idx", "user_id", "target", "target_log", "a", "b"])
